@@ -147,6 +147,88 @@ resolved as (
     left join found on found.name = n.name left join employers e on e.employer_name = found.employer_name)"""
 
 
+def _listing_text(c: str) -> str:
+    t = f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    bad = " or ".join(f"regexp_matches({t}, '{p}', 'i')" for p in (
+        r"^\d+\s+school alumni", "^promoted$", r"^in\s+easy apply$",
+        r"\$\d|/yr|401\s*\(\s*k\s*\)", r"^\d+\s+(day|week|month)s?\s+ago$"))
+    return f"case when {t} <> '' and len({t}) <= 200 and not ({bad}) then {t} end"
+
+
+def _location(c: str) -> str:
+    return (f"coalesce({c} = '' or regexp_matches({c}, '\\(remote\\)|\\(on-site\\)|\\(hybrid\\)', 'i') or "
+            f"(regexp_matches({c}, ',\\s*[A-Z]{{2}}(\\s|$|\\))', 'i') and not contains({c}, '·')), true)")
+
+
+def _named(c: str) -> str:
+    return (f"coalesce(len({c}) between 2 and 70 and not regexp_matches({c}, 'followers|premium|insights|show\\s+', 'i') "
+            f"and not regexp_matches({c}, '\\d{{1,3}}(,\\d{{3}})+') and not regexp_matches({c}, '^[\\d,.\\s]+$'), false)")
+
+
+def _company(c: str) -> str:
+    part = _listing_text("p")
+    return (f"list_filter(list_transform(string_split({_listing_text(c)}, '·'), lambda p: {part}), "
+            f"lambda n: not {_location('n')} and {_named('n')})[1]")
+
+
+_META = (r"^[•·\-–—]+$|^(be an early|easy apply|actively|get job alerts)|promoted jobs are ranked|how promoted"
+         r"|\d+\+?\s*results?\b|\bbe an early applicant\b|\d+\s*(benefit|connection|applicant|result|follower)s?\b"
+         r"|\b(ago|viewed|about|premium|easy apply|actively|posted|reposted)\b|^[\d,]+$|%|^(your feedback|show)")
+_TITLE_WORDS = (
+    r"\b(engineer|developer|architect|manager|analyst|scientist|designer|consultant|specialist|director|lead|senior"
+    r"|junior|staff|principal|intern|associate|founder|officer|executive|full[\s-]?stack|front[\s-]?end|back[\s-]?end"
+    r"|machine[\s-]?learning|software|generative|agentic|emerging)\b")
+_PLACE = r"\b(remote|hybrid|on[\s-]?site)\b|,\s*[A-Z]{2}\b|\([A-Za-z\s]+,\s*[A-Z]{2}\)"
+
+
+def _junk(c: str) -> str:
+    return f"coalesce(len({c}) < 2 or regexp_matches({c}, '{_META}', 'i'), true)"
+
+
+_SLUG = """nullif(nullif(trim(url_decode(replace(
+    regexp_extract(href, '(?i)linkedin\\.com/company/([^/?#]+)', 1), '+', '%2B'))), ''), 'unavailable')"""
+_SLUG_NAME = f"trim(regexp_replace(replace({_SLUG}, '-', ' '), '\\s+', ' ', 'g'))"
+
+_COMPANIES = f"""tidy as (
+  select card_id, text, min(line_no) as line_no
+  from (select card_id, line_no, {_listing_text('line_text')} as text from listing_lines)
+  where text is not null and not {_junk('text')} group by all),
+placed as (select *, row_number() over (partition by card_id order by len(text) desc, line_no) as size_place from tidy),
+fit as (
+  select *, row_number() over (partition by card_id order by line_no) as rn from placed
+  where size_place > 1 and len(text) between 2 and 60 and not regexp_matches(text, '{_TITLE_WORDS}', 'i')
+    and not regexp_matches(text, '{_PLACE}', 'i') and not regexp_matches(text, '{_META}', 'i')),
+from_lines as (select card_id, coalesce({_company('text')}, text) as name from fit where rn = 1),
+linked as (
+  select card_id, link_no, {_listing_text('link_text')} as text, {_SLUG_NAME} as slug_name
+  from listing_links where {_SLUG} is not null),
+choice as (
+  select card_id, 1 as priority, 0 as ord, name from from_lines where {_named('name')}
+  union all select card_id, 6, link_no, text from linked where {_named('text')}
+  union all select card_id, 7, link_no, slug_name from linked where {_named('slug_name')}),
+companies as (
+  select card_id, name as company_name, priority
+  from (select *, row_number() over (partition by card_id order by priority, ord) as rn from choice) where rn = 1)"""
+
+_ANNOTATED = f"""exact as (select name, employer_name from names join employers on name = employer_name),
+alias as (
+  select name, employer_name from names join one_alias on name = alias_name
+    join employers on employer_name = primary_employer_name
+  where name not in (select name from exact)),
+rest1 as (select name from names where name not in (select name from exact union all select name from alias)),
+{_FUZZY.format(names='rest1')},
+found as (
+  select name, employer_name, 'exact' as match_type from exact
+  union all select name, employer_name, 'alias' from alias
+  union all select name, employer_name, 'fuzzy' from hits where place = 1),
+annotated as (
+  select card_id, company_name, e.employer_name, e.total_h1b_certified as h1b_count,
+    case when {_emp('company_name')} is null then 'invalid_input' else match_type end as match_type,
+    case when e.employer_name is null then '✗ Not Found' else '✓ Sponsors H1B' end as label
+  from companies left join found on found.name = {_emp('company_name')}
+    left join employers e on e.employer_name = found.employer_name)"""
+
+
 def _sql(views: list[str], ctes: list[str], select: str) -> str:
     parts = [f"{v} as ({VIEWS[v]})" for v in views] + ctes
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + select
@@ -300,4 +382,58 @@ select name_id as query_id, place::integer as place, employer_name, total_h1b_ce
   count(*) over (partition by name_id) as total
 from (select name_id, {_emp('raw_name')} as qn from lookup_names) join hits on hits.name = qn
 where place <= 5"""),
+    "company_slug": _sql(["listing_links"], [], f"""
+select card_id, {_SLUG} as slug, {_SLUG_NAME} as slug_name,
+  coalesce({_company('link_text')}, case when {_named(_SLUG_NAME)} then {_SLUG_NAME} end) as link_name
+from listing_links"""),
+    "company_line": _sql(["listing_lines"], [], f"""
+select card_id, line_no, {_listing_text('line_text')} as text, {_location('line_text')} as is_location,
+  {_named('line_text')} as is_name, {_company('line_text')} as company, {_junk('line_text')} as is_junk,
+  regexp_matches(line_text, '{_TITLE_WORDS}', 'i') as is_title
+from listing_lines"""),
+    "listing_company": _sql(["listing_lines", "listing_links"], [_COMPANIES], "select * from companies"),
+    "distinct_cards": _sql(["listing_lines", "listing_links"], [], f"""
+select card_id, arg_min(ord, (source_no, ord)) as ord, min(source_no) as source_no from (
+  select card_id, link_no as ord, 0 as source_no from listing_links where {_SLUG} is not null
+  union all select card_id, line_no, 1 from listing_lines where card_id % 3 > 0
+  union all select card_id, line_no, 2 from listing_lines)
+group by card_id"""),
+    "listing_annotate": _sql(
+        ["lca_raw", "curated_raw", "listing_lines", "listing_links"],
+        [*_ALIAS_CTES, _EMPLOYERS, _ONE_ALIAS, _COMPANIES,
+         f"names as (select distinct {_emp('company_name')} as name from companies)", _ANNOTATED],
+        "select * from annotated"),
+    "listing_stats": _sql(
+        ["lca_raw", "curated_raw", "listing_lines", "listing_links"],
+        [*_ALIAS_CTES, _EMPLOYERS, _ONE_ALIAS, _COMPANIES,
+         f"names as (select distinct {_emp('company_name')} as name from companies)", _ANNOTATED],
+        """select card_id % 50 as session_id, count(*) as jobs_scanned, count(employer_name) as sponsors_found
+from annotated group by 1"""),
+    "rate_limit": _sql(["request_log"], ["""log as (
+  select *, coalesce(trim(string_split(nullif(x_forwarded_for, ''), ',')[1]), host, 'unknown') as client from request_log),
+p1 as (select *, row_number() over (partition by client, time_bucket(interval 1 hour, ts) order by ts, event_id) as n1 from log),
+p2 as (select *, row_number() over (partition by client, time_bucket(interval 1 day, ts), n1 <= 2 order by ts, event_id) as n2 from p1)"""], """
+select event_id, client, endpoint, (case when n1 > 2 then 1 when n2 > 5 then 2 end)::integer as refused_by from p2"""),
+    "burst_sessions": """
+select user_id, count(*) as events, min(t) as burst_start, max(t) as burst_end, max(t) + 14400000000 as fires_at
+from (
+  select *, sum(fresh) over (partition by user_id order by t, event_id) as burst from (
+    select user_id, event_id, epoch_us(ts) as t,
+      case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) < 14400000000 then 0 else 1 end as fresh
+    from events))
+group by user_id, burst""",
+    "attempt_abandon": """
+select user_id, count(*) as attempts, count(*) filter (failed) as failures,
+  count(up) > 0 as abandoned, arg_min(event_id, (ts, event_id)) filter (up is not null) as abandoned_event_id
+from (
+  select *, case when failed and count(*) filter (failed) over (partition by user_id order by ts, event_id rows between 2 preceding and current row) = 3 then 1 end as up
+  from (select *, event_type = 'error' as failed from events))
+group by user_id""",
+    "miss_report": """
+select user_id as card_id, event_id, 'https://jobs.example/list/' || (user_id % 7) as url, substr(repeat(props, 40), 1, 300) as html
+from events where event_type = 'error'
+qualify row_number() over (partition by user_id order by ts, event_id) = 1""",
+    "misses_per_url": """
+select 'https://jobs.example/list/' || (user_id % 7) as url, count(distinct user_id) as misses
+from events where event_type = 'error' group by 1""",
 }

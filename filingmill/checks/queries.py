@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Embedding, Limits, Semantic
 from ..functions import coerce, text, vectors
+from ..functions import listing_text as lt
 from ..operators import aliases as alias_ops
-from ..operators import intake, merge, nearest, running, semantic
+from ..operators import attempts, intake, listings, merge, nearest, requests, running, semantic
 from ..operators.containment import best_containing
+from ..plans import annotate as annotating
 from ..plans import resolve as resolving
 from ..plans.search import search as run_search
 from ..sources.sample_views import table, view
@@ -259,10 +261,101 @@ def search(spark, sf):
     return run_search(names, _employers(spark, sf), 5, query="raw_name")
 
 
+# --- listings -----------------------------------------------------------------------
+
+
+def _lines(spark, sf):
+    return view(spark, sf, "listing_lines")
+
+
+def _links(spark, sf):
+    return view(spark, sf, "listing_links")
+
+
+def company_slug(spark, sf):
+    slug = lt.company_slug(F.col("href"))
+    return _links(spark, sf).select(
+        "card_id", slug.alias("slug"), lt.name_of_slug(slug).alias("slug_name"),
+        lt.company_of_link(F.col("link_text"), F.col("href")).alias("link_name"))
+
+
+def company_line(spark, sf):
+    line = F.col("line_text")
+    return _lines(spark, sf).select(
+        "card_id", "line_no", lt.company_text(line).alias("text"),
+        lt.looks_like_location(line).alias("is_location"),
+        lt.is_company_name(line).alias("is_name"),
+        lt.company_of_line(line).alias("company"),
+        lt.is_junk_line(line).alias("is_junk"),
+        lt.is_job_title_line(line).alias("is_title"))
+
+
+def listing_company(spark, sf):
+    return annotating.companies(_lines(spark, sf), _links(spark, sf))
+
+
+def distinct_cards(spark, sf):
+    lines, links = _lines(spark, sf), _links(spark, sf)
+    sources = (
+        links.where(lt.company_slug(F.col("href")).isNotNull()).select("card_id", F.col("link_no").alias("ord")),
+        lines.where(F.col("card_id") % 3 > 0).select("card_id", F.col("line_no").alias("ord")),
+        lines.select("card_id", F.col("line_no").alias("ord")))
+    return listings.distinct_cards(*sources)
+
+
+def listing_annotate(spark, sf):
+    out = annotating.annotate(
+        _lines(spark, sf), _links(spark, sf), _employers(spark, sf), _aliases(spark, sf))
+    return out.select("card_id", "company_name", "employer_name", "h1b_count", "match_type", "label")
+
+
+def listing_stats(spark, sf):
+    out = annotating.annotate(
+        _lines(spark, sf), _links(spark, sf), _employers(spark, sf), _aliases(spark, sf))
+    return listings.session_stats(
+        out.withColumn("session_id", F.col("card_id") % 50), "session_id")
+
+
+# --- requests and events ------------------------------------------------------------
+
+
+def rate_limit(spark, sf):
+    log = view(spark, sf, "request_log").withColumn(
+        "client", lt.client_id(F.col("x_forwarded_for"), F.col("host")))
+    out = requests.rate_limit(log, Limits((("1 hour", 2), ("1 day", 5))))
+    return out.select("event_id", "client", "endpoint", "refused_by")
+
+
+def burst_sessions(spark, sf):
+    out = requests.bursts(table(spark, sf, "events"), "user_id", gap=4 * 3600.0)
+    times = ["burst_start", "burst_end", "fires_at"]
+    return out.select("user_id", "events", *[F.unix_micros(c).alias(c) for c in times])
+
+
+def attempt_abandon(spark, sf):
+    return attempts.abandoned(
+        table(spark, sf, "events"), F.col("event_type") == "error", card="user_id",
+        max_attempts=3, chunk="week")
+
+
+def miss_report(spark, sf):
+    misses = table(spark, sf, "events").where("event_type = 'error'").select(
+        F.col("user_id").alias("card_id"), "ts", "event_id",
+        F.concat(F.lit("https://jobs.example/list/"), F.col("user_id") % 7).alias("url"),
+        F.repeat("props", 40).alias("html"))
+    return attempts.miss_reports(misses).select("card_id", "event_id", "url", "html")
+
+
+def misses_per_url(spark, sf):
+    return attempts.misses_per_url(miss_report(spark, sf))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     clean_cases, employers_agg, job_levels, aliases_agg, aliases_merged, simple_counts_top10,
     intake_summary, file_counters, date_parse, load_coercion, employer_upsert,
     alias_scoped_replace, embedding_merge, embedding_coverage, embedding_batches, cosine_topk,
     ann_topk, cosine_pairs, vector_literal, resolve_exact, resolve_alias, resolve_fuzzy,
-    semantic_rerank, resolve_semantic, resolve_all, check, search,
+    semantic_rerank, resolve_semantic, resolve_all, check, search, company_slug, company_line,
+    listing_company, distinct_cards, listing_annotate, listing_stats, rate_limit, burst_sessions,
+    attempt_abandon, miss_report, misses_per_url,
 )}

@@ -1,43 +1,19 @@
-"""Row numbers and running totals over a whole table without a one-task window.
-
-A window without partitions moves the table into one task. These operators split the order
-column (a unique integer) into ranges of ``span`` values, number and sum inside the ranges
-in parallel, and carry totals across ranges on one row per range.
-"""
+"""Row numbers and running totals over a whole table without a one-task window."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-SPAN = 1 << 20
+from pyspark.sql import Column, DataFrame, functions as F
 
+from . import prefix
 
-def running(df: DataFrame, order: str, totals: dict[str, Column], span: int = SPAN) -> DataFrame:
-    """Add a running total in ``order`` for every entry of ``totals``."""
-    ranged = df.withColumn("_range", F.floor(F.col(order) / span))
-    for name, value in totals.items():
-        ranged = ranged.withColumn(name, value)
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carried = (
-        ranged.groupBy("_range")
-        .agg(*[F.sum(name).alias(f"_sum_{name}") for name in totals])
-        .select("_range", *[
-            F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}")
-            for name in totals
-        ])
-    )
-    joined = ranged.join(carried, "_range")
-    return joined.select(*df.columns, *[
-        (F.sum(name).over(inside) + F.col(f"_before_{name}")).alias(name) for name in totals
-    ])
+# Order values per chunk: rows are unique by order value, so this bounds a chunk.
+SPAN = 1 << 20
 
 
 def batches(df: DataFrame, order: str, size: int, span: int = SPAN) -> DataFrame:
-    """Number rows in ``order`` and put every ``size`` of them into one batch, from 1."""
-    numbered = running(df, order, {"row_no": F.lit(1).cast("long")}, span)
+    """Number rows along a unique integer and put every ``size`` of them into one batch."""
+    numbered = prefix.running(
+        df, [], F.floor(F.col(order) / span), [order], sums={"row_no": F.lit(1).cast("long")})
     return numbered.withColumn(
         "batch_no", (F.floor((F.col("row_no") - 1) / size) + 1).cast("long"))
 
@@ -48,8 +24,8 @@ def batch_progress(
     """Rows, tokens and cost per batch with running totals."""
     per_batch = batched.groupBy("batch_no").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(tokens).alias("tokens"))
-    total = running(
-        per_batch, "batch_no",
-        {"rows_so_far": F.col("rows"), "tokens_so_far": F.col("tokens")}, span)
+    total = prefix.running(
+        per_batch, [], F.floor(F.col("batch_no") / span), ["batch_no"],
+        sums={"rows_so_far": F.col("rows"), "tokens_so_far": F.col("tokens")})
     return total.withColumn(
         "cost_so_far_usd", F.col("tokens_so_far") / 1_000_000 * usd_per_million)
