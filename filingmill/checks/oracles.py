@@ -436,4 +436,16 @@ qualify row_number() over (partition by user_id order by ts, event_id) = 1""",
     "misses_per_url": """
 select 'https://jobs.example/list/' || (user_id % 7) as url, count(distinct user_id) as misses
 from events where event_type = 'error' group by 1""",
+    "stream_resolve": _sql(
+        ["lca_raw", "curated_raw"],
+        [*_ALIAS_CTES, _EMPLOYERS, _ONE_ALIAS,
+         "lookup as (select s_suppkey as card_id, substr(s_name, 1, 18) as company_name from supplier)",
+         f"names as (select distinct {_emp('company_name')} as name from lookup)",
+         _ANNOTATED.replace("from companies", "from lookup")],
+        f"""select card_id as name_id, {_emp('company_name')} as normalized_name,
+  coalesce(match_type, 'miss') as match_type, employer_name, h1b_count as total_h1b_certified from annotated"""),
+    "stream_dedup": "select distinct user_id, event_type from events",
+    "stream_intake": _sql(["lca_raw"], [_CASES], "select * from cases"),
 }
+ORACLES["stream_abandon"] = f"""
+select user_id, abandoned_event_id from ({ORACLES["attempt_abandon"]}) where abandoned"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,7 +17,11 @@ from ..operators.containment import best_containing
 from ..plans import annotate as annotating
 from ..plans import resolve as resolving
 from ..plans.search import search as run_search
+from ..operators.materialize import shared_dir
 from ..sources.sample_views import table, view
+from ..streaming import events as event_streams
+from ..streaming.filings import intake_stream
+from ..streaming.names import resolve_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -350,6 +355,64 @@ def misses_per_url(spark, sf):
     return attempts.misses_per_url(miss_report(spark, sf))
 
 
+# --- streams, drained ---------------------------------------------------------------
+
+
+def _stream(spark, sf, name: str) -> DataFrame:
+    """One sample table as a file stream."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _run_dir(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _drain(stream: DataFrame, base: str) -> DataFrame:
+    """Run an append stream to its end and read what it wrote."""
+    query = (stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint")
+             .option("path", f"{base}/out").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _events(spark, sf):
+    return _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_resolve(spark, sf):
+    base = _run_dir(spark, "stream-resolve")
+    names = _stream(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("name_id"), F.substring("s_name", 1, 18).alias("raw_name"))
+    resolve_stream(
+        names, _employers(spark, sf), _aliases(spark, sf), f"{base}/out", f"{base}/checkpoint"
+    ).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(
+        "name_id", "normalized_name", "match_type", "employer_name", "total_h1b_certified")
+
+
+def stream_dedup(spark, sf):
+    first = event_streams.unseen(_events(spark, sf), ["user_id", "event_type"])
+    return _drain(first.select("user_id", "event_type"), _run_dir(spark, "stream-dedup"))
+
+
+def stream_intake(spark, sf):
+    base = _run_dir(spark, "stream-intake")
+    raw = _raw(spark, sf)
+    for priority in (1, 2, 3, 4):
+        raw.where(F.col("file_priority") == priority).coalesce(1).write.parquet(f"{base}/raw/q{priority}")
+    files = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1)
+             .option("recursiveFileLookup", True).parquet(f"{base}/raw"))
+    intake_stream(files, f"{base}/cases", f"{base}/checkpoint", ORDER).awaitTermination()
+    return spark.read.parquet(f"{base}/cases").drop("batch_id")
+
+
+def stream_abandon(spark, sf):
+    done = event_streams.abandoned_cards(
+        _events(spark, sf), F.col("event_type") == "error", card="user_id", max_attempts=3)
+    return _drain(done, _run_dir(spark, "stream-abandon")).select("user_id", "abandoned_event_id")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     clean_cases, employers_agg, job_levels, aliases_agg, aliases_merged, simple_counts_top10,
     intake_summary, file_counters, date_parse, load_coercion, employer_upsert,
@@ -357,5 +420,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     ann_topk, cosine_pairs, vector_literal, resolve_exact, resolve_alias, resolve_fuzzy,
     semantic_rerank, resolve_semantic, resolve_all, check, search, company_slug, company_line,
     listing_company, distinct_cards, listing_annotate, listing_stats, rate_limit, burst_sessions,
-    attempt_abandon, miss_report, misses_per_url,
+    attempt_abandon, miss_report, misses_per_url, stream_resolve, stream_dedup, stream_intake,
+    stream_abandon,
 )}
