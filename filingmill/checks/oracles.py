@@ -449,3 +449,22 @@ from events where event_type = 'error' group by 1""",
 }
 ORACLES["stream_abandon"] = f"""
 select user_id, abandoned_event_id from ({ORACLES["attempt_abandon"]}) where abandoned"""
+
+# Streams emit a window once it ends before the newest event less the allowed lateness.
+_CLOSED = "(select epoch_us(max(ts)) - 600000000 from {source})"
+_HOUR = "epoch_us(time_bucket(interval 1 hour, ts))"
+_ENDED = f"having {_HOUR} + 3600000000 <= {_CLOSED.format(source='events')}"
+ORACLES["stream_limits"] = f"""
+select user_id % 10 as client, {_HOUR} as window_start, count(*) as requests, count(*) > 2 as exceeded
+from events group by 1, 2 {_ENDED}"""
+ORACLES["stream_stats"] = f"""
+select user_id % 5 as session_id, {_HOUR} as window_start, count(*) as jobs_scanned,
+  count(*) filter (event_type = 'purchase') as sponsors_found
+from events group by 1, 2 {_ENDED}"""
+ORACLES["stream_misses"] = f"""
+with misses as (select * from events where event_type = 'error')
+select 'https://jobs.example/list/' || (user_id % 7) as url, {_HOUR} as window_start, count(*) as misses
+from misses group by 1, 2 having {_HOUR} + 3600000000 <= {_CLOSED.format(source='misses')}"""
+ORACLES["stream_bursts"] = f"""
+select user_id, burst_start, fires_at, events from ({ORACLES["burst_sessions"]})
+where fires_at <= {_CLOSED.format(source='events')}"""

@@ -17,7 +17,7 @@ from ..operators.containment import best_containing
 from ..plans import annotate as annotating
 from ..plans import resolve as resolving
 from ..plans.search import search as run_search
-from ..operators.materialize import shared_dir
+from ..operators.materialize import materialize, shared_dir
 from ..sources.sample_views import table, view
 from ..streaming import events as event_streams
 from ..streaming.filings import intake_stream
@@ -51,6 +51,14 @@ def _aliases(spark, sf):
         alias_ops.curated_aliases(view(spark, sf, "curated_raw")))
 
 
+def _stored(spark, sf):
+    """Employers and aliases as written tables, the way resolution finds them."""
+    cases = materialize(_cases(spark, sf), "cases")
+    curated = alias_ops.curated_aliases(view(spark, sf, "curated_raw"))
+    return (materialize(intake.employers(cases), "employers"),
+            materialize(alias_ops.merge_curated(intake.aliases(cases), curated), "aliases"))
+
+
 # --- intake -------------------------------------------------------------------------
 
 
@@ -84,8 +92,10 @@ def file_counters(spark, sf):
 
 def intake_summary(spark, sf):
     raw = _raw(spark, sf)
-    return intake.summary(
-        intake.file_counters(raw), intake.clean_cases(raw, ORDER), _aliases(spark, sf))
+    cases = materialize(intake.clean_cases(raw, ORDER), "cases")
+    merged = alias_ops.merge_curated(
+        intake.aliases(cases), alias_ops.curated_aliases(view(spark, sf, "curated_raw")))
+    return intake.summary(intake.file_counters(raw), cases, merged)
 
 
 def date_parse(spark, sf):
@@ -207,29 +217,29 @@ def _distinct_names(spark, sf):
         text.employer_name(F.col("raw_name")).alias("name")).where("name is not null").distinct()
 
 
-def _with_vectors(spark, sf):
+def _with_vectors(spark, sf, employers: DataFrame):
     """Employers with their sample vectors, and name vectors for the lookups."""
     v = view(spark, sf, "name_vectors").select(
         "side", text.employer_name(F.col("raw_name")).alias("name"), "embedding")
     side = v.where("side = 'employer'").select(F.col("name").alias("employer_name"), "embedding")
-    employers = _employers(spark, sf).join(side, "employer_name", "left")
-    return employers, v.where("side = 'lookup'").select("name", "embedding")
+    return employers.join(side, "employer_name", "left"), v.where("side = 'lookup'").select("name", "embedding")
 
 
 def resolve_exact(spark, sf):
-    employers = _employers(spark, sf)
+    employers, _ = _stored(spark, sf)
     hits = resolving.match_exact(_distinct_names(spark, sf), employers)
     return hits.join(resolving.records(employers), "employer_name")
 
 
 def resolve_alias(spark, sf):
-    employers = _employers(spark, sf)
-    hits = resolving.match_alias(_distinct_names(spark, sf), _aliases(spark, sf), employers)
+    employers, aliases = _stored(spark, sf)
+    hits = resolving.match_alias(_distinct_names(spark, sf), aliases, employers)
     return hits.join(resolving.records(employers), "employer_name")
 
 
 def resolve_fuzzy(spark, sf):
-    hits = best_containing(_distinct_names(spark, sf), _employers(spark, sf), 1)
+    employers, _ = _stored(spark, sf)
+    hits = best_containing(materialize(_distinct_names(spark, sf), "names"), employers, 1)
     return hits.select("name", "employer_name", "total_h1b_certified")
 
 
@@ -246,24 +256,27 @@ def resolve_semantic(spark, sf):
 
 
 def resolve_all(spark, sf):
-    employers, lookups = _with_vectors(spark, sf)
-    out = resolving.resolve(_names(spark, sf), employers, _aliases(spark, sf), vectors=lookups)
+    stored, aliases = _stored(spark, sf)
+    employers, lookups = _with_vectors(spark, sf, stored)
+    out = resolving.resolve(_names(spark, sf), employers, aliases, vectors=lookups)
     return out.select(
         "name_id", "normalized_name", "match_type", F.round("confidence", 6).alias("confidence"),
         "employer_name", "total_h1b_certified")
 
 
 def check(spark, sf):
-    employers, lookups = _with_vectors(spark, sf)
+    stored, aliases = _stored(spark, sf)
+    employers, lookups = _with_vectors(spark, sf, stored)
     out = resolving.resolve(
-        _names(spark, sf), employers, _aliases(spark, sf), vectors=lookups, cfg=LOW_THRESHOLD)
+        _names(spark, sf), employers, aliases, vectors=lookups, cfg=LOW_THRESHOLD)
     return resolving.check(out).drop("raw_name").withColumn(
         "match_confidence", F.round("match_confidence", 6))
 
 
 def search(spark, sf):
     names = _names(spark, sf).withColumnRenamed("name_id", "query_id")
-    return run_search(names, _employers(spark, sf), 5, query="raw_name")
+    employers, _ = _stored(spark, sf)
+    return run_search(names, employers, 5, query="raw_name")
 
 
 # --- listings -----------------------------------------------------------------------
@@ -309,14 +322,12 @@ def distinct_cards(spark, sf):
 
 
 def listing_annotate(spark, sf):
-    out = annotating.annotate(
-        _lines(spark, sf), _links(spark, sf), _employers(spark, sf), _aliases(spark, sf))
+    out = annotating.annotate(_lines(spark, sf), _links(spark, sf), *_stored(spark, sf))
     return out.select("card_id", "company_name", "employer_name", "h1b_count", "match_type", "label")
 
 
 def listing_stats(spark, sf):
-    out = annotating.annotate(
-        _lines(spark, sf), _links(spark, sf), _employers(spark, sf), _aliases(spark, sf))
+    out = annotating.annotate(_lines(spark, sf), _links(spark, sf), *_stored(spark, sf))
     return listings.session_stats(
         out.withColumn("session_id", F.col("card_id") % 50), "session_id")
 
@@ -385,8 +396,7 @@ def stream_resolve(spark, sf):
     names = _stream(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("name_id"), F.substring("s_name", 1, 18).alias("raw_name"))
     resolve_stream(
-        names, _employers(spark, sf), _aliases(spark, sf), f"{base}/out", f"{base}/checkpoint"
-    ).awaitTermination()
+        names, *_stored(spark, sf), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select(
         "name_id", "normalized_name", "match_type", "employer_name", "total_h1b_certified")
 
@@ -413,6 +423,34 @@ def stream_abandon(spark, sf):
     return _drain(done, _run_dir(spark, "stream-abandon")).select("user_id", "abandoned_event_id")
 
 
+def stream_limits(spark, sf):
+    log = _events(spark, sf).withColumn("client", F.col("user_id") % 10)
+    out = event_streams.limit_breaches(log, Limits((("1 hour", 2),)))
+    return _drain(out, _run_dir(spark, "stream-limits")).withColumn(
+        "window_start", F.unix_micros("window_start"))
+
+
+def stream_bursts(spark, sf):
+    out = event_streams.burst_windows(_events(spark, sf), "user_id", "4 hours")
+    return _drain(out, _run_dir(spark, "stream-bursts")).select(
+        "user_id", F.unix_micros("burst_start").alias("burst_start"),
+        F.unix_micros("fires_at").alias("fires_at"), "events")
+
+
+def stream_stats(spark, sf):
+    labelled = _events(spark, sf).withColumn("session_id", F.col("user_id") % 5)
+    out = event_streams.session_counters(labelled, "session_id", F.col("event_type") == "purchase")
+    return _drain(out, _run_dir(spark, "stream-stats")).withColumn(
+        "window_start", F.unix_micros("window_start"))
+
+
+def stream_misses(spark, sf):
+    misses = _events(spark, sf).where("event_type = 'error'").withColumn(
+        "url", F.concat(F.lit("https://jobs.example/list/"), F.col("user_id") % 7))
+    return _drain(event_streams.miss_counts(misses), _run_dir(spark, "stream-misses")).withColumn(
+        "window_start", F.unix_micros("window_start"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     clean_cases, employers_agg, job_levels, aliases_agg, aliases_merged, simple_counts_top10,
     intake_summary, file_counters, date_parse, load_coercion, employer_upsert,
@@ -421,5 +459,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     semantic_rerank, resolve_semantic, resolve_all, check, search, company_slug, company_line,
     listing_company, distinct_cards, listing_annotate, listing_stats, rate_limit, burst_sessions,
     attempt_abandon, miss_report, misses_per_url, stream_resolve, stream_dedup, stream_intake,
-    stream_abandon,
+    stream_abandon, stream_limits, stream_bursts, stream_stats, stream_misses,
 )}

@@ -1,11 +1,13 @@
 """Reading company names out of listing lines and links, as Column -> Column functions.
 
 Patterns are kept in the plain form of the browser side; ``_java`` gives ``\\s`` and ``\\b``
-the meaning they have there.
+the meaning they have there: whitespace with the byte order mark, and words of ASCII letters.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from ..config import Listing
@@ -60,9 +62,12 @@ _WORD = "[A-Za-z0-9_]"
 
 
 def _java(pattern: str) -> str:
-    boundary = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+    # Every ``\b`` in use stands before or after a whole word, so looking at one side is enough.
+    opening, closing = f"(?<!{_WORD})", f"(?!{_WORD})"
+    pattern = re.sub(r"(^|[|(:])\\b", lambda m: m.group(1) + opening, pattern)
+    pattern = pattern.replace(r"\b", closing)
     spaces = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
-    return "(?id)" + pattern.replace(r"\b", boundary).replace(r"\s", spaces)
+    return "(?id)" + pattern.replace(r"\s", spaces)
 
 
 def _has(c: Column, pattern: str) -> Column:
@@ -104,10 +109,15 @@ def is_company_name(c: Column) -> Column:
 
 def company_of_line(c: Column) -> Column:
     """The first ``·``-separated part that is a company name and no place."""
-    parts = F.transform(
-        F.split(company_text(c), "·"), lambda p: _if_text(F.btrim(p, F.lit(_SPACES))))
-    fit = F.filter(parts, lambda p: ~looks_like_location(p) & is_company_name(p))
-    return F.try_element_at(fit, F.lit(1))
+    whole = company_text(c)
+    parts = F.transform(F.split(whole, "·"), lambda p: _if_text(F.btrim(p, F.lit(_SPACES))))
+    fit = F.filter(parts, _is_company_part)
+    return F.when(whole.contains("·"), F.try_element_at(fit, F.lit(1))).when(
+        _is_company_part(whole), whole)
+
+
+def _is_company_part(c: Column) -> Column:
+    return ~looks_like_location(c) & is_company_name(c)
 
 
 def company_slug(url: Column, cfg: Listing = Listing()) -> Column:

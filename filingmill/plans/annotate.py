@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import Listing
 from ..functions import listing_text as lt
 from ..operators import listings
+from ..operators.materialize import materialize
 from .resolve import check, resolve
 
 
@@ -25,6 +26,7 @@ def annotate(
     **resolve_options,
 ) -> DataFrame:
     """Every card with a company: the answer for the company and its label."""
-    cards = companies(lines, links, cfg).select("card_id", "company_name")
+    # Read twice below: for the distinct names, and to put the answers back.
+    cards = materialize(companies(lines, links, cfg).select("card_id", "company_name"), "cards")
     answers = check(resolve(cards, employers, aliases, raw_name="company_name", **resolve_options))
     return answers.withColumn("label", lt.outcome_label(F.col("sponsors_h1b"), cfg))
