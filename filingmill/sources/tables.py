@@ -78,12 +78,19 @@ def _with_row_order(spark: SparkSession, path: str, fmt: str) -> DataFrame:
         return spark.read.parquet(path).withColumn("row_ordinal", F.struct(
             F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place")))
     if fmt == "csv":
-        reader = spark.read.options(header=True, inferSchema=False, multiLine=False)
+        # Spark renames repeated headers, so they are read as a row of their own.
+        top = spark.read.csv(path, header=False).where(F.col("_metadata.file_block_start") == 0)
+        header = top.first()
+        if header is None:
+            raise ValueError(f"no header in {path}")
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
         # Ids rise along a block, and blocks are told apart by where they start.
-        return reader.csv(path).withColumn("row_ordinal", F.struct(
+        rows = spark.read.csv(path, header=True, schema=schema)
+        return rows.withColumn("row_ordinal", F.struct(
             F.concat_ws("#", "_metadata.file_name", F.lpad(
                 F.col("_metadata.file_block_start").cast("string"), 20, "0")).alias("file"),
-            F.monotonically_increasing_id().alias("place")))
+            F.monotonically_increasing_id().alias("place"))
+        ).toDF(*[h or "" for h in header], "row_ordinal")
     if fmt == "workbook":
         from .workbook import read_workbooks
 
