@@ -83,7 +83,8 @@ def _any(*patterns: str) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def _tidy(c: Column) -> Column:
+def tidy(c: Column) -> Column:
+    """Single spaces inside, none at the ends."""
     return F.btrim(F.regexp_replace(c, _java(r"\s+"), " "), F.lit(_SPACES))
 
 
@@ -93,7 +94,13 @@ def _if_text(t: Column) -> Column:
 
 def company_text(c: Column) -> Column:
     """Tidied text, or NULL where it cannot hold a company."""
-    return _if_text(_tidy(c))
+    return _if_text(tidy(c))
+
+
+def is_row_line(t: Column) -> Column:
+    """Whether tidied text passes ``company_text`` and is no junk line."""
+    fits = length(t).between(LINE_LENGTH[0], MAX_TEXT) & ~_has(t, _any(*NOT_COMPANY_TEXT, LINE_META))
+    return F.coalesce(fits, F.lit(False))
 
 
 def looks_like_location(c: Column) -> Column:
@@ -107,13 +114,16 @@ def is_company_name(c: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def company_of_line(c: Column) -> Column:
-    """The first ``·``-separated part that is a company name and no place."""
-    whole = company_text(c)
-    parts = F.transform(F.split(whole, "·"), lambda p: _if_text(F.btrim(p, F.lit(_SPACES))))
+def company_of_text(t: Column) -> Column:
+    """Of ``company_text``: the first ``·``-separated part that is a company and no place."""
+    parts = F.transform(F.split(t, "·"), lambda p: _if_text(F.btrim(p, F.lit(_SPACES))))
     fit = F.filter(parts, _is_company_part)
-    return F.when(whole.contains("·"), F.try_element_at(fit, F.lit(1))).when(
-        _is_company_part(whole), whole)
+    return F.when(t.contains("·"), F.try_element_at(fit, F.lit(1))).when(_is_company_part(t), t)
+
+
+def company_of_line(c: Column) -> Column:
+    """The company a raw line names, if any."""
+    return company_of_text(company_text(c))
 
 
 def _is_company_part(c: Column) -> Column:
@@ -128,7 +138,7 @@ def company_slug(url: Column, cfg: Listing = Listing()) -> Column:
 
 
 def name_of_slug(slug: Column) -> Column:
-    return _tidy(F.replace(slug, F.lit("-"), F.lit(" ")))
+    return tidy(F.replace(slug, F.lit("-"), F.lit(" ")))
 
 
 def company_of_link(text: Column, url: Column, cfg: Listing = Listing()) -> Column:

@@ -25,17 +25,27 @@ def abandoned(
 
     A success sets the count back; the card is given up at its ``max_attempts``-th failure
     in a row and stays so. Failures since the last success are the running count of failures
-    less its value at that success, both worked out per chunk of time.
+    less its value at that success; both are worked out inside chunks of time and carried on.
     """
-    slot, order = F.date_trunc(chunk, F.col(ts)), [ts, key]
     rows = attempts.select(card, ts, key, failed.alias("_failed"))
-    counted = prefix.running(rows, [card], slot, order, sums={"_fails": F.col("_failed").cast("long")})
-    since = prefix.running(
-        counted, [card], slot, order,
-        maxima={"_at_success": F.when(~F.col("_failed"), F.col("_fails"))})
-    in_row = F.col("_fails") - F.coalesce("_at_success", F.lit(0))
+    fails = F.col("_fails")
+
+    def inside(w):
+        return [{"_fails": F.count_if("_failed").over(prefix.so_far(w))},
+                {"_at_ok": F.max(F.when(~F.col("_failed"), fails)).over(prefix.so_far(w))}]
+
+    def carry(w):
+        return [{"_fails_before": F.coalesce(F.sum("_c_fails").over(prefix.before(w)), F.lit(0))},
+                {"_ok_before": F.coalesce(F.max(
+                    F.col("_fails_before") + F.col("_c_at_ok")).over(prefix.before(w)), F.lit(0))}]
+
+    counted = prefix.along(
+        rows, [card], F.date_trunc(chunk, F.col(ts)).cast("timestamp").cast("long"), [ts, key], inside,
+        {"_c_fails": F.max("_fails"), "_c_at_ok": F.max("_at_ok")}, carry)
+    in_row = F.when(F.col("_at_ok").isNotNull(), fails - F.col("_at_ok")).otherwise(
+        fails + F.col("_fails_before") - F.col("_ok_before"))
     given_up = F.when(F.col("_failed") & (in_row >= max_attempts), F.struct(ts, key))
-    return since.groupBy(card).agg(
+    return counted.groupBy(card).agg(
         F.count(F.lit(1)).alias("attempts"),
         F.count_if("_failed").alias("failures"),
         F.min(given_up).alias("_up"),

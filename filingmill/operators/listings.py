@@ -19,10 +19,10 @@ ROW_LINES = (2, 6)
 def _with_value(df: DataFrame, name: str, value: Column, keep=lambda v: v.isNotNull()) -> DataFrame:
     """Add a column and drop the rows where it does not fit, working it out once per row.
 
-    A plain filter on a computed column would be pushed down together with a second copy of
-    the whole expression.
+    A filter on a computed column is pushed down together with a second copy of the whole
+    expression; one on the output of ``explode`` stays where it is.
     """
-    return df.withColumn(name, F.explode(F.filter(F.array(value), keep)))
+    return df.withColumn(name, F.explode(F.array(value))).where(keep(F.col(name)))
 
 
 def card_lines(lines: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def card_lines(lines: DataFrame) -> DataFrame:
         lines = lines.withColumn("depth", F.lit(0))
     tidy = _with_value(
         lines.select("card_id", "depth", "line_no", "line_text"), "text",
-        lt.company_text(F.col("line_text")), lambda t: ~lt.is_junk_line(t))
+        lt.tidy(F.col("line_text")), lt.is_row_line)
     return tidy.groupBy("card_id", "depth", "text").agg(F.min("line_no").alias("line_no"))
 
 
@@ -48,20 +48,27 @@ def company_lines(lines: DataFrame) -> DataFrame:
     """The line of each row that names the company.
 
     The first longest line is the job title; the company is the first fitting line besides
-    it. Only the first two fitting lines can be that one, so two per row are looked at.
+    it. So each line stands for itself as a title and, if it fits, as a company, and the
+    first two of either kind decide: that many are kept per row before the shuffle.
     Returns card_id, depth, line_no, name.
     """
-    row = ["card_id", "depth"]
-    kept = card_lines(lines)
-    title = kept.groupBy(*row).agg(
-        F.max(F.struct(lt.length(F.col("text")).alias("n"), (-F.col("line_no")).alias("neg"))).alias("t")
-    ).select(*row, (-F.col("t.neg")).alias("title_no"))
-    fitting = kept.where(lt.can_be_company_line(F.col("text"))).withColumn(
-        "_nth", F.row_number().over(Window.partitionBy(*row).orderBy("line_no"))).where("_nth <= 2")
-    first = fitting.join(title, row).where("line_no <> title_no").groupBy(*row).agg(
-        F.min(F.struct("line_no", "text")).alias("l"))
-    named = first.select(*row, "l.line_no", "l.text")
-    name = F.coalesce(lt.company_of_line(F.col("text")), F.col("text"))
+    text, row = F.col("text"), ["card_id", "depth"]
+    as_title = F.struct(
+        F.lit(True).alias("title"), (-lt.length(text)).alias("rank"), "line_no", "text")
+    as_company = F.when(lt.can_be_company_line(text), F.struct(
+        F.lit(False).alias("title"), F.lit(0).alias("rank"), "line_no", "text"))
+    roles = card_lines(lines).select(*row, F.explode(F.array(as_title, as_company)).alias("r")).where(
+        "r is not null")
+    nth = F.row_number().over(
+        Window.partitionBy(*row, "title").orderBy("rank", "line_no"))
+    first = roles.select(*row, "r.*").withColumn("_nth", nth).where("_nth <= 2")
+    # At most four short entries per row.
+    title_no = F.max(F.when(F.col("title") & (F.col("_nth") == 1), F.col("line_no")))
+    companies = F.array_sort(F.collect_list(F.when(~F.col("title"), F.struct("line_no", "text"))))
+    decided = first.groupBy(*row).agg(title_no.alias("title_no"), companies.alias("companies"))
+    other = F.filter("companies", lambda c: c["line_no"] != F.col("title_no"))
+    named = decided.select(*row, F.try_element_at(other, F.lit(1)).alias("l")).select(*row, "l.*")
+    name = F.coalesce(lt.company_of_text(text), text)
     return _with_value(named, "name", name, lt.is_company_name).drop("text")
 
 
@@ -84,9 +91,8 @@ def link_candidates(links: DataFrame, cfg: Listing = Listing()) -> DataFrame:
     options = F.array(
         F.struct(F.lit(LINK_TEXT).alias("priority"), lt.company_text(F.col("link_text")).alias("name")),
         F.struct(F.lit(LINK_SLUG).alias("priority"), lt.name_of_slug(F.col("slug")).alias("name")))
-    fitting = F.filter(options, lambda o: lt.is_company_name(o["name"]))
-    return found.select("card_id", "ord", F.explode(fitting).alias("o")).select(
-        "card_id", "o.priority", "ord", "o.name")
+    return found.select("card_id", "ord", F.explode(options).alias("o")).select(
+        "card_id", "o.priority", "ord", "o.name").where(lt.is_company_name(F.col("name")))
 
 
 def detail_candidates(links: DataFrame, blocks: DataFrame, cfg: Listing = Listing()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running sums and maxima per key, split so that no key has to fit one task.
+"""Work along the order of a key, split so that no key has to fit one task.
 
 A plain window hands all rows of a key to one task. Here a key is also cut into chunks along
 its order; chunks run in parallel, and what each one carries over is worked out on one row
@@ -7,52 +7,56 @@ per key and chunk.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
-def running(
+def along(
     df: DataFrame,
     by: Sequence[str],
     chunk: Column,
     order: Sequence[str],
-    sums: dict[str, Column] | None = None,
-    maxima: dict[str, Column] | None = None,
-    earlier_only: bool = False,
+    inside: Callable[[WindowSpec], Sequence[dict[str, Column]]],
+    totals: dict[str, Column],
+    carry: Callable[[WindowSpec], Sequence[dict[str, Column]]],
 ) -> DataFrame:
-    """Add running sums and maxima over the rows of a key up to and including each row.
+    """Add columns worked out inside each chunk, and ones carried from the chunks before.
 
-    ``chunk`` must not decrease along ``order``. With ``earlier_only`` the row itself is left
-    out. Sums start at 0, maxima at NULL.
+    ``inside`` gets the window of a row's chunk in order, ``totals`` are aggregates of the
+    chunk over the input and the first ``inside`` columns, ``carry`` gets the window of a
+    key's chunks. Both functions return layers of columns; a layer can use the ones before.
+    ``chunk`` must not decrease along ``order``.
     """
-    sums, maxima = sums or {}, maxima or {}
-    values = {**sums, **maxima}
-    # One struct as key, so that NULL keys meet in the join as well.
-    cut = df.withColumn("_key", F.struct(*by) if by else F.lit(0)).withColumn("_chunk", chunk)
-    for name, value in values.items():
-        cut = cut.withColumn(f"_v_{name}", value)
-
-    last = -1 if earlier_only else Window.currentRow
-    inside = Window.partitionBy("_key", "_chunk").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, last)
-    local = cut.select(
-        "*",
-        *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_in_{n}") for n in sums],
-        *[F.max(f"_v_{n}").over(inside).alias(f"_in_{n}") for n in maxima])
-
-    # Rows already lie together by key and chunk, so this moves only one row per chunk.
-    chunks_before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carried = local.groupBy("_key", "_chunk").agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
-        *[F.max(f"_v_{n}").alias(f"_t_{n}") for n in maxima],
-    ).select(
-        "_key", "_chunk",
-        *[F.coalesce(F.sum(f"_t_{n}").over(chunks_before), F.lit(0)).alias(f"_b_{n}") for n in sums],
-        *[F.max(f"_t_{n}").over(chunks_before).alias(f"_b_{n}") for n in maxima])
-
-    return local.join(carried, ["_key", "_chunk"]).select(
-        *df.columns,
-        *[(F.col(f"_in_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums],
-        *[F.greatest(f"_in_{n}", f"_b_{n}").alias(n) for n in maxima])
+    # Never NULL, so that joining on them adds no filter; one struct, so that NULL keys meet.
+    cut = df.withColumn("_key", F.struct(*by) if by else F.lit(0)).withColumn(
+        "_chunk", F.coalesce(chunk, F.lit(0)))
+    for layer in inside(Window.partitionBy("_key", "_chunk").orderBy(*order)):
+        cut = cut.withColumns(layer)
+    chunks = cut.groupBy("_key", "_chunk").agg(*[v.alias(n) for n, v in totals.items()])
+    for layer in carry(Window.partitionBy("_key").orderBy("_chunk")):
+        chunks = chunks.withColumns(layer)
+    return cut.join(chunks, ["_key", "_chunk"]).drop("_key", "_chunk")
+
+
+def so_far(window: WindowSpec) -> WindowSpec:
+    """Rows up to and including the current one."""
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before(window: WindowSpec) -> WindowSpec:
+    """Rows before the current one."""
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_sum(df: DataFrame, by: Sequence[str], chunk: Column, order: Sequence[str],
+                sums: dict[str, Column]) -> DataFrame:
+    """Running sums over the rows of a key up to and including each row."""
+    zero = F.lit(0)
+    out = along(
+        df, by, chunk, order,
+        lambda w: [{f"_v_{n}": v for n, v in sums.items()},
+                   {f"_in_{n}": F.coalesce(F.sum(f"_v_{n}").over(so_far(w)), zero) for n in sums}],
+        {f"_t_{n}": F.sum(f"_v_{n}") for n in sums},
+        lambda w: [{f"_b_{n}": F.coalesce(F.sum(f"_t_{n}").over(before(w)), zero) for n in sums}])
+    return out.select(*df.columns, *[(F.col(f"_in_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])

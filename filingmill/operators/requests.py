@@ -47,22 +47,34 @@ def bursts(
     """Events of a key that follow each other by less than ``gap`` seconds, as one burst.
 
     A burst fires ``gap`` after its last event. Events within one slot of length ``gap``
-    always share a burst, so they are merged before anything is shuffled; slots are then
-    linked by running maxima over chunks of ``chunk_gaps`` slots.
+    always share a burst, so they are merged before anything is shuffled. Slots are linked
+    within chunks of ``chunk_gaps`` slots; only a chunk's first slot has to wait for the
+    chunks before it.
     """
     step = int(gap * 1_000_000)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     slots = events.groupBy(key, F.floor(micros / step).alias("_slot")).agg(
         F.min(micros).alias("_first"), F.max(micros).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    chunk = F.floor(F.col("_slot") / chunk_gaps)
-    linked = prefix.running(
-        slots, [key], chunk, ["_slot"], maxima={"_before": F.col("_last")}, earlier_only=True)
-    starts = F.col("_before").isNull() | (F.col("_first") - F.col("_before") >= step)
-    marked = prefix.running(
-        linked, [key], chunk, ["_slot"], maxima={"_start": F.when(starts, F.col("_first"))})
-    return marked.groupBy(key, "_start").agg(
+    first, last = F.col("_first"), F.col("_last")
+
+    def inside(w):
+        gap_before = first - F.lag("_last").over(w)
+        return [{"_mark": F.when(gap_before >= step, first)},
+                {"_start": F.max("_mark").over(prefix.so_far(w))}]
+
+    def carry(w):
+        since = F.col("_c_first") - F.max("_c_last").over(prefix.before(w))
+        opens = F.when(since.isNull() | (since >= step), F.col("_c_first"))
+        return [{"_open": opens},
+                {"_latest": F.coalesce("_c_mark", "_open")},
+                {"_carried": F.coalesce("_open", F.max("_latest").over(prefix.before(w)))}]
+
+    linked = prefix.along(
+        slots, [key], F.floor(F.col("_slot") / chunk_gaps), ["_slot"], inside,
+        {"_c_first": F.min(first), "_c_last": F.max(last), "_c_mark": F.max("_mark")}, carry)
+    return linked.groupBy(key, F.coalesce("_start", "_carried").alias("_from")).agg(
         F.max("_last").alias("_end"), F.sum("_n").alias("events")
     ).select(
-        key, F.timestamp_micros("_start").alias("burst_start"),
+        key, F.timestamp_micros("_from").alias("burst_start"),
         F.timestamp_micros("_end").alias("burst_end"),
         F.timestamp_micros(F.col("_end") + step).alias("fires_at"), "events")

@@ -12,7 +12,7 @@ SPAN = 1 << 20
 
 def batches(df: DataFrame, order: str, size: int, span: int = SPAN) -> DataFrame:
     """Number rows along a unique integer and put every ``size`` of them into one batch."""
-    numbered = prefix.running(
+    numbered = prefix.running_sum(
         df, [], F.floor(F.col(order) / span), [order], sums={"row_no": F.lit(1).cast("long")})
     return numbered.withColumn(
         "batch_no", (F.floor((F.col("row_no") - 1) / size) + 1).cast("long"))
@@ -24,7 +24,7 @@ def batch_progress(
     """Rows, tokens and cost per batch with running totals."""
     per_batch = batched.groupBy("batch_no").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(tokens).alias("tokens"))
-    total = prefix.running(
+    total = prefix.running_sum(
         per_batch, [], F.floor(F.col("batch_no") / span), ["batch_no"],
         sums={"rows_so_far": F.col("rows"), "tokens_so_far": F.col("tokens")})
     return total.withColumn(

@@ -32,13 +32,12 @@ def test_prefix_does_not_depend_on_chunks(spark, span):
     rng = random.Random(2)
     rows = [(i, rng.choice(["x", "y", None]), rng.choice([None, 1, 5])) for i in range(200)]
     df = spark.createDataFrame(rows, "i long, k string, v long")
-    got = prefix.running(df, ["k"], F.floor(F.col("i") / span), ["i"],
-                         sums={"s": F.col("v")}, maxima={"m": F.col("v") + F.col("i")}).collect()
+    got = prefix.running_sum(
+        df, ["k"], F.floor(F.col("i") / span), ["i"], {"s": F.col("v"), "n": F.lit(1)}).collect()
     assert len(got) == len(rows)
     for r in got:
-        seen = [(i, v) for i, k, v in rows if k == r.k and i <= r.i and v is not None]
-        assert r.s == sum(v for _, v in seen)
-        assert r.m == max((i + v for i, v in seen), default=None)
+        seen = [v for i, k, v in rows if k == r.k and i <= r.i]
+        assert r.s == sum(v or 0 for v in seen) and r.n == len(seen)
 
 
 def test_batches_and_progress(spark):
