@@ -59,8 +59,9 @@ def miss_reports(
     misses: DataFrame, card: str = "card_id", order: tuple[str, ...] = ("ts", "event_id")
 ) -> DataFrame:
     """One report per card, its first, with the page text cut to the reported length."""
-    first = first_per_key(misses, [card], list(order))
-    return first.withColumn("html", F.substring(F.coalesce("html", F.lit("")), 1, SNIPPET))
+    # Cut first: only the reported part of a page has to move.
+    cut = misses.withColumn("html", F.substring(F.coalesce("html", F.lit("")), 1, SNIPPET))
+    return first_per_key(cut, [card], list(order))
 
 
 def logged_snippet(html: Column) -> Column:

@@ -21,17 +21,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.ratio import CERTAIN_BELOW, partial_ratio
 from ..functions.text import has_wildcard
 
-# Up to this many queries their texts go to every task (names average some tens of bytes);
+# Up to this many bytes the query texts go to every task and drop other substrings at once;
 # beyond it substrings are reduced first and joined by shuffle.
-BROADCAST_QUERIES = 200_000
+BROADCAST_BYTES = 32 << 20
 _FILLER = "\x00"
 
 
 @dataclass(frozen=True)
 class _Shape:
-    """What the plan depends on: counts and the distinct lengths, all small integers."""
+    """What the plan depends on: sizes and the distinct lengths, all small integers."""
 
-    queries: int
+    query_bytes: int
     patterns: int
     lengths: list[int]
     fillers: list[int]
@@ -44,7 +44,7 @@ def best_containing(
     k: int,
     scored: bool = False,
     literal: bool = False,
-    broadcast_queries: int = BROADCAST_QUERIES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Up to ``k`` of ``names`` that contain each query.
 
@@ -62,7 +62,7 @@ def best_containing(
     plain = prepared.where(~F.col("is_pattern")).select("name", "anchor")
     long_name = F.char_length("employer_name") >= CERTAIN_BELOW
     sure = names.where(~long_name) if scored else names
-    found = [_reduce_then_join(plain, sure, shape, k, broadcast_queries)]
+    found = [_reduce_then_join(plain, sure, shape, k, broadcast_bytes)]
     if scored:
         # Whether a long name scores 100 is known per pair only.
         pairs = _join_then_test(plain.withColumn("pattern", F.lit(None).cast("string")),
@@ -103,13 +103,13 @@ def _shape(prepared: DataFrame) -> _Shape:
     n = F.char_length("anchor")
     filler = F.col("anchor").rlike(f"^{_FILLER}*$") & ~F.col("is_pattern")
     row = prepared.agg(
-        F.count(F.lit(1)).alias("queries"),
+        F.coalesce(F.sum(F.octet_length("anchor") + 16), F.lit(0)).alias("query_bytes"),
         F.count_if("is_pattern").alias("patterns"),
         F.collect_set(F.when(~F.col("is_pattern") & ~filler, n)).alias("lengths"),
         F.collect_set(F.when(filler, n)).alias("fillers"),
         F.collect_set(F.when(F.col("is_pattern"), n)).alias("piece_lengths"),
     ).first()
-    return _Shape(row.queries, row.patterns, sorted(row.lengths), sorted(row.fillers),
+    return _Shape(row.query_bytes, row.patterns, sorted(row.lengths), sorted(row.fillers),
                   sorted(row.piece_lengths))
 
 
@@ -140,11 +140,11 @@ def _ints(values: list[int]) -> Column:
 
 
 def _reduce_then_join(
-    plain: DataFrame, names: DataFrame, shape: _Shape, k: int, broadcast_queries: int
+    plain: DataFrame, names: DataFrame, shape: _Shape, k: int, broadcast_bytes: int
 ) -> DataFrame:
     grams = _expand(names, shape.lengths, shape.fillers)
     wanted = plain.select(F.col("anchor").alias("gram")).distinct()
-    if shape.queries <= broadcast_queries:
+    if shape.query_bytes <= broadcast_bytes:
         grams = grams.join(F.broadcast(wanted), "gram", "left_semi")
     grams = grams.withColumn("score", F.lit(100))
     best = _top(grams, k, by="gram")

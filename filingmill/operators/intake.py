@@ -10,21 +10,26 @@ from ..config import AUTO_ALIAS, CERTIFIED, FILE_ORDER, VISA_CLASS
 from ..functions import text
 
 
-def certified_filings(raw: DataFrame, status: str = CERTIFIED, visa: str = VISA_CLASS) -> DataFrame:
-    """Rows that can become a case.
+def is_case(status: str = CERTIFIED, visa: str = VISA_CLASS) -> Column:
+    """Whether a raw row can become a case; cheap and telling tests first.
 
     ``contains`` is implied by the exact test and, unlike it, is handed to the scan. A name
-    is empty after normalising exactly when it is missing before, so names are normalised
-    only for the rows that survive the dedupe.
+    is empty after normalising exactly when it is missing before, so names need not be
+    normalised here.
     """
-    return raw.where(
+    return (
         F.col("case_status").contains(status)
         & F.col("visa_class").contains(visa)
         & (text.strip(F.col("case_status")) == status)
         & (text.strip(F.col("visa_class")) == visa)
         & ~text.is_missing(F.col("case_number"))
-        & ~text.is_missing(F.col("employer_name"))
-    ).withColumn("case_number", text.strip(F.col("case_number")))
+        & ~text.is_missing(F.col("employer_name")))
+
+
+def certified_filings(raw: DataFrame, status: str = CERTIFIED, visa: str = VISA_CLASS) -> DataFrame:
+    """Rows that can become a case."""
+    return raw.where(is_case(status, visa)).withColumn(
+        "case_number", text.strip(F.col("case_number")))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -38,7 +43,10 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 
 def clean_cases(raw: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
-    """One normalised row per case number; the earliest file and row win."""
+    """One normalised row per case number; the earliest file and row win.
+
+    Fields are normalised after the dedupe, so copies cost no text work.
+    """
     kept = first_per_key(certified_filings(raw), ["case_number"], order)
     return kept.select(
         "case_number",
@@ -144,27 +152,21 @@ def file_counters(raw: DataFrame, file: str = "file_priority") -> DataFrame:
     Rows collapse to (file, case) pairs before they move; rows that are no case share the
     NULL case and collapse to one pair per file and task.
     """
-    ok = (
-        (text.strip(F.col("case_status")) == CERTIFIED)
-        & (text.strip(F.col("visa_class")) == VISA_CLASS)
-        & ~text.is_missing(F.col("case_number"))
-        & ~text.is_missing(F.col("employer_name"))
-    )
     pairs = (
-        raw.select(file, F.when(ok, text.strip(F.col("case_number"))).alias("case_number"))
+        raw.select(file, F.when(is_case(), text.strip(F.col("case_number"))).alias("case_number"))
         .groupBy("case_number", file)
         .agg(F.count(F.lit(1)).alias("n"))
     )
     # At most one row per file in each group.
     first = F.min(file).over(Window.partitionBy("case_number"))
-    is_case = F.col("case_number").isNotNull()
+    kept = F.col("case_number").isNotNull()
     return (
         pairs.withColumn("first_file", first)
         .groupBy(file)
         .agg(
             F.sum("n").alias("total_rows"),
-            F.count_if(is_case).alias("kept_unique"),
-            F.count_if(is_case & (F.col("first_file") == F.col(file))).alias("new_cases"),
+            F.count_if(kept).alias("kept_unique"),
+            F.count_if(kept & (F.col("first_file") == F.col(file))).alias("new_cases"),
         )
     )
 

@@ -1,7 +1,7 @@
 """Nearest vectors by cosine, exact or through hash buckets, block by block.
 
-Both sides are cut into blocks of bounded size inside each group: one group for the exact
-search, one per hash bucket for the approximate one. Every pair of blocks of a group is one
+Both sides are cut into blocks of bounded size inside each group: one group per vector length
+for the exact search, one per hash bucket for the approximate one. Every pair of blocks of a group is one
 task: a matrix product that hands on only the ``k`` best per query. Pairs never become rows,
 no side passes through the driver, and a group with a third of all vectors is simply cut into
 more blocks. A last ranking keeps ``k`` of the per-block results.
@@ -49,7 +49,8 @@ def top_neighbours(
         F.coalesce("total_h1b_certified", F.lit(0)).cast("long").alias("total_h1b_certified"),
         F.col("embedding").alias("vector"))
     if hashing is None:
-        q, e = (d.withColumn("bucket", F.lit(0)) for d in (q, e))
+        # Only vectors of one length can be compared.
+        q, e = (d.withColumn("bucket", F.size("vector")) for d in (q, e))
     else:
         q, e = (_hashed(d, hashing) for d in (q, e))
     found = _per_block(*_blocks(q, e, query_block, name_block), k)
@@ -62,8 +63,8 @@ def top_neighbours(
 def _blocks(q: DataFrame, e: DataFrame, query_block: int, name_block: int):
     """Give each side its own block number and repeat it for every block of the other.
 
-    The block counts have one row per bucket: a single one, or at most tables x 2^bits, so
-    sending them to every task is safe whatever the data.
+    The block counts have one row per bucket: one per vector length, or at most tables x 2^bits,
+    so sending them to every task is safe however many vectors there are.
     """
     cores = q.sparkSession.sparkContext.defaultParallelism
     n_e, n_q = F.col("n_e"), F.col("n_q")

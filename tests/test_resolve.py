@@ -113,8 +113,8 @@ def like(name, query):
     return re.fullmatch(out, name.lower(), re.S) is not None
 
 
-@pytest.mark.parametrize("broadcast_queries", [0, 10_000])
-def test_containment_equals_brute_force(spark, broadcast_queries):
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_containment_equals_brute_force(spark, broadcast_bytes):
     rng = random.Random(11)
     names = sorted({"".join(rng.choices("ABC _%", k=rng.randint(1, 9))).strip() or "A" for _ in range(300)})
     emp = [(n, rng.choice([0, 1, 5, None])) for n in names]
@@ -123,7 +123,7 @@ def test_containment_equals_brute_force(spark, broadcast_queries):
     q = spark.createDataFrame([(x,) for x in queries], "name string")
     e = spark.createDataFrame(emp, "employer_name string, total_h1b_certified int")
     got = {}
-    for r in best_containing(q, e, 3, broadcast_queries=broadcast_queries).orderBy("name", "place").collect():
+    for r in best_containing(q, e, 3, broadcast_bytes=broadcast_bytes).orderBy("name", "place").collect():
         got.setdefault(r.name, []).append(r.employer_name)
     want = {}
     for x in queries:
