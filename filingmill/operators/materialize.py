@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,9 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise ValueError(f"set {_KEY} to a folder all executors can reach (master is {master})")
-    folder = tempfile.mkdtemp(prefix="filingmill-")
-    spark.conf.set(_KEY, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="filingmill-")
+    return _local_dirs[application]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
