@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 QUERY_BLOCK = 4096
-NAME_BLOCK = 16384
+NAME_BLOCK = 8192
 MIN_NAME_BLOCK = 512
 
 

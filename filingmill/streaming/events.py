@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..config import CHECK_LIMITS, Limits, Listing
+from ..operators.attempts import logged_snippet
 
 LATENESS = "10 minutes"
 
@@ -65,6 +67,16 @@ def miss_counts(misses: DataFrame, every: str = "1 hour", ts: str = "ts", latene
         .select("url", F.col("w.start").alias("window_start"), "misses"))
 
 
+def write_misses(
+    misses: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Append reported misses, page text cut to the logged length."""
+    reports = misses.withColumn("html", logged_snippet(F.col("html")))
+    return (reports.writeStream.format("parquet").outputMode("append")
+            .option("path", out).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def abandoned_cards(
     attempts: DataFrame,
     failed: Column,

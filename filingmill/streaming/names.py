@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
+from ..operators.materialize import temporary
 from ..plans.resolve import one_alias, records, resolve
 
 
@@ -41,11 +42,13 @@ def resolve_stream(
 ) -> StreamingQuery:
     """All layers for every micro-batch, written below ``out`` by batch.
 
-    A batch that is run again after a failure overwrites its own folder.
+    A batch that is run again after a failure overwrites its own folder. Intermediate
+    tables of a batch are deleted when it is written.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        resolve(batch, employers, aliases, **options).write.mode("overwrite").parquet(
-            f"{out}/batch_id={batch_id}")
+        with temporary(batch.sparkSession):
+            resolve(batch, employers, aliases, **options).write.mode("overwrite").parquet(
+                f"{out}/batch_id={batch_id}")
 
     return (names.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -166,3 +166,12 @@ def test_candidates_in_order_of_trust(spark):
     texts = spark.createDataFrame([(2, 0, "Primary One\nAustin, TX")], "card_id int, ord int, text string")
     names = listings.text_candidates(texts, listings.PRIMARY).collect()
     assert [r.name for r in names] == ["Primary One"]
+
+
+def test_misses_are_appended_and_cut(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "x" * 900), (2, "u", None)], "card_id int, url string, html string").write.parquet(
+        str(tmp_path / "in"))
+    stream = spark.readStream.schema("card_id int, url string, html string").parquet(str(tmp_path / "in"))
+    streams.write_misses(stream, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination(60)
+    rows = spark.read.parquet(str(tmp_path / "o")).orderBy("card_id").collect()
+    assert [len(r.html) for r in rows] == [500, 0]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from filingmill.config import FILING_HEADERS
 from filingmill.operators import aliases as alias_ops
 from filingmill.operators import intake, merge
-from filingmill.operators.materialize import materialize
+from filingmill.operators.materialize import materialize, temporary
 from filingmill.plans import intake as plan
 from filingmill.sources import sinks, tables, workbook
 
@@ -239,3 +239,21 @@ def test_materialized_copy_is_read_from_the_shared_folder(spark):
     df = materialize(spark.range(5).withColumn("x", F.col("id") * 2), "t")
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
     assert df.count() == 5 and all(folder in f for f in df.inputFiles())
+
+
+def test_temporary_copies_are_deleted(spark):
+    import os
+
+    with temporary(spark):
+        df = materialize(spark.range(3), "gone")
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_pending_vectors_by_id(spark):
+    df = spark.createDataFrame([(3, "C", None), (1, "A", [1.0]), (2, "B", None)],
+                               "id int, employer_name string, embedding array<float>")
+    assert [r.id for r in merge.pending(df, 1).collect()] == [2]
+    assert merge.pending(df).count() == 2
+    assert merge.coverage(df).first().pending == 2
