@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ratio import CERTAIN_BELOW, partial_ratio
 from ..functions.text import has_wildcard
@@ -114,22 +114,28 @@ def _shape(prepared: DataFrame) -> _Shape:
 
 
 def _expand(names: DataFrame, lengths: list[int], fillers: list[int]) -> DataFrame:
-    """One row per name and distinct substring of a wanted length."""
-    lowered, n = F.lower("employer_name"), F.char_length(F.lower("employer_name"))
-    empty = F.array().cast(T.ArrayType(T.StringType()))
+    """One row per name and distinct substring of a wanted length.
 
-    def cut(size: Column) -> Column:
-        starts = F.sequence(F.lit(1), n - size + 1)
-        return F.when(size <= n, F.array_distinct(
-            F.transform(starts, lambda i: F.substr(lowered, i, size)))).otherwise(empty)
+    A few bytes of names become many substrings, so names are spread over all tasks first.
+    """
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lowered = F.col("_lowered")
+    spread = names.repartition(tasks, "employer_name").withColumn("_lowered", F.lower("employer_name"))
+    n, size, start = F.char_length(lowered), F.col("_size"), F.col("_start")
 
     parts = []
     if lengths:
-        sized = names.withColumn("_size", F.explode(_ints(lengths)))
-        parts.append(sized.withColumn("gram", F.explode(cut(F.col("_size")))).drop("_size"))
+        starts = F.explode(F.sequence(F.lit(1), n - size + 1))
+        cut = (
+            spread.withColumn("_size", F.explode(_ints(lengths))).where(size <= n)
+            .withColumn("_start", starts)
+            .withColumn("gram", F.substr(lowered, start, size))
+            # A repeated substring counts where it occurs first.
+            .where(F.position("gram", "_lowered") == start))
+        parts.append(cut.drop("_size", "_start", "_lowered"))
     if fillers:
-        sized = names.withColumn("_size", F.explode(_ints(fillers))).where(F.col("_size") <= n)
-        parts.append(sized.withColumn("gram", F.repeat(F.lit(_FILLER), F.col("_size"))).drop("_size"))
+        sized = spread.withColumn("_size", F.explode(_ints(fillers))).where(size <= n)
+        parts.append(sized.withColumn("gram", F.repeat(F.lit(_FILLER), size)).drop("_size", "_lowered"))
     if not parts:
         return names.where(F.lit(False)).withColumn("gram", F.lit(None).cast("string"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
