@@ -10,7 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..config import AUTO_ALIAS
+from ..config import AUTO_ALIAS, Embedding
 from ..functions import coerce
 
 EMPLOYER_VALUES = (
@@ -98,11 +98,8 @@ def with_vector_column(stored: DataFrame) -> DataFrame:
     return stored.withColumn("embedding", F.lit(None).cast(T.ArrayType(T.FloatType())))
 
 
-def coverage(employers: DataFrame) -> DataFrame:
+def coverage(employers: DataFrame, cfg: Embedding = Embedding()) -> DataFrame:
     """Employers in total, without and with a vector, and what filling the rest may cost."""
-    from ..config import Embedding
-
-    cfg = Embedding()
     pending = F.count_if(F.col("embedding").isNull())
     tokens = pending * cfg.tokens_per_name
     return employers.agg(
