@@ -8,7 +8,7 @@ from comparing import differences, duck
 import __spark_entry__ as registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
