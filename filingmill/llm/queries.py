@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.sample_views import table
-from . import line_dedup, quality, secrets, segment_search
+from . import line_dedup, order_minhash, quality, secrets, segment_search
 
 
 def _documents(spark, sf):
@@ -17,6 +17,10 @@ def op1_quality_rules(spark, sf):
     return quality.judge_by_labels(docs, table(spark, sf, "labels")).drop("score")
 
 
+def op2_near_duplicates(spark, sf):
+    return order_minhash.near_duplicates(_documents(spark, sf))
+
+
 def op6_line_dedup(spark, sf):
     done = line_dedup.drop_shared_lines(_documents(spark, sf))
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -32,4 +36,4 @@ def op10_exact_topk(spark, sf):
     return segment_search.top_inner_products(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_line_dedup, op9_secret_scans, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op6_line_dedup, op9_secret_scans, op10_exact_topk)}
