@@ -66,3 +66,59 @@ def top_k(vectors, every=50, k=5):
             scores = [(-sum(a * b for a, b in zip(v, w)), x) for x, w in vectors.items() if x != q and len(w) == len(v)]
             out += [(q, r, x, -s) for r, (s, x) in enumerate(sorted(scores)[:k], 1)]
     return out
+
+
+def kmers(text, k=5):
+    """Labelled k-mers of lower-cased runs of letters and digits, in text order."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    k, seen, out = min(k, len(words)), Counter(), []
+    for i in range(len(words) - k + 1 if words else 0):
+        w = tuple(words[i:i + k])
+        out.append((w, seen[w]))
+        seen[w] += 1
+    return out
+
+
+def aligned(a, b):
+    """Length of the longest common subsequence, by the full table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def near_classes(docs, threshold=0.8):
+    """docs: {doc_id: text} -> ({doc_id: smallest id of its class}, linked pairs)"""
+    parts = {d: kmers(t or "") for d, t in docs.items()}
+    root = {d: d for d in docs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    holders, links = defaultdict(list), []
+    for d in sorted(docs):
+        if parts[d]:
+            for m in parts[d]:
+                holders[m].append(d)
+    for d in sorted(docs):
+        common = Counter(x for m in parts[d] for x in holders[m] if x < d)
+        for x, n in common.items():
+            total = len(parts[d]) + len(parts[x])
+            if n / (total - n) >= threshold:
+                n = len(parts[d]) if parts[d] == parts[x] else aligned(parts[d], parts[x])
+                if n / (total - n) >= threshold:
+                    links.append((x, d))
+                    a, b = sorted((find(x), find(d)))
+                    root[b] = a
+    equal = defaultdict(list)
+    for d, t in docs.items():
+        if not parts[d] and t is not None:
+            equal[t].append(d)
+    for group in equal.values():
+        for d in group:
+            root[d] = min(group)
+    return {d: find(d) for d in docs}, links
