@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.sample_views import table
-from . import line_dedup, order_minhash, quality, secrets, segment_search
+from . import language, line_dedup, order_minhash, quality, secrets, segment_search
 
 
 def _documents(spark, sf):
@@ -21,6 +21,14 @@ def op2_near_duplicates(spark, sf):
     return order_minhash.near_duplicates(_documents(spark, sf))
 
 
+def op4_language_id(spark, sf):
+    docs = _documents(spark, sf)
+    model = language.fit(docs.where(~language.held_out("doc_id")))
+    done = language.predict(docs, model)
+    return done.select(
+        "row.doc_id", language.held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_line_dedup(spark, sf):
     done = line_dedup.drop_shared_lines(_documents(spark, sf))
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -36,4 +44,4 @@ def op10_exact_topk(spark, sf):
     return segment_search.top_inner_products(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op6_line_dedup, op9_secret_scans, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op4_language_id, op6_line_dedup, op9_secret_scans, op10_exact_topk)}
