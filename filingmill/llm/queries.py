@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from pyspark.sql import functions as F
 
 from ..sources.sample_views import table
-from . import language, line_dedup, order_minhash, quality, secrets, segment_search
+from . import bpe, language, line_dedup, order_minhash, quality, secrets, segment_search
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _documents(spark, sf):
@@ -29,6 +33,11 @@ def op4_language_id(spark, sf):
         "row.doc_id", language.held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_bpe(spark, sf):
+    done = bpe.digests(_documents(spark, sf), TOKENIZER)
+    return done.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op6_line_dedup(spark, sf):
     done = line_dedup.drop_shared_lines(_documents(spark, sf))
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -44,4 +53,4 @@ def op10_exact_topk(spark, sf):
     return segment_search.top_inner_products(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op4_language_id, op6_line_dedup, op9_secret_scans, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op4_language_id, op5_bpe, op6_line_dedup, op9_secret_scans, op10_exact_topk)}
