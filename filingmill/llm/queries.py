@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.sample_views import table
-from . import bpe, language, line_dedup, order_minhash, quality, secrets, segment_search, token_files
+from . import bpe, language, line_dedup, order_minhash, packing, quality, secrets, segment_search, token_files, url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,6 +25,10 @@ def op2_near_duplicates(spark, sf):
     return order_minhash.near_duplicates(_documents(spark, sf))
 
 
+def op3_url_filters(spark, sf):
+    return url_filter.judge(table(spark, sf, "pages"))
+
+
 def op4_language_id(spark, sf):
     docs = _documents(spark, sf)
     model = language.fit(docs.where(~language.held_out("doc_id")))
@@ -43,6 +47,10 @@ def op6_line_dedup(spark, sf):
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_packing(spark, sf):
+    return packing.pack(packing.measured(_documents(spark, sf)))
+
+
 def op8_token_files(spark, sf):
     return token_files.written(_documents(spark, sf), TOKENIZER).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -57,4 +65,6 @@ def op10_exact_topk(spark, sf):
     return segment_search.top_inner_products(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op4_language_id, op5_bpe, op6_line_dedup, op8_token_files, op9_secret_scans, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_near_duplicates, op3_url_filters, op4_language_id, op5_bpe, op6_line_dedup,
+    op7_packing, op8_token_files, op9_secret_scans, op10_exact_topk)}
