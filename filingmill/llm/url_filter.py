@@ -36,6 +36,8 @@ UNIT = 1 << 20
 LONGEST = 24
 # Share of unwanted names before anything is known, and of ordinary words in the unwanted class.
 PRIOR, ORDINARY = 0.1, 0.9
+# What a word counts for that no page has.
+UNSEEN = 0.01
 # What a labelled word counts for in the unigram model, at least.
 LABELLED = 5
 
@@ -112,7 +114,7 @@ def name_scores(distinct: DataFrame, counts: DataFrame) -> DataFrame:
                 words = split_name(name, known, -math.log(whole))
                 ratio = 0
                 for w in words:
-                    p = (seen.get(w, 0) + 1) / whole
+                    p = (seen.get(w, 0) + UNSEEN) / whole
                     q = (1 - ORDINARY) * (w in listed) / len(UNWANTED) + ORDINARY * p
                     ratio += round(UNIT * math.log(q / p))
                 out.append((words, ratio))
