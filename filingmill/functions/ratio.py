@@ -6,28 +6,27 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-# A text contained in one shorter than this always scores 100: sequence matching starts to
-# ignore frequent characters only from this length on.
-CERTAIN_BELOW = 200
+# Below this length the matcher looks at every character of the longer text; from it on it
+# leaves out frequent ones, so even a contained text may score less than 100.
+WHOLE_BELOW = 200
 
 
 @F.pandas_udf(IntegerType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Best match ratio of the shorter text against equally long pieces of the longer one."""
+    """Best ratio of the shorter text and a window of its length in the longer one.
+
+    The windows are those that line up with a block both texts share. Null or empty: 0.
+    """
     from difflib import SequenceMatcher
 
-    def best(x: str, y: str) -> int:
-        if x is None or y is None or not x or not y:
+    def best(x: str | None, y: str | None) -> int:
+        if not x or not y:
             return 0
-        small, large = (x, y) if len(x) <= len(y) else (y, x)
-        top = 0.0
-        for match in SequenceMatcher(None, small, large).get_matching_blocks():
-            start = max(match.b - match.a, 0)
-            piece = large[start:start + len(small)]
-            ratio = SequenceMatcher(None, small, piece).ratio()
-            if ratio > 0.995:
-                return 100
-            top = max(top, ratio)
-        return int(round(100 * top))
-
-    return pd.Series([best(x, y) for x, y in zip(a, b)])
+        short, long = sorted((x, y), key=len)
+        blocks = SequenceMatcher(None, short, long).get_matching_blocks()
+        starts = {max(0, m.b - m.a) for m in blocks}
+        ratios = [SequenceMatcher(None, short, long[s:s + len(short)]).ratio() for s in starts]
+        # The matcher's own rounding: nearly equal counts as equal.
+        return 100 if max(ratios) > 0.995 else int(round(100 * max(ratios)))
+
+    return pd.Series([best(x, y) for x, y in zip(a, b)], dtype="int32")

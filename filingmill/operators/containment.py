@@ -1,50 +1,38 @@
-"""Names found inside other names, as equi-joins.
-
-A query of length n lies inside a name exactly when it equals one of the name's substrings
-of length n. So every name is expanded into its substrings, for the lengths that occur among
-the queries only, and the best names per substring are looked up by equality. The expansion
-grows with the names alone. Best-of-k runs per substring, where Spark keeps k rows per task
-before it shuffles, so a substring shared by most names stays cheap and pairs of queries and
-names are never listed.
-
-``%``, ``_`` and ``\\`` in a query act as in LIKE. Such queries are joined on their longest
-literal piece and then tested; a query of wildcards only asks for a minimum length, which is
-again an equality on a run of filler characters.
+"""Names found inside other names, as equi-joins on rare pieces.
+
+A query lies inside a name only if all its three-character pieces do. So every query is looked up
+by one piece, the one that the fewest names hold, among the pieces of all names, and what meets is
+tested. Names are expanded into as many rows as they have characters, whatever the queries are,
+and a piece that most names share is used only by queries made of nothing else.
+
+Queries of one or two characters would meet too many names. They equal a piece of the name, so
+the best names per piece are kept before anything is shuffled, and the query looks these up.
+
+``%``, ``_`` and ``\\`` in a query act as in LIKE. Such queries are joined on a rare piece of
+their longest literal part and then tested; a query of wildcards only asks for a minimum length,
+which is an equality on a run of filler characters.
+
+With ``scored``, places follow the partial ratio of query and name. It is 100 where the name has
+the query as it is written, on names short enough for the ratio to look at every character, and 0
+where they share no character; only other pairs are computed.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.ratio import CERTAIN_BELOW, partial_ratio
+from ..functions.ratio import WHOLE_BELOW, partial_ratio
 from ..functions.text import has_wildcard
 
-# Up to this many bytes the query texts go to every task and drop other substrings at once;
-# beyond it substrings are reduced first and joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+PIECE = 3
 _FILLER = "\x00"
-
-
-@dataclass(frozen=True)
-class _Shape:
-    """What the plan depends on: sizes and the distinct lengths, all small integers."""
-
-    query_bytes: int
-    patterns: int
-    lengths: list[int]
-    fillers: list[int]
-    piece_lengths: list[int]
+# Private characters that stand for escaped %, _ and \ while a pattern is cut.
+_ESCAPED, _STAND = "%_\\", "\ue000\ue001\ue002"
+_COLUMNS = ("name", "employer_name", "total_h1b_certified", "score")
 
 
 def best_containing(
-    queries: DataFrame,
-    names: DataFrame,
-    k: int,
-    scored: bool = False,
-    literal: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    queries: DataFrame, names: DataFrame, k: int, scored: bool = False, literal: bool = False,
 ) -> DataFrame:
     """Up to ``k`` of ``names`` that contain each query.
 
@@ -54,125 +42,140 @@ def best_containing(
     Returns name, employer_name, total_h1b_certified, score, place.
     """
     prepared = queries.select("name", *_anchor_columns(F.col("name"), literal))
-    shape = _shape(prepared)
     names = names.select(
-        "employer_name",
+        "employer_name", F.lower("employer_name").alias("lowered"),
         F.coalesce("total_h1b_certified", F.lit(0)).cast("long").alias("total_h1b_certified"))
 
-    plain = prepared.where(~F.col("is_pattern")).select("name", "anchor")
-    long_name = F.char_length("employer_name") >= CERTAIN_BELOW
-    sure = names.where(~long_name) if scored else names
-    found = [_reduce_then_join(plain, sure, shape, k, broadcast_bytes)]
-    if scored:
-        # Whether a long name scores 100 is known per pair only.
-        pairs = _join_then_test(plain.withColumn("pattern", F.lit(None).cast("string")),
-                                names.where(long_name), shape.lengths, shape.fillers)
-        found.append(_top(_score(pairs), k))
-    if shape.patterns:
-        patterns = prepared.where("is_pattern").select("name", "anchor", "pattern")
-        pairs = _join_then_test(patterns, names, shape.piece_lengths, [])
-        found.append(_top(_score(pairs) if scored else _full_score(pairs), k))
-
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
-    return _top(result, k) if scored else result
+    size = F.char_length("anchor")
+    longer = prepared.where((size >= PIECE) & ~F.col("only_wild"))
+    parts = [_rated(_by_rare_piece(longer, names), scored)]
+    counts = prepared.agg(
+        F.count_if("only_wild").alias("wild"),
+        F.count_if((size < PIECE) & ~F.col("only_wild") & F.col("pattern").isNull()).alias("short"),
+        F.count_if((size < PIECE) & ~F.col("only_wild") & F.col("pattern").isNotNull()).alias("patterns")).first()
+    if counts.short:
+        short = prepared.where((size < PIECE) & ~F.col("only_wild") & F.col("pattern").isNull())
+        parts.append(_short(short, names, k, scored))
+    if counts.patterns:
+        short = prepared.where((size < PIECE) & ~F.col("only_wild") & F.col("pattern").isNotNull())
+        parts.append(_rated(_tested(short, _expanded(names, F.concat(_pieces("lowered", 1), _pieces("lowered", 2)))), scored))
+    if counts.wild:
+        parts.append(_only_wild(prepared.where("only_wild"), names, k, scored))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return _top(found, k)
 
 
 def _anchor_columns(name: Column, literal: bool) -> list[Column]:
+    """anchor: longest literal part, lower case; pattern: LIKE text, if not just the anchor."""
     lowered = F.lower(name)
     if literal:
-        return [lowered.alias("anchor"), F.lit(None).cast("string").alias("pattern"),
-                F.lit(False).alias("is_pattern")]
-    wild = has_wildcard(name)
-    # A backslash in front of an ordinary character only drops out.
-    like = F.regexp_replace(F.concat(F.lit("%"), lowered, F.lit("%")), r"(?s)(\\[%_\\])|\\(.)", "$1$2")
+        return [lowered.alias("anchor"), F.lit(None).cast("string").alias("pattern"), F.lit(False).alias("only_wild")]
+    # Escapes become single characters; a backslash in front of anything else drops out.
+    tokens = F.regexp_extract_all(F.concat(F.lit("%"), lowered, F.lit("%")), F.lit(r"(?s)\\.|."), F.lit(0))
+    like = F.array_join(F.transform(tokens, lambda t: F.when(
+        F.char_length(t) == 2, F.translate(F.substring(t, 2, 1), _ESCAPED, _STAND)).otherwise(t)), "")
+    # A backslash at the end escapes the last %, so the name has to end there.
+    is_open = like.endswith("%")
+    inner = F.substring(like, F.lit(2), F.char_length(like) - F.when(is_open, 2).otherwise(1))
     pieces = F.transform(
-        F.split(like, r"(?s)\\.|[%_]"), lambda p: F.named_struct(F.lit("n"), F.char_length(p), F.lit("p"), p))
-    piece = F.array_max(pieces)["p"]
-    only_wild = wild & name.rlike(r"^[%_]*$")
-    filler = F.repeat(F.lit(_FILLER), F.char_length(F.replace(name, F.lit("%"), F.lit(""))))
+        F.split(inner, "[%_]"), lambda p: F.named_struct(
+            F.lit("n"), F.char_length(p), F.lit("p"), F.translate(p, _STAND, _ESCAPED)))
+    wild = inner.rlike("[%_]") | ~is_open
+    only_wild = inner.rlike("^[%_]+$") & is_open
+    quoted = like
+    for stand, c in zip(_STAND, _ESCAPED):
+        quoted = F.replace(quoted, F.lit(stand), F.lit("\\" + c))
+    filler = F.repeat(F.lit(_FILLER), F.char_length(F.replace(inner, F.lit("%"), F.lit(""))))
     return [
-        F.when(only_wild, filler).when(wild, piece).otherwise(lowered).alias("anchor"),
-        F.when(wild & ~only_wild, like).alias("pattern"),
-        (wild & ~only_wild).alias("is_pattern"),
-    ]
-
-
-def _shape(prepared: DataFrame) -> _Shape:
-    n = F.char_length("anchor")
-    filler = F.col("anchor").rlike(f"^{_FILLER}*$") & ~F.col("is_pattern")
-    row = prepared.agg(
-        F.coalesce(F.sum(F.octet_length("anchor") + 16), F.lit(0)).alias("query_bytes"),
-        F.count_if("is_pattern").alias("patterns"),
-        F.collect_set(F.when(~F.col("is_pattern") & ~filler, n)).alias("lengths"),
-        F.collect_set(F.when(filler, n)).alias("fillers"),
-        F.collect_set(F.when(F.col("is_pattern"), n)).alias("piece_lengths"),
-    ).first()
-    return _Shape(row.query_bytes, row.patterns, sorted(row.lengths), sorted(row.fillers),
-                  sorted(row.piece_lengths))
-
-
-def _expand(names: DataFrame, lengths: list[int], fillers: list[int]) -> DataFrame:
-    """One row per name and distinct substring of a wanted length.
-
-    A few bytes of names become many substrings, so names are spread over all tasks first.
-    """
-    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lowered = F.col("_lowered")
-    spread = names.repartition(tasks, "employer_name").withColumn("_lowered", F.lower("employer_name"))
-    n, size, start = F.char_length(lowered), F.col("_size"), F.col("_start")
-
-    parts = []
-    if lengths:
-        starts = F.explode(F.sequence(F.lit(1), n - size + 1))
-        cut = (
-            spread.withColumn("_size", F.explode(_ints(lengths))).where(size <= n)
-            .withColumn("_start", starts)
-            .withColumn("gram", F.substr(lowered, start, size))
-            # A repeated substring counts where it occurs first.
-            .where(F.position("gram", "_lowered") == start))
-        parts.append(cut.drop("_size", "_start", "_lowered"))
-    if fillers:
-        sized = spread.withColumn("_size", F.explode(_ints(fillers))).where(size <= n)
-        parts.append(sized.withColumn("gram", F.repeat(F.lit(_FILLER), size)).drop("_size", "_lowered"))
-    if not parts:
-        return names.where(F.lit(False)).withColumn("gram", F.lit(None).cast("string"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _ints(values: list[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def _reduce_then_join(
-    plain: DataFrame, names: DataFrame, shape: _Shape, k: int, broadcast_bytes: int
-) -> DataFrame:
-    grams = _expand(names, shape.lengths, shape.fillers)
-    wanted = plain.select(F.col("anchor").alias("gram")).distinct()
-    if shape.query_bytes <= broadcast_bytes:
-        grams = grams.join(F.broadcast(wanted), "gram", "left_semi")
-    grams = grams.withColumn("score", F.lit(100))
-    best = _top(grams, k, by="gram")
-    return plain.join(best, F.col("anchor") == F.col("gram")).select(
-        "name", "employer_name", "total_h1b_certified", "score", "place")
-
-
-def _join_then_test(
-    queries: DataFrame, names: DataFrame, lengths: list[int], fillers: list[int]
-) -> DataFrame:
-    grams = _expand(names, lengths, fillers)
-    pairs = queries.join(grams, F.col("anchor") == F.col("gram"))
-    matches = F.expr("pattern is null or lower(employer_name) like pattern")
-    return pairs.where(matches).select("name", "employer_name", "total_h1b_certified")
+        F.when(only_wild, filler).otherwise(F.array_max(pieces)["p"]).alias("anchor"),
+        F.when(wild & ~only_wild, quoted).alias("pattern"), only_wild.alias("only_wild")]
 
 
-def _score(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("score", partial_ratio(F.col("name"), F.col("employer_name")))
+def _pieces(column: str, n: int) -> Column:
+    """The distinct runs of ``n`` characters."""
+    text = F.col(column)
+    last = F.char_length(text) - n + 1
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(last > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def _full_score(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("score", F.lit(100))
+def _expanded(names: DataFrame, pieces: Column) -> DataFrame:
+    """One row per name and piece; a few bytes become many, so names are spread over tasks first."""
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return names.repartition(tasks, "employer_name").withColumn("piece", F.explode(pieces))
+
+
+def _by_rare_piece(queries: DataFrame, names: DataFrame) -> DataFrame:
+    held = _expanded(names, _pieces("lowered", PIECE))
+    asked = queries.select("name", F.explode(_pieces("anchor", PIECE)).alias("piece"))
+    common = held.groupBy("piece").agg(F.count("*").alias("names"))
+    # A piece that no name has is the rarest of all: its query finds nothing.
+    rare = asked.join(common, "piece", "left").groupBy("name").agg(
+        F.min_by("piece", F.struct(F.coalesce("names", F.lit(0)), F.col("piece"))).alias("piece"))
+    return _met(queries.join(rare, "name"), held)
+
+
+def _tested(queries: DataFrame, held: DataFrame) -> DataFrame:
+    return _met(queries.withColumn("piece", F.col("anchor")), held)
+
+
+def _met(queries: DataFrame, held: DataFrame) -> DataFrame:
+    met = queries.join(held, "piece")
+    matches = F.expr("if(pattern is null, contains(lowered, anchor), lowered like pattern)")
+    return met.where(matches).select("name", "employer_name", "total_h1b_certified")
+
+
+def _certain(name: Column, employer: Column) -> Column:
+    """Where the ratio is 100 without computing it."""
+    return employer.contains(name) & (F.char_length(employer) < WHOLE_BELOW)
+
+
+def _rated(pairs: DataFrame, scored: bool) -> DataFrame:
+    if not scored:
+        return pairs.withColumn("score", F.lit(100)).select(*_COLUMNS)
+    name, employer = F.col("name"), F.col("employer_name")
+    certain = _certain(name, employer)
+    computed = partial_ratio(F.when(~certain, name), F.when(~certain, employer))
+    return pairs.withColumn("score", F.when(certain, 100).otherwise(computed)).select(*_COLUMNS)
+
+
+def _short(queries: DataFrame, names: DataFrame, k: int, scored: bool) -> DataFrame:
+    """Queries of one or two characters: the best names per piece, then the queries."""
+    look_up = queries.select("name", F.col("anchor" if not scored else "name").alias("piece"))
+
+    def kept(column: str, rows: DataFrame) -> DataFrame:
+        held = _expanded(rows, F.concat(_pieces(column, 1), _pieces(column, 2))).withColumn("score", F.lit(100))
+        return look_up.join(_top(held, k, by="piece").drop("place"), "piece").select(*_COLUMNS)
+
+    if not scored:
+        return kept("lowered", names)
+    # Only the names that do not hold the query as written, or are long, are rated one by one.
+    sure = kept("employer_name", names.where(F.char_length("employer_name") < WHOLE_BELOW))
+    odd = names.where(
+        (F.char_length("employer_name") >= WHOLE_BELOW) | (F.upper("employer_name") != F.col("employer_name")))
+    pairs = _tested(queries, _expanded(odd, F.concat(_pieces("lowered", 1), _pieces("lowered", 2))))
+    other = queries.where((F.upper("name") != F.col("name")) | has_wildcard(F.col("name")))
+    plain = pairs.where(~_certain(F.col("name"), F.col("employer_name"))).join(other.select("name"), "name", "left_anti")
+    special = _tested(other, _expanded(names, F.concat(_pieces("lowered", 1), _pieces("lowered", 2))))
+    return sure.join(other.select("name"), "name", "left_anti").unionByName(
+        _rated(plain, True)).unionByName(_rated(special, True))
+
+
+def _only_wild(queries: DataFrame, names: DataFrame, k: int, scored: bool) -> DataFrame:
+    """Queries of wildcards only: names of a least length, best first."""
+    sizes = [r[0] for r in queries.select(F.char_length("anchor")).distinct().collect()]  # a few small numbers
+    wanted = F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: n <= F.char_length("lowered"))
+    held = names.withColumn("n", F.explode(wanted)).withColumn("piece", F.repeat(F.lit(_FILLER), F.col("n"))).drop("n")
+    shares = F.col("employer_name").rlike(r"[%_]")
+    rest = held.where(~shares) if scored else held
+    best = _top(rest.withColumn("score", F.lit(0 if scored else 100)), k, by="piece")
+    look_up = queries.select("name", F.col("anchor").alias("piece"))
+    found = look_up.join(best, "piece").select(*_COLUMNS)
+    if scored:
+        found = found.unionByName(_rated(look_up.join(held.where(shares), "piece"), True))
+    return found
 
 
 def _top(df: DataFrame, k: int, by: str = "name") -> DataFrame:

@@ -11,12 +11,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
-_open_scopes: list[list[str]] = []
+# Paths to delete, per thread of work: a stream's batch never sees another one's copies.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    for scope in _open_scopes:
+    scope = _scope.get()
+    if scope is not None:
         scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -44,13 +47,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Delete the copies made inside the block at its end, when their results are written."""
+    """Delete the copies made inside the block, in this thread, at its end.
+
+    For batches of a stream and for batch jobs alike: write the result inside the block.
+    """
     scope: list[str] = []
-    _open_scopes.append(scope)
+    token = _scope.set(scope)
     try:
         yield
     finally:
-        _open_scopes.remove(scope)
+        _scope.reset(token)
         for path in scope:
             hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)

@@ -97,7 +97,8 @@ def resolve(
     and ``employers`` has an ``embedding`` column; otherwise it finds nothing.
     """
     keyed = names.withColumn("_name", text.employer_name(F.col(raw_name)))
-    distinct = keyed.select(F.col("_name").alias("name")).where("name is not null").distinct()
+    distinct = materialize(
+        keyed.select(F.col("_name").alias("name")).where("name is not null").distinct(), "resolve-names")
 
     early = materialize(_exact_and_alias(distinct, employers, aliases), "resolve-early")
     left_over = early.where("employer_name is null").select("name")
@@ -109,9 +110,10 @@ def resolve(
     if "embedding" in employers.columns and (vectors is not None or embed_fn is not None):
         fuzzy = materialize(fuzzy, "resolve-fuzzy")
         rest = fuzzy.where("employer_name is null").select("name")
-        with_vectors = (
+        # Written, since the search reads its queries more than once and a name is embedded once.
+        with_vectors = materialize(
             rest.join(vectors.select("name", "embedding"), "name") if vectors is not None
-            else embed_names(rest, embed_fn, embedding))
+            else embed_names(rest, embed_fn, embedding), "resolve-vectors")
         semantic = match_semantic(with_vectors, employers, cfg).withColumn("match_type", F.lit("semantic"))
         answers = answers.unionByName(
             fuzzy.where("employer_name is not null")

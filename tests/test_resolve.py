@@ -113,23 +113,40 @@ def like(name, query):
     return re.fullmatch(out, name.lower(), re.S) is not None
 
 
-@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
-def test_containment_equals_brute_force(spark, broadcast_bytes):
+def ratio(a, b):
+    """Partial ratio, window by window."""
+    from difflib import SequenceMatcher
+
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    top = 0.0
+    for m in SequenceMatcher(None, short, long).get_matching_blocks():
+        start = max(m.b - m.a, 0)
+        r = SequenceMatcher(None, short, long[start:start + len(short)]).ratio()
+        if r > 0.995:
+            return 100
+        top = max(top, r)
+    return int(round(100 * top))
+
+
+@pytest.mark.parametrize("scored", [False, True])
+def test_containment_equals_brute_force(spark, scored):
     rng = random.Random(11)
-    names = sorted({"".join(rng.choices("ABC _%", k=rng.randint(1, 9))).strip() or "A" for _ in range(300)})
+    names = sorted({"".join(rng.choices("ABCab _%", k=rng.randint(1, 9))).strip() or "A" for _ in range(300)}
+                   | {"".join(rng.choices("ABC ", k=n)) + "Z" for n in (190, 205, 240)})
     emp = [(n, rng.choice([0, 1, 5, None])) for n in names]
-    queries = sorted({"".join(rng.choices("ABC", k=rng.randint(1, 4))) for _ in range(60)}) + [
-        "%", "_", "____", "_%_", "A_B", "A%C", "\\%", "A\\_", "B\\", "\\A", "C\\\\", "%%A"]
+    queries = sorted({"".join(rng.choices("ABC", k=rng.randint(1, 5))) for _ in range(80)}) + [
+        "%", "_", "____", "_%_", "A_B", "A%C", "AB%BC", "ABC_A", "\\%", "A\\_", "B\\", "\\A", "C\\\\", "%%A", "ab", "a", "CbA"]
     q = spark.createDataFrame([(x,) for x in queries], "name string")
     e = spark.createDataFrame(emp, "employer_name string, total_h1b_certified int")
     got = {}
-    for r in best_containing(q, e, 3, broadcast_bytes=broadcast_bytes).orderBy("name", "place").collect():
-        got.setdefault(r.name, []).append(r.employer_name)
+    for r in best_containing(q, e, 3, scored=scored).orderBy("name", "place").collect():
+        got.setdefault(r.name, []).append((r.employer_name, r.score))
     want = {}
     for x in queries:
-        hits = sorted((n for n in emp if like(n[0], x)), key=lambda n: (-(n[1] or 0), n[0]))
+        score = lambda n: ratio(x, n) if scored else 100
+        hits = sorted(((n, t) for n, t in emp if like(n, x)), key=lambda n: (-score(n[0]), -(n[1] or 0), n[0]))
         if hits:
-            want[x] = [n for n, _ in hits[:3]]
+            want[x] = [(n, score(n)) for n, _ in hits[:3]]
     assert got == want
 
 
@@ -143,13 +160,13 @@ def test_containment_is_literal_on_request(spark):
 def test_search_scores_long_names(spark):
     long_name = "ZED " + " ".join(f"PART {i}" for i in range(60)) + " ACME"
     emp = employers(spark, ("ACME INC", 1), ("ACME LLC", 7), (long_name, 99), ("OTHER", 5))
-    q = spark.createDataFrame([(1, "acme"), (2, "acme"), (3, " "), (4, "nothing")], "query_id int, q string")
+    q = spark.createDataFrame([(1, "acme"), (2, "acme"), (3, " "), (4, "nothing at all")], "query_id int, q string")
     rows = search(q, emp, 2).orderBy("query_id", "place").collect()
     assert [(r.query_id, r.employer_name, r.total) for r in rows if r.query_id == 1][0][2] == 2
     ones = [(r.employer_name, r.score) for r in rows if r.query_id == 1]
     assert ones == [(r.employer_name, r.score) for r in rows if r.query_id == 2]
     assert {r.query_id for r in rows} == {1, 2}
-    assert all(r.score == 100 for r in rows if len(r.employer_name) < 200)
+    assert all(r.score == ratio("ACME", r.employer_name) for r in rows)
     with pytest.raises(ValueError):
         search(q, emp, 0)
 
