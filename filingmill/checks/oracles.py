@@ -315,6 +315,12 @@ from new n full join old o on n.employer_name = o.employer_name
         ["lca_raw", "curated_raw"], [*_ALIAS_CTES, _curated("fresh", "line_no % 5 < 3")], """
 select * from merged where alias_type <> 'MANUAL_CURATED'
 union all select primary_employer_name, alias_name, 'MANUAL_CURATED', usage_count from fresh"""),
+    "load_replace": _sql(["lca_raw"], [_CASES, _AUTO], """
+select primary_employer_name, alias_name, alias_type, usage_count::integer as usage_count from auto"""),
+    "embedding_fill_store": _sql(["lca_raw"], [_CASES, _EMPLOYERS], """
+select employer_name, total_h1b_certified::integer as total_h1b_certified, 2::integer as dims,
+  len(employer_name)::double as first_value from employers"""),
+    "filings_from_files": _sql(["lca_raw"], [_CASES], "select * from cases"),
     "embedding_merge": _sql(["employer_vectors"], [], """
 select id, employer_name, coalesce(len(emb), 0)::integer as dims, round(emb[1]::double, 6) as first_value
 from (select e.id, e.employer_name, coalesce(e.embedding, case when n.vec_id % 28 = 0 then n.embedding end) as emb
@@ -382,6 +388,20 @@ select name_id as query_id, place::integer as place, employer_name, total_h1b_ce
   count(*) over (partition by name_id) as total
 from (select name_id, {_emp('raw_name')} as qn from lookup_names) join hits on hits.name = qn
 where place <= 5"""),
+    # Scores by hand: a name in another case shares the S and ten characters of eighteen, one
+    # with a wildcard all but the wildcard and seven letters; wildcards alone share nothing.
+    "search_patterns": """
+with asked as (
+  select s_suppkey * 10 as query_id, upper(s_name) as q, round(100.0 * 22 / 36) as score from supplier
+  union all select r_regionkey * 10 + 1, 'SUPPLIER#0000000_' || r_regionkey, round(100.0 * 20 / 36) from region
+  union all select r_regionkey * 10 + 2, repeat('%_', (r_regionkey + 1)::integer), 0 from region),
+hits as (
+  select query_id, s_name as employer_name, (s_suppkey % 7)::bigint as h1b_count, score::integer as score,
+    row_number() over (partition by query_id order by s_suppkey % 7 desc, s_name) as place
+  from asked join supplier on s_name ilike '%' || q || '%')
+select query_id, place::integer as place, employer_name, h1b_count, score,
+  count(*) over (partition by query_id) as total
+from hits where place <= 50""",
     "company_slug": _sql(["listing_links"], [], f"""
 select card_id, {_SLUG} as slug, {_SLUG_NAME} as slug_name,
   coalesce({_company('link_text')}, case when {_named(_SLUG_NAME)} then {_SLUG_NAME} end) as link_name
@@ -439,7 +459,7 @@ from events where event_type = 'error' group by 1""",
     "stream_resolve": _sql(
         ["lca_raw", "curated_raw"],
         [*_ALIAS_CTES, _EMPLOYERS, _ONE_ALIAS,
-         "lookup as (select s_suppkey as card_id, substr(s_name, 1, 18) as company_name from supplier)",
+         "lookup as (select s_suppkey as card_id, s_name as company_name from supplier)",
          f"names as (select distinct {_emp('company_name')} as name from lookup)",
          _ANNOTATED.replace("from companies", "from lookup")],
         f"""select card_id as name_id, {_emp('company_name')} as normalized_name,
@@ -450,21 +470,21 @@ from events where event_type = 'error' group by 1""",
 ORACLES["stream_abandon"] = f"""
 select user_id, abandoned_event_id from ({ORACLES["attempt_abandon"]}) where abandoned"""
 
-# Streams emit a window once it ends before the newest event less the allowed lateness.
-_CLOSED = "(select epoch_us(max(ts)) - 600000000 from {source})"
+# Bursts are written once they ended before the newest event less the allowed lateness.
+_CLOSED = "(select epoch_us(max(ts)) - 600000000 from events)"
 _HOUR = "epoch_us(time_bucket(interval 1 hour, ts))"
-_ENDED = f"having {_HOUR} + 3600000000 <= {_CLOSED.format(source='events')}"
 ORACLES["stream_limits"] = f"""
-select user_id % 10 as client, {_HOUR} as window_start, count(*) as requests, count(*) > 2 as exceeded
-from events group by 1, 2 {_ENDED}"""
+select client, limit_no, window_start, count(*) as requests, count(*) > any_value(allowed) as exceeded
+from (select user_id % 10 as client, 1::integer as limit_no, {_HOUR} as window_start, 2 as allowed from events
+      union all select user_id % 10, 2, epoch_us(time_bucket(interval 1 day, ts)), 5 from events)
+group by 1, 2, 3"""
 ORACLES["stream_stats"] = f"""
 select user_id % 5 as session_id, {_HOUR} as window_start, count(*) as jobs_scanned,
   count(*) filter (event_type = 'purchase') as sponsors_found
-from events group by 1, 2 {_ENDED}"""
+from events group by 1, 2"""
 ORACLES["stream_misses"] = f"""
-with misses as (select * from events where event_type = 'error')
 select 'https://jobs.example/list/' || (user_id % 7) as url, {_HOUR} as window_start, count(*) as misses
-from misses group by 1, 2 having {_HOUR} + 3600000000 <= {_CLOSED.format(source='misses')}"""
+from events where event_type = 'error' group by 1, 2"""
 ORACLES["stream_bursts"] = f"""
 select user_id, burst_start, fires_at, events from ({ORACLES["burst_sessions"]})
-where fires_at <= {_CLOSED.format(source='events')}"""
+where fires_at <= {_CLOSED}"""

@@ -14,9 +14,13 @@ from ..functions import listing_text as lt
 from ..operators import aliases as alias_ops
 from ..operators import attempts, intake, listings, merge, nearest, requests, running, semantic
 from ..operators.containment import best_containing
+from ..config import FILING_HEADERS
 from ..plans import annotate as annotating
+from ..plans import intake as intake_plan
 from ..plans import resolve as resolving
+from ..plans.embed import fill_store
 from ..plans.search import search as run_search
+from ..sources import sinks, tables
 from ..operators.materialize import materialize, shared_dir
 from ..sources.sample_views import table, view
 from ..streaming import events as event_streams
@@ -30,6 +34,7 @@ ORDER = ("file_priority", "partkey", "suppkey")
 STORED_AT = datetime(2025, 1, 1)
 RUN_AT = datetime(2025, 6, 1)
 # Sample vectors are nearly orthogonal: non-equal ones reach 0.3 to 0.5.
+EVER = "36500 days"
 LOW_THRESHOLD = Semantic(threshold=0.35)
 
 
@@ -145,6 +150,48 @@ def alias_scoped_replace(spark, sf):
     return alias_ops.replace_scope(_aliases(spark, sf), fresh)
 
 
+def _exported(spark, sf, folder: str, raw: DataFrame, curated: DataFrame | None) -> None:
+    intake_plan.export(intake_plan.build(raw, curated, ORDER), folder)
+
+
+def load_replace(spark, sf):
+    """Two loads, the second without curated rows: its aliases are all that is left."""
+    base, raw = _run_dir(spark, "load-replace"), _raw(spark, sf)
+    _exported(spark, sf, f"{base}/first", raw, view(spark, sf, "curated_raw"))
+    intake_plan.load(spark, f"{base}/first", f"{base}/store", STORED_AT)
+    _exported(spark, sf, f"{base}/second", raw, None)
+    intake_plan.load(spark, f"{base}/second", f"{base}/store", RUN_AT)
+    return sinks.read_latest(spark, f"{base}/store/employer_aliases")
+
+
+def embedding_fill_store(spark, sf):
+    """Vectors for a stored table, by an embedder that SQL can say: the length of the name."""
+    base = _run_dir(spark, "fill-store")
+    sinks.upsert_employers(spark, base, _typed(_employers(spark, sf), STORED_AT), STORED_AT)
+    fill_store(spark, base, lambda names: [[float(len(n)), 1.0] for n in names], RUN_AT, Embedding(dim=2))
+    return sinks.read_latest(spark, base).select(
+        "employer_name", "total_h1b_certified", F.array_size("embedding").alias("dims"),
+        F.col("embedding")[0].cast("double").alias("first_value"))
+
+
+def filings_from_files(spark, sf):
+    """Filings of four files, two formats and different headers, and one file that is not there."""
+    base, raw = _run_dir(spark, "filings"), _raw(spark, sf)
+    header = {"case_number": " Case_Number", "h1b_dependent": "h-1b_dependent ", "visa_class": "Visa_Class"}
+    for q in (1, 2, 3, 4):
+        # Rows are written in their order, so files by name and rows by place give it back.
+        part = raw.where(F.col("file_priority") == q).orderBy("partkey", "suppkey").select(
+            *[F.col(c).alias(header.get(c, h) if q % 2 else h) for c, h in FILING_HEADERS.items()])
+        if q == 3:
+            part = part.withColumn("UNUSED", F.lit("x"))
+        part = part.select(*reversed(part.columns)) if q == 4 else part
+        part.write.option("header", True).format("csv" if q < 3 else "parquet").save(f"{base}/q{q}")
+    csv = tables.read_filings(spark, [f"{base}/q1", f"{base}/absent", f"{base}/q2"], "csv")
+    parquet = tables.read_filings(spark, [f"{base}/q3", f"{base}/q4"], "parquet")
+    both = csv.withColumn("file_priority", F.col("file_priority") - 10).unionByName(parquet)
+    return intake.clean_cases(both)
+
+
 # --- vectors ------------------------------------------------------------------------
 
 
@@ -279,6 +326,20 @@ def search(spark, sf):
     return run_search(names, employers, 5, query="raw_name")
 
 
+def search_patterns(spark, sf):
+    """Wildcards alone, wildcards inside, and names that differ in case, over raw supplier names."""
+    names = table(spark, sf, "supplier").select(
+        F.col("s_name").alias("employer_name"), (F.col("s_suppkey") % 7).cast("int").alias("total_h1b_certified"))
+    asked = table(spark, sf, "supplier").select(
+        (F.col("s_suppkey") * 10).alias("query_id"), F.upper("s_name").alias("q"))
+    inside = table(spark, sf, "region").select(
+        (F.col("r_regionkey") * 10 + 1).alias("query_id"),
+        F.concat(F.lit("supplier#0000000_"), F.col("r_regionkey").cast("string")).alias("q"))
+    alone = table(spark, sf, "region").select(
+        (F.col("r_regionkey") * 10 + 2).alias("query_id"), F.repeat(F.lit("%_"), F.col("r_regionkey") + 1).alias("q"))
+    return run_search(asked.union(inside).union(alone), names, 50)
+
+
 # --- listings -----------------------------------------------------------------------
 
 
@@ -394,16 +455,33 @@ def _events(spark, sf):
 def stream_resolve(spark, sf):
     base = _run_dir(spark, "stream-resolve")
     names = _stream(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("name_id"), F.substring("s_name", 1, 18).alias("raw_name"))
+        F.col("s_suppkey").alias("name_id"), F.col("s_name").alias("raw_name"))
     resolve_stream(
         names, *_stored(spark, sf), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select(
         "name_id", "normalized_name", "match_type", "employer_name", "total_h1b_certified")
 
 
+def _in_batches(spark, sf, base: str, files: int = 4) -> DataFrame:
+    """The events as a stream of several batches, dealt by a hash and so out of order."""
+    events = table(spark, sf, "events")
+    for i in range(files):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(files)) == i).write.parquet(f"{base}/events/f{i}")
+    return (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", True).parquet(f"{base}/events")
+            .withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def _windows(windows: DataFrame, base: str, keys: list[str]) -> DataFrame:
+    event_streams.write_windows(windows, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    out = event_streams.current_windows(windows.sparkSession, f"{base}/out", keys)
+    return out.withColumn("window_start", F.unix_micros("window_start"))
+
+
 def stream_dedup(spark, sf):
-    first = event_streams.unseen(_events(spark, sf), ["user_id", "event_type"])
-    return _drain(first.select("user_id", "event_type"), _run_dir(spark, "stream-dedup"))
+    base = _run_dir(spark, "stream-dedup")
+    first = event_streams.unseen(_in_batches(spark, sf, base), ["user_id", "event_type"])
+    return _drain(first.select("user_id", "event_type"), base)
 
 
 def stream_intake(spark, sf):
@@ -424,10 +502,11 @@ def stream_abandon(spark, sf):
 
 
 def stream_limits(spark, sf):
-    log = _events(spark, sf).withColumn("client", F.col("user_id") % 10)
-    out = event_streams.limit_breaches(log, Limits((("1 hour", 2),)))
-    return _drain(out, _run_dir(spark, "stream-limits")).withColumn(
-        "window_start", F.unix_micros("window_start"))
+    base = _run_dir(spark, "stream-limits")
+    log = _in_batches(spark, sf, base).withColumn("client", F.col("user_id") % 10)
+    # All of history arrives shuffled, so the whole range may be late.
+    out = event_streams.limit_breaches(log, Limits((("1 hour", 2), ("1 day", 5))), lateness=EVER)
+    return _windows(out, base, ["client", "limit_no", "window_start"])
 
 
 def stream_bursts(spark, sf):
@@ -438,25 +517,26 @@ def stream_bursts(spark, sf):
 
 
 def stream_stats(spark, sf):
-    labelled = _events(spark, sf).withColumn("session_id", F.col("user_id") % 5)
-    out = event_streams.session_counters(labelled, "session_id", F.col("event_type") == "purchase")
-    return _drain(out, _run_dir(spark, "stream-stats")).withColumn(
-        "window_start", F.unix_micros("window_start"))
+    base = _run_dir(spark, "stream-stats")
+    labelled = _in_batches(spark, sf, base).withColumn("session_id", F.col("user_id") % 5)
+    out = event_streams.session_counters(
+        labelled, "session_id", F.col("event_type") == "purchase", lateness=EVER)
+    return _windows(out, base, ["session_id", "window_start"])
 
 
 def stream_misses(spark, sf):
-    misses = _events(spark, sf).where("event_type = 'error'").withColumn(
+    base = _run_dir(spark, "stream-misses")
+    misses = _in_batches(spark, sf, base).where("event_type = 'error'").withColumn(
         "url", F.concat(F.lit("https://jobs.example/list/"), F.col("user_id") % 7))
-    return _drain(event_streams.miss_counts(misses), _run_dir(spark, "stream-misses")).withColumn(
-        "window_start", F.unix_micros("window_start"))
+    return _windows(event_streams.miss_counts(misses, lateness=EVER), base, ["url", "window_start"])
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     clean_cases, employers_agg, job_levels, aliases_agg, aliases_merged, simple_counts_top10,
     intake_summary, file_counters, date_parse, load_coercion, employer_upsert,
-    alias_scoped_replace, embedding_merge, embedding_coverage, embedding_batches, cosine_topk,
+    alias_scoped_replace, load_replace, embedding_fill_store, filings_from_files, embedding_merge, embedding_coverage, embedding_batches, cosine_topk,
     ann_topk, cosine_pairs, vector_literal, resolve_exact, resolve_alias, resolve_fuzzy,
-    semantic_rerank, resolve_semantic, resolve_all, check, search, company_slug, company_line,
+    semantic_rerank, resolve_semantic, resolve_all, check, search, search_patterns, company_slug, company_line,
     listing_company, distinct_cards, listing_annotate, listing_stats, rate_limit, burst_sessions,
     attempt_abandon, miss_report, misses_per_url, stream_resolve, stream_dedup, stream_intake,
     stream_abandon, stream_limits, stream_bursts, stream_stats, stream_misses,

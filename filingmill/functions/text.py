@@ -107,6 +107,12 @@ def date_text(c: Column) -> Column:
     return F.coalesce(F.when(looks_iso, iso.try_cast("date").cast("string")), s)
 
 
+def iso_day(c: Column) -> Column:
+    """A text that is exactly an ISO day as a date, else NULL."""
+    day = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
+    return F.when(day.cast("string") == c, day)
+
+
 def year_of(c: Column) -> Column:
     """Leading four characters as a year; NULL when they are no number."""
     return F.when(F.char_length(c) >= 4, F.substring(c, 1, 4).try_cast("int"))

@@ -60,25 +60,34 @@ def clean_cases(raw: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
     )
 
 
-def majority(flag: Column) -> Column:
-    """True or false by count of rows; NULL on a tie or without any."""
-    lead = F.count_if(flag) - F.count_if(~flag)
+def sign_as_flag(lead: Column) -> Column:
+    """True for a positive lead, false for a negative one, else NULL."""
     return F.when(lead > 0, True).when(lead < 0, False)
 
 
 def employers(cases: DataFrame) -> DataFrame:
     """Filing count, date range, last year and dependency vote per employer.
 
-    Dates are compared as text, so unparsed dates take part.
+    Dates are compared as text, so unparsed dates take part; ISO days have the same order as
+    dates and as text, so they are grouped as dates.
     """
-    latest = F.max("decision_date")
-    return cases.groupBy("employer_name").agg(
-        F.count(F.lit(1)).alias("total_h1b_certified"),
-        F.min("decision_date").alias("earliest_decision_date"),
-        latest.alias("latest_decision_date"),
-        text.year_of(latest).alias("last_active_year"),
-        majority(F.col("h1b_dependent")).alias("h1b_dependent"),
-    )
+    day = text.iso_day(F.col("decision_date"))
+    # Texts that are no date are few. As grouping keys they leave fixed-width values to combine,
+    # so all cases are hashed; only what is left, about a row per employer, is sorted.
+    known = cases.select("employer_name", "h1b_dependent", day.alias("_day"), F.when(
+        day.isNull(), F.col("decision_date")).alias("_odd"))
+    parts = known.groupBy("employer_name", "_odd").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_day").alias("_first"), F.max("_day").alias("_last"),
+        F.count_if("h1b_dependent").alias("_yes"), F.count_if(~F.col("h1b_dependent")).alias("_no"))
+    whole = parts.groupBy("employer_name").agg(
+        F.sum("_n").alias("total_h1b_certified"), F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+        (F.sum("_yes") - F.sum("_no")).alias("_lead"), F.min("_odd").alias("_low"), F.max("_odd").alias("_high"))
+    latest = F.greatest(F.col("_last").cast("string"), "_high")
+    return whole.select(
+        "employer_name", "total_h1b_certified",
+        F.least(F.col("_first").cast("string"), "_low").alias("earliest_decision_date"),
+        latest.alias("latest_decision_date"), text.year_of(latest).alias("last_active_year"),
+        sign_as_flag(F.col("_lead")).alias("h1b_dependent"))
 
 
 def job_levels(cases: DataFrame) -> DataFrame:

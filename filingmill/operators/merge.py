@@ -112,6 +112,7 @@ def coverage(employers: DataFrame, cfg: Embedding = Embedding()) -> DataFrame:
 
 
 def pending(employers: DataFrame, limit: int | None = None) -> DataFrame:
-    """Employers without a vector; with ``limit``, the first ones by id."""
-    waiting = employers.where(F.col("embedding").isNull()).select("id", "employer_name")
-    return waiting if limit is None else waiting.orderBy("id").limit(limit)
+    """Employers without a vector; with ``limit``, the first ones by id, or by name without ids."""
+    key = ["id"] if "id" in employers.columns else []
+    waiting = employers.where(F.col("embedding").isNull()).select(*key, "employer_name")
+    return waiting if limit is None else waiting.orderBy(*key, "employer_name").limit(limit)

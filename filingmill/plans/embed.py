@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..config import Embedding
+from ..operators import merge
+from ..operators.materialize import materialize
 from ..operators.merge import write_back_vectors
+from ..sources import sinks
 
 Embedder = Callable[[list[str]], list]
 
@@ -66,6 +70,25 @@ def fill_vectors(employers: DataFrame, embed_fn: Embedder, cfg: Embedding = Embe
     return write_back_vectors(employers, made, cfg.dim, key="employer_name")
 
 
+def fill_store(
+    spark: SparkSession, folder: str, embed_fn: Embedder, run_ts: datetime, cfg: Embedding = Embedding(),
+    limit: int | None = None,
+) -> str:
+    """Fill missing vectors of the newest stored run before ``run_ts`` and write the next run.
+
+    With ``limit`` only the first names that wait are tried. Names are embedded once: what the
+    embedder gave is written before it is joined back.
+    """
+    stored = sinks.read_latest(spark, folder, before=run_ts)
+    if stored is None:
+        raise FileNotFoundError(f"no finished run before {run_ts} in {folder}")
+    waiting = merge.pending(merge.with_vector_column(stored), limit).select(F.col("employer_name").alias("name"))
+    made = materialize(embed_names(waiting, embed_fn, cfg), "vectors").select(
+        F.col("name").alias("employer_name"), "embedding")
+    filled = write_back_vectors(merge.with_vector_column(stored), made, cfg.dim, key="employer_name")
+    return sinks.write_run(filled, folder, run_ts)
+
+
 def hash_embedder(dim: int) -> Embedder:
     """A deterministic embedder for tests: pseudo-random unit vectors seeded by the text."""
     def embed(texts: list[str]) -> list:

@@ -49,15 +49,15 @@ def export(built: Intake, folder: str) -> None:
 
 
 def load(spark: SparkSession, csv_folder: str, store: str, run_ts: datetime) -> None:
-    """Load exported CSVs: employers are merged, the other two tables replaced.
+    """Load exported CSVs: employers are merged, the other two tables replaced as a whole.
 
-    All three inputs are checked before anything is written; one ``run_ts`` marks the run.
+    All three inputs are checked before anything is written; each table becomes a new run of
+    ``run_ts``, so rows that an export no longer has are gone from the newest run.
     """
     rows = tables.read_intake_csv(spark, csv_folder)
     base = store.rstrip("/")
     sinks.upsert_employers(
         spark, f"{base}/employers", merge.typed_employers(rows["employers"], run_ts), run_ts)
-    merge.typed_job_levels(rows["employer_job_levels"]).write.mode("overwrite").parquet(
-        f"{base}/employer_job_levels")
-    sinks.write_aliases_by_type(
-        merge.typed_aliases(rows["employer_aliases"]), f"{base}/employer_aliases")
+    for name, typed in (
+        ("employer_job_levels", merge.typed_job_levels), ("employer_aliases", merge.typed_aliases)):
+        sinks.write_run(typed(rows[name]), f"{base}/{name}", run_ts)

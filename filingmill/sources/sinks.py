@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import CURATED_ALIAS
 from ..operators import merge
+from ..operators.aliases import replace_scope
 
+# Column order of the exports.
 EMPLOYER_CSV = (
     "employer_name", "total_h1b_certified", "earliest_decision_date",
     "latest_decision_date", "last_active_year", "h1b_dependent")
@@ -20,7 +22,7 @@ ALIAS_CSV = ("primary_employer_name", "alias_name", "alias_type", "usage_count")
 
 BATCH_ROWS = 1000
 
-# Stored tables as Spark creates them when they are absent.
+# Columns and types of the stored tables.
 TABLE_DDL = {
     "employers": """
         id BIGINT, employer_name STRING NOT NULL, total_h1b_certified INT NOT NULL,
@@ -63,32 +65,59 @@ def latest_run(spark: SparkSession, folder: str, before: str | None = None) -> s
     return runs[-1] if runs else None
 
 
-def upsert_employers(
-    spark: SparkSession, folder: str, fresh: DataFrame, run_ts: datetime, prune: bool = False
-) -> str:
-    """Merge typed employers with the last stored run and write the result as a new run.
+def _run_of(run_ts: datetime) -> str:
+    return run_ts.strftime("%Y%m%d%H%M%S")
 
-    Vectors of stored rows stay. Earlier runs are not touched, and repeating a run starts
-    from the same predecessor and gives the same table.
+
+def write_run(df: DataFrame, folder: str, run_ts: datetime) -> str:
+    """Write a whole table as a new ``run=``; readers take the newest finished one.
+
+    Earlier runs are not touched, so a failed write leaves the last table as it was.
     """
-    run = run_ts.strftime("%Y%m%d%H%M%S")
-    previous = latest_run(spark, folder, before=run)
-    merged = merge.with_vector_column(fresh) if previous is None else merge.upsert(
-        merge.with_vector_column(spark.read.parquet(previous)), fresh, prune=prune)
-    path = f"{folder.rstrip('/')}/run={run}"
-    merged.write.mode("overwrite").parquet(path)
+    path = f"{folder.rstrip('/')}/run={_run_of(run_ts)}"
+    df.write.mode("overwrite").parquet(path)
     return path
 
 
-def write_aliases_by_type(df: DataFrame, path: str) -> None:
-    """Write aliases so that only the partitions of the types present are replaced."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("alias_type").parquet(path))
+def read_latest(spark: SparkSession, folder: str, before: datetime | None = None) -> DataFrame | None:
+    """The newest finished run of a stored table, or None."""
+    path = latest_run(spark, folder, before=_run_of(before) if before else None)
+    return spark.read.parquet(path) if path else None
 
 
-def replace_curated(df: DataFrame, path: str) -> None:
-    """Replace the curated partition of stored aliases and leave the others alone."""
-    write_aliases_by_type(df.withColumn("alias_type", F.lit(CURATED_ALIAS)), path)
+def upsert_employers(
+    spark: SparkSession, folder: str, fresh: DataFrame, run_ts: datetime, prune: bool = False
+) -> str:
+    """Merge typed employers with the last stored run and write the result as a new run.
+
+    Vectors of stored rows stay. Repeating a run starts from the same predecessor and gives
+    the same table.
+    """
+    previous = read_latest(spark, folder, before=run_ts)
+    merged = merge.with_vector_column(fresh) if previous is None else merge.upsert(
+        merge.with_vector_column(previous), fresh, prune=prune)
+    return write_run(merged, folder, run_ts)
+
+
+def replace_curated(spark: SparkSession, folder: str, fresh: DataFrame, run_ts: datetime) -> str:
+    """A new run of stored aliases with other curated rows; all other types stay."""
+    columns = [*ALIAS_CSV]
+    previous = read_latest(spark, folder, before=run_ts)
+    new = fresh.withColumn("alias_type", F.lit(CURATED_ALIAS)).select(*columns)
+    merged = new if previous is None else replace_scope(previous.select(*columns), new, CURATED_ALIAS)
+    return write_run(merged, folder, run_ts)
+
+
+def publish(spark: SparkSession, store: str, prefix: str = "") -> None:
+    """Put the newest runs into the catalog tables, which are created if they are absent."""
+    create_tables(spark, prefix)
+    for name in TABLE_DDL:
+        current = read_latest(spark, f"{store.rstrip('/')}/{name}")
+        if current is not None:
+            into = spark.table(f"{prefix}{name}").schema
+            current.select(*[
+                (F.col(f.name) if f.name in current.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in into
+            ]).write.insertInto(f"{prefix}{name}", overwrite=True)
 
 
 def append_reports(df: DataFrame, path: str) -> None:

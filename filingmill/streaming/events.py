@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import CHECK_LIMITS, Limits, Listing
@@ -16,23 +16,68 @@ from ..operators.attempts import logged_snippet
 LATENESS = "10 minutes"
 
 
-def unseen(events: DataFrame, keys: Sequence[str], ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
-    """Events whose keys did not occur within the watermark's delay."""
-    return events.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(keys))
+def unseen(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first event of each combination of keys, however the stream is cut into batches.
+
+    The state has one entry per combination ever seen.
+    """
+    return events.dropDuplicates(list(keys))
+
+
+def write_windows(
+    windows: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Write windows as they change, open ones included; ``current_windows`` reads the newest.
+
+    A batch that is run again overwrites its own folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return (windows.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
+def current_windows(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """The newest state of every window that ``write_windows`` wrote."""
+    rows = spark.read.parquet(out)
+    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+    return newest.select(*keys, "v.*")
+
+
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def _seconds(length: str) -> int:
+    """Seconds of a length like ``10 minutes``."""
+    number, unit = length.split()
+    return int(number) * _UNITS[unit.lower().removesuffix("s")]
 
 
 def limit_breaches(
-    requests: DataFrame, limits: Limits = CHECK_LIMITS, number: int = 0,
-    client: str = "client", ts: str = "ts", lateness: str = LATENESS,
+    requests: DataFrame, limits: Limits = CHECK_LIMITS, client: str = "client", ts: str = "ts",
+    lateness: str = LATENESS,
 ) -> DataFrame:
-    """Requests per client and clock-aligned window of one limit, and whether they exceed it."""
-    window, allowed = limits.windows[number]
+    """Requests per client, limit and clock-aligned window, and whether they exceed it.
+
+    ``limit_no`` counts the limits from 1. With ``write_windows`` a breach is known as soon as
+    it happens. A window is forgotten when the watermark and the longest window have passed it.
+    """
+    micros = F.unix_micros(ts)
+    spans = [_seconds(window) * 1_000_000 for window, _ in limits.windows]
+    windows = F.array(*[
+        F.struct(F.lit(i).alias("limit_no"), (micros - F.pmod(micros, F.lit(span))).alias("start"),
+                 F.lit(span).alias("span"), F.lit(allowed).alias("allowed"))
+        for i, (span, (_, allowed)) in enumerate(zip(spans, limits.windows), 1)])
+    each = requests.select(client, F.explode(windows).alias("w")).select(
+        client, F.col("w.limit_no").alias("limit_no"), F.timestamp_micros("w.start").alias("window_start"),
+        F.timestamp_micros(F.col("w.start") + F.col("w.span")).alias("window_end"), F.col("w.allowed").alias("allowed"))
     return (
-        requests.withWatermark(ts, lateness)
-        .groupBy(client, F.window(ts, window).alias("w"))
+        each.withWatermark("window_end", f"{_seconds(lateness) + max(spans) // 1_000_000} seconds")
+        .groupBy(client, "limit_no", "window_start", "window_end", "allowed")
         .agg(F.count(F.lit(1)).alias("requests"))
-        .select(client, F.col("w.start").alias("window_start"), "requests",
-                (F.col("requests") > allowed).alias("exceeded")))
+        .select(client, "limit_no", "window_start", "requests", (F.col("requests") > F.col("allowed")).alias("exceeded")))
 
 
 def burst_windows(

@@ -9,10 +9,11 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from filingmill.config import FILING_HEADERS
+from filingmill.config import FILING_HEADERS, Embedding
 from filingmill.operators import aliases as alias_ops
 from filingmill.operators import intake, merge
 from filingmill.operators.materialize import materialize, temporary
+from filingmill.plans import embed
 from filingmill.plans import intake as plan
 from filingmill.sources import sinks, tables, workbook
 
@@ -216,13 +217,43 @@ def test_build_export_load(spark, tmp_path):
     assert rows["ACME INC"].earliest_decision_date == date(2025, 1, 2)
     assert rows["BETA"].h1b_dependent is True and rows["BETA"].embedding is None
     assert {r.last_updated for r in rows.values()} == {datetime(2025, 2, 1)}
-    stored = spark.read.parquet(f"{store}/employer_aliases")
-    assert {(r.alias_name, r.alias_type) for r in stored.collect()} == {
+    aliases = f"{store}/employer_aliases"
+    assert {(r.alias_name, r.alias_type) for r in sinks.read_latest(spark, aliases).collect()} == {
         ("ACME", "TRADE_NAME_DBA"), ("BETA TRADE", "TRADE_NAME_DBA"), ("Q,1", "TRADE_NAME_DBA")}
     fresh = spark.createDataFrame([("M", "FB", 0)], "primary_employer_name string, alias_name string, usage_count int")
     for _ in range(2):
-        sinks.replace_curated(fresh, f"{store}/employer_aliases")
-    assert spark.read.parquet(f"{store}/employer_aliases").count() == 4
+        sinks.replace_curated(spark, aliases, fresh, datetime(2025, 3, 1))
+    assert sinks.read_latest(spark, aliases).count() == 4
+    # A later load is the whole truth: the curated row is gone.
+    plan.load(spark, out, store, datetime(2025, 4, 1))
+    assert sinks.read_latest(spark, aliases).count() == 3
+    sinks.publish(spark, store, "published_")
+    try:
+        assert spark.table("published_employers").count() == 3 and spark.table("published_employer_aliases").count() == 3
+    finally:
+        for name in sinks.TABLE_DDL:
+            spark.sql(f"DROP TABLE published_{name}")
+
+
+def test_store_is_filled_once_per_name(spark, tmp_path):
+    asked = str(tmp_path / "asked")
+
+    def embed_fn(texts):
+        with open(asked, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    store, cfg = str(tmp_path / "employers"), Embedding(dim=2, batch=2)
+    with pytest.raises(FileNotFoundError):
+        embed.fill_store(spark, store, embed_fn, datetime(2025, 1, 2), cfg)
+    rows = spark.createDataFrame([(n, "1", "", "", "", "") for n in ("A", "BB", "CCC")], [*sinks.EMPLOYER_CSV])
+    sinks.upsert_employers(spark, store, merge.typed_employers(rows, datetime(2025, 1, 1)), datetime(2025, 1, 1))
+    embed.fill_store(spark, store, embed_fn, datetime(2025, 1, 2), cfg, limit=2)
+    assert {r.employer_name for r in sinks.read_latest(spark, store).where("embedding is null").collect()} == {"CCC"}
+    embed.fill_store(spark, store, embed_fn, datetime(2025, 1, 3), cfg)
+    assert {r.employer_name: r.embedding[0] for r in sinks.read_latest(spark, store).collect()} == {"A": 1, "BB": 2, "CCC": 3}
+    with open(asked) as f:
+        assert sorted(f.read().split()) == ["A", "BB", "CCC"]
 
 
 def test_tables_are_created_once(spark):

@@ -17,12 +17,12 @@ def plan_of(df) -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-BATCH = sorted(q for q in registry.queries() if not q.startswith("stream_"))
+BATCH = sorted(q for q in registry.QUERIES if not q.startswith("stream_"))
 
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_pairing_of_all_rows_and_no_single_task(spark, name):
-    plan = plan_of(registry.queries()[name](spark, SF))
+    plan = plan_of(registry.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     if name not in ONE_ROW:
         assert "SinglePartition" not in plan
@@ -55,3 +55,10 @@ def test_aggregates_combine_before_the_shuffle(filings):
     for build in (intake.job_levels, intake.aliases):
         tree = plan_of(build(intake.clean_cases(filings))).split("\n\n")[0]
         assert tree.count("HashAggregate") == 2 and tree.count("Exchange") == 2
+
+
+def test_all_cases_are_hashed_for_employers(filings):
+    tree = plan_of(intake.employers(intake.clean_cases(filings))).split("\n\n")[0]
+    # Below the second shuffle, where rows are cases, nothing is sorted to be grouped.
+    below = tree[tree.index("Exchange", tree.index("Exchange") + 1):]
+    assert "SortAggregate" not in below and tree.count("HashAggregate") == 2
