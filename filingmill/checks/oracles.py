@@ -341,6 +341,29 @@ from (
 window w as (order by batch_no rows unbounded preceding)"""),
     "cosine_topk": _sql(["query_vectors", "employer_vectors"], [_VECTOR_NEAR], """
 select query_id, employer_name, total_h1b_certified, round(similarity, 6) as similarity, place::integer as place from near"""),
+    "ann_topk": _sql(["employer_vectors"], ["""names as (
+  select employer_name, total_h1b_certified::bigint as total_h1b_certified, embedding::double[] as v
+  from employer_vectors where embedding is not null)""", """size as (
+  select least(16, greatest(2, floor(log2(count(*) / 32.0))))::bigint as bits from names)""", """mixed as (
+  select i - 1 as i, xor(h, h >> 11) & 1 as up from (
+    select i, (xor(h, h >> 13) * 69621) % 2147483647 as h from (
+      select i, (i * 48271) % 2147483647 as h from (select unnest(range(1, 8 * 16 * 64 + 1)) as i))))""", """planes as (
+  select i // 64 as plane, list(case when up = 1 then 1.0 else -1.0 end::double order by i) as p
+  from mixed group by 1)""", """sided as (
+  select 'n' as side, employer_name as key, v from names
+  union all select 'q', vec_id::varchar, embedding::double[] from embeddings where embedding is not null)""", """codes as (
+  select side, key, plane // bits as tab, sum(case when list_dot_product(v, p) > 0 then 1 << (plane % bits) else 0 end) as code
+  from sided, planes, size where plane < 8 * bits group by all)""", """pairs as (
+  select distinct q.key::bigint as query_id, n.key as employer_name
+  from codes q join codes n on q.side = 'q' and n.side = 'n' and q.tab = n.tab and q.code = n.code)""", """enough as (
+  select query_id from pairs group by 1 having count(*) >= 10)""", """asked as (
+  select * from pairs where query_id in (from enough)
+  union all select vec_id, employer_name from embeddings, names where vec_id not in (from enough))""", """rated as (
+  select query_id, n.employer_name, n.total_h1b_certified, list_cosine_similarity(q.embedding::double[], n.v) as similarity
+  from asked a join names n on n.employer_name = a.employer_name join embeddings q on q.vec_id = a.query_id)"""], """
+select query_id, employer_name, total_h1b_certified, round(similarity, 6) as similarity, place::integer as place from (
+  select *, row_number() over (partition by query_id order by similarity desc, employer_name) as place from rated)
+where place <= 10"""),
     "cosine_pairs": """
 select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity
 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",

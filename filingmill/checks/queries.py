@@ -228,9 +228,10 @@ def cosine_topk(spark, sf):
 
 
 def ann_topk(spark, sf):
+    every = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     near = nearest.top_neighbours(
-        view(spark, sf, "query_vectors"), view(spark, sf, "employer_vectors"), 10,
-        nearest.Hashing(dim=64))
+        every, view(spark, sf, "employer_vectors"), 10, nearest.Hashing(dim=64))
     return near.withColumn("similarity", F.round("similarity", 6))
 
 

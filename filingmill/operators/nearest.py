@@ -9,23 +9,32 @@ more blocks. A last ranking keeps ``k`` of the per-block results.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from .materialize import materialize
+
 QUERY_BLOCK = 4096
 NAME_BLOCK = 8192
 MIN_NAME_BLOCK = 512
 
 
+# Vectors that a bucket holds on average when the bits follow from their number.
+PER_BUCKET = 32
+
+
 @dataclass(frozen=True)
 class Hashing:
-    """Random-hyperplane buckets: more tables find more, more bits compare less."""
+    """Hyperplane buckets: more tables find more, more bits compare less.
+
+    Without ``bits`` they follow from the number of names, so that buckets keep their size.
+    """
 
     dim: int
     tables: int = 8
-    bits: int = 8
-    seed: int = 17
+    bits: int | None = None
 
 
 def top_neighbours(
@@ -39,7 +48,8 @@ def top_neighbours(
     """The ``k`` most similar names per query, most similar first, ties by name.
 
     ``queries``: query_id, query_embedding. ``names``: employer_name, total_h1b_certified,
-    embedding. Rows without a usable vector take no part.
+    embedding. Rows without a usable vector take no part. With ``hashing`` only names of the
+    query's buckets are compared; a query that finds fewer than ``k`` there is answered exactly.
     Returns query_id, employer_name, total_h1b_certified, similarity, place.
     """
     q = queries.where(F.col("query_embedding").isNotNull()).select(
@@ -48,16 +58,39 @@ def top_neighbours(
         "employer_name",
         F.coalesce("total_h1b_certified", F.lit(0)).cast("long").alias("total_h1b_certified"),
         F.col("embedding").alias("vector"))
-    if hashing is None:
-        # Only vectors of one length can be compared.
-        q, e = (d.withColumn("bucket", F.size("vector")) for d in (q, e))
-    else:
-        q, e = (_hashed(d, hashing) for d in (q, e))
-    found = _per_block(*_blocks(q, e, query_block, name_block), k)
-    if hashing is not None:
-        found = found.dropDuplicates(["query_id", "employer_name"])
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "employer_name")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+    def exact(asked: DataFrame) -> DataFrame:
+        # Only vectors of one length can be compared.
+        sides = (d.withColumn("bucket", F.size("vector")) for d in (asked, e))
+        return best(_per_block(*_blocks(*sides, query_block, name_block), k))
+
+    if hashing is None:
+        return exact(q)
+    hashing = replace(hashing, bits=hashing.bits or bits_for(e.where(F.size("vector") == hashing.dim).count()))
+    # Written, since the block counts and the blocks are both taken from the buckets.
+    sides = (materialize(_hashed(d, hashing), "buckets") for d in (q, e))
+    found = _per_block(*_blocks(*sides, query_block, name_block), k)
+    near = materialize(best(found.dropDuplicates(["query_id", "employer_name"])), "near")
+    full = near.where(F.col("place") == k).select("query_id")
+    short = materialize(q.join(full, "query_id", "left_anti"), "short")
+    return near.join(full, "query_id", "left_semi").unionByName(exact(short))
+
+
+def bits_for(names: int) -> int:
+    return min(16, max(2, math.floor(math.log2(max(1, names) / PER_BUCKET))))
+
+
+def plane_signs(planes: int, dim: int):
+    """Planes with components +1 and -1 from an integer hash, which SQL can say as well."""
+    import numpy as np
+
+    h = (np.arange(1, planes * dim + 1, dtype=np.int64) * 48271) % 2147483647
+    h = ((h ^ (h >> 13)) * 69621) % 2147483647
+    return np.where((h ^ (h >> 11)) & 1, 1.0, -1.0).reshape(planes, dim)
 
 
 def _blocks(q: DataFrame, e: DataFrame, query_block: int, name_block: int):
@@ -173,14 +206,14 @@ def _best_in_block(q, e, k: int):
 
 def _hashed(side: DataFrame, hashing: Hashing) -> DataFrame:
     """One row per hash table with the bucket the vector falls into."""
-    dim, tables, bits, seed = hashing.dim, hashing.tables, hashing.bits, hashing.seed
+    dim, tables, bits = hashing.dim, hashing.tables, hashing.bits
     schema = T.StructType(side.schema.fields + [T.StructField("buckets", T.ArrayType(T.IntegerType()))])
 
     def sign(batches):
         import numpy as np
         import pyarrow as pa
 
-        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+        planes = plane_signs(tables * bits, dim).T
         weight = 1 << np.arange(bits)
         for batch in batches:
             column = batch.column("vector")
