@@ -171,6 +171,7 @@ def _company(c: str) -> str:
             f"lambda n: not {_location('n')} and {_named('n')})[1]")
 
 
+# The page patterns, as the listing functions have them.
 _META = (r"^[•·\-–—]+$|^(be an early|easy apply|actively|get job alerts)|promoted jobs are ranked|how promoted"
          r"|\d+\+?\s*results?\b|\bbe an early applicant\b|\d+\s*(benefit|connection|applicant|result|follower)s?\b"
          r"|\b(ago|viewed|about|premium|easy apply|actively|posted|reposted)\b|^[\d,]+$|%|^(your feedback|show)")
@@ -435,6 +436,33 @@ select card_id, line_no, {_listing_text('line_text')} as text, {_location('line_
   regexp_matches(line_text, '{_TITLE_WORDS}', 'i') as is_title
 from listing_lines"""),
     "listing_company": _sql(["listing_lines", "listing_links"], [_COMPANIES], "select * from companies"),
+    "listing_places": _sql(["deep_lines", "listing_links", "place_texts", "detail_links", "detail_blocks"], [f"""tidy as (
+  select card_id, depth, text, min(line_no) as line_no
+  from (select card_id, depth, line_no, {_listing_text('line_text')} as text from deep_lines where card_id % 5 > 0)
+  where text is not null and not {_junk('text')} group by all)""", """placed as (
+  select *, row_number() over (partition by card_id, depth order by len(text) desc, line_no) as size_place,
+    count(*) over (partition by card_id, depth) as kept from tidy)""", f"""fit as (
+  select *, row_number() over (partition by card_id, depth order by line_no) as rn from placed
+  where size_place > 1 and len(text) between 2 and 60 and not regexp_matches(text, '{_TITLE_WORDS}', 'i')
+    and not regexp_matches(text, '{_PLACE}', 'i') and not regexp_matches(text, '{_META}', 'i'))""", """tight as (
+  select card_id, depth from deep_lines where depth > 0 group by all having count(*) between 2 and 6)""", f"""choice as (
+  select card_id, 1 as priority, depth::bigint as ord, name from (
+    select card_id, depth, coalesce({_company('text')}, text) as name from fit where rn = 1)
+  where {_named('name')} and (depth = 0 or (card_id, depth) in (from tight))
+  union all select card_id, 2, case when in_block then 0 else 4294967296 end + link_no,
+    coalesce({_company('link_text')}, case when {_named(_SLUG_NAME)} then {_SLUG_NAME} end) from detail_links
+  union all select card_id, 2, 4294967295, {_company('text')} from detail_blocks
+  union all select card_id, place, ord, {_company('text')} from (
+    select card_id, place, ord, case when place = 5 then string_split(text, chr(10))[1] else text end as text from place_texts)
+  union all select card_id, 6, link_no, text from (
+    select card_id, link_no, {_listing_text('link_text')} as text from listing_links where {_SLUG} is not null and card_id % 2 = 0)
+  where {_named('text')}
+  union all select card_id, 7, link_no, name from (
+    select card_id, link_no, {_SLUG_NAME} as name from listing_links where {_SLUG} is not null and card_id % 2 = 0)
+  where {_named('name')})"""], """
+select card_id, name as company_name, priority from (
+  select *, row_number() over (partition by card_id order by priority, ord, name) as rn from choice where name is not null)
+where rn = 1"""),
     "distinct_cards": _sql(["listing_lines", "listing_links"], [], f"""
 select card_id, arg_min(ord, (source_no, ord)) as ord, min(source_no) as source_no from (
   select card_id, link_no as ord, 0 as source_no from listing_links where {_SLUG} is not null

@@ -374,6 +374,16 @@ def listing_company(spark, sf):
     return annotating.companies(_lines(spark, sf), _links(spark, sf))
 
 
+def listing_places(spark, sf):
+    """All nine places a name can come from, and rows around a card."""
+    texts = view(spark, sf, "place_texts")
+    return annotating.companies(
+        view(spark, sf, "deep_lines").where("card_id % 5 > 0"), _links(spark, sf).where("card_id % 2 = 0"),
+        detail_links=view(spark, sf, "detail_links"), detail_blocks=view(spark, sf, "detail_blocks"),
+        texts={n: texts.where(F.col("place") == n) for n in (
+            listings.SELECTOR, listings.LOCKUP, listings.PRIMARY, listings.LATE_LOCKUP, listings.FALLBACK)})
+
+
 def distinct_cards(spark, sf):
     lines, links = _lines(spark, sf), _links(spark, sf)
     sources = (
@@ -538,7 +548,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     alias_scoped_replace, load_replace, embedding_fill_store, filings_from_files, embedding_merge, embedding_coverage, embedding_batches, cosine_topk,
     ann_topk, cosine_pairs, vector_literal, resolve_exact, resolve_alias, resolve_fuzzy,
     semantic_rerank, resolve_semantic, resolve_all, check, search, search_patterns, company_slug, company_line,
-    listing_company, distinct_cards, listing_annotate, listing_stats, rate_limit, burst_sessions,
+    listing_company, listing_places, distinct_cards, listing_annotate, listing_stats, rate_limit, burst_sessions,
     attempt_abandon, miss_report, misses_per_url, stream_resolve, stream_dedup, stream_intake,
     stream_abandon, stream_limits, stream_bursts, stream_stats, stream_misses,
 )}

@@ -11,6 +11,7 @@ from ..functions import listing_text as lt
 from .intake import first_per_key
 
 # Places in the order of trust; the first that yields a name wins.
+# A card is in the list or in a detail panel, so lines and details never compete.
 LINE, DETAIL, SELECTOR, LOCKUP, PRIMARY, LINK_TEXT, LINK_SLUG, LATE_LOCKUP, FALLBACK = range(1, 10)
 
 ROW_LINES = (2, 6)
@@ -123,10 +124,8 @@ def text_candidates(texts: DataFrame, priority: int) -> DataFrame:
 def best_candidate(*candidates: DataFrame) -> DataFrame:
     """Per card the first name in the order of trust, then of appearance."""
     every = reduce(DataFrame.unionByName, candidates)
-    best = every.groupBy("card_id").agg(
-        F.min(F.struct("priority", "ord", "name")).alias("b"))
-    return best.select("card_id", F.col("b.name").alias("company_name"),
-                       F.col("b.priority").alias("priority"))
+    best = first_per_key(every, ["card_id"], ["priority", "ord", "name"])
+    return best.select("card_id", F.col("name").alias("company_name"), "priority")
 
 
 def distinct_cards(*sources: DataFrame) -> DataFrame:

@@ -89,6 +89,30 @@ select o_orderkey as card_id, 0 as link_no,
   case o_orderkey % 4 when 0 then concat('https://www.linkedin.com/company/supplier-', cast(o_custkey as varchar(20)), '/jobs?x=1') when 1 then 'https://www.linkedin.com/company/unavailable' when 2 then 'https://www.linkedin.com/jobs/view/1' else concat('https://www.linkedin.com/company/acme-', cast(o_custkey as varchar(20))) end as href,
   case o_orderkey % 3 when 0 then '' else concat('Acme  ', cast(o_custkey as varchar(20))) end as link_text
 from orders
+""",
+    "deep_lines": """
+select o_orderkey as card_id, 0 as depth, 0 as line_no, 'Principal software engineer for a platform' as line_text from orders
+union all select o_orderkey, 0, 1, concat('Zeta Works ', cast(o_custkey as varchar(20))) from orders where o_orderkey % 3 = 0
+union all select o_orderkey, 0, 2, concat(' Zeta  Works ', cast(o_custkey as varchar(20))) from orders where o_orderkey % 3 = 0
+union all select o_orderkey, 0, 3, 'Austin, TX' from orders
+union all select o_orderkey, 1, 0, 'Principal software engineer for a platform' from orders where o_orderkey % 3 > 0
+union all select o_orderkey, 1, 1, concat('Beta Labs ', cast(o_custkey as varchar(20)), ' · New York, NY') from orders where o_orderkey % 3 > 0
+union all select o_orderkey, 1, 2 + r_regionkey, concat('Row ', cast(r_regionkey as varchar(4))) from orders join region on o_orderkey % 3 = 2
+""",
+    "place_texts": """
+select o_orderkey as card_id, case o_orderkey % 7 when 0 then 3 when 1 then 4 when 2 then 5 when 3 then 8 else 9 end as place, 0 as ord,
+  case o_orderkey % 5 when 0 then 'Remote, CA' when 1 then 'Promoted' else concat('Place ', cast(o_custkey as varchar(20)), chr(10), 'Boston, MA') end as text
+from orders
+union all select o_orderkey, 3 + o_orderkey % 3, 1, concat('Second · Place ', cast(o_custkey as varchar(20))) from orders where o_orderkey % 4 > 0
+""",
+    "detail_links": """
+select o_orderkey as card_id, o_orderkey % 3 as link_no, o_orderkey % 2 = 0 as in_block,
+  concat('https://www.linkedin.com/company/detail-', cast(o_custkey as varchar(20)), '?x=1') as href,
+  case o_orderkey % 3 when 0 then '' when 1 then 'Promoted' else concat('Detail ', cast(o_custkey as varchar(20))) end as link_text
+from orders where o_orderkey % 11 = 0
+""",
+    "detail_blocks": """
+select o_orderkey as card_id, concat('Block ', cast(o_custkey as varchar(20)), ' · Austin, TX') as text from orders where o_orderkey % 22 = 11
 """,
     "request_log": """
 select event_id, ts,
