@@ -24,7 +24,7 @@ from ..sources import sinks, tables
 from ..operators.materialize import materialize, shared_dir
 from ..sources.sample_views import table, view
 from ..streaming import events as event_streams
-from ..streaming.filings import intake_stream
+from ..streaming.filings import intake_stream, stored_cases
 from ..streaming.names import resolve_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -496,14 +496,15 @@ def stream_dedup(spark, sf):
 
 
 def stream_intake(spark, sf):
+    """The last files first: a case keeps the copy of its best file all the same."""
     base = _run_dir(spark, "stream-intake")
     raw = _raw(spark, sf)
-    for priority in (1, 2, 3, 4):
-        raw.where(F.col("file_priority") == priority).coalesce(1).write.parquet(f"{base}/raw/q{priority}")
-    files = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1)
+    for priority in (4, 2, 3, 1):
+        raw.where(F.col("file_priority") == priority).write.parquet(f"{base}/raw/q{priority}")
+    files = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 4)
              .option("recursiveFileLookup", True).parquet(f"{base}/raw"))
     intake_stream(files, f"{base}/cases", f"{base}/checkpoint", ORDER).awaitTermination()
-    return spark.read.parquet(f"{base}/cases").drop("batch_id")
+    return stored_cases(spark, f"{base}/cases", ORDER)
 
 
 def stream_abandon(spark, sf):

@@ -42,10 +42,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def clean_cases(raw: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
+def clean_cases(
+    raw: DataFrame, order: Sequence[str] = FILE_ORDER, keep: Sequence[str] = ()
+) -> DataFrame:
     """One normalised row per case number; the earliest file and row win.
 
-    Fields are normalised after the dedupe, so copies cost no text work.
+    Fields are normalised after the dedupe, so copies cost no text work. Columns in ``keep``
+    pass unchanged.
     """
     kept = first_per_key(certified_filings(raw), ["case_number"], order)
     return kept.select(
@@ -56,7 +59,7 @@ def clean_cases(raw: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
         text.employer_name(F.col("employer_name")).alias("employer_name"),
         text.employer_name(F.col("trade_name_dba")).alias("trade_name_dba"),
         text.wage_level(F.col("pw_wage_level")).alias("pw_wage_level"),
-        text.yes_no(F.col("h1b_dependent")).alias("h1b_dependent"),
+        text.yes_no(F.col("h1b_dependent")).alias("h1b_dependent"), *keep,
     )
 
 

@@ -1,14 +1,14 @@
-"""Filings that arrive file by file; the first copy of a case stays."""
+"""Filings that arrive file by file, in any order; the best copy of a case counts."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import FILE_ORDER
-from ..operators.intake import clean_cases
+from ..operators.intake import clean_cases, first_per_key
 
 
 def intake_stream(
@@ -18,20 +18,20 @@ def intake_stream(
     order: Sequence[str] = FILE_ORDER,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Append the cases of each batch that earlier batches do not have.
+    """Append the cases of each batch with the columns that order them.
 
-    Only the case numbers of the store are read back. A batch that is run again leaves its
-    own folder out of the comparison and overwrites it.
+    A batch reads nothing of the store, so its cost follows its own size. A batch that is run
+    again overwrites its own folder.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
-        cases = clean_cases(batch, order)
-        if batch_id > 0:
-            known = (
-                batch.sparkSession.read.option("basePath", store)
-                .schema("case_number string, batch_id long").parquet(store)
-                .where(F.col("batch_id") < batch_id).select("case_number"))
-            cases = cases.join(known, "case_number", "left_anti")
+        cases = clean_cases(batch, order, keep=order)
         cases.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
     return (raw.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def stored_cases(spark: SparkSession, store: str, order: Sequence[str] = FILE_ORDER) -> DataFrame:
+    """One row per case of all batches: the earliest file and row win, whenever they came."""
+    rows = spark.read.parquet(store).drop("batch_id")
+    return first_per_key(rows, ["case_number"], order).drop(*order)
