@@ -423,7 +423,7 @@ def burst_sessions(spark, sf):
 def attempt_abandon(spark, sf):
     return attempts.abandoned(
         table(spark, sf, "events"), F.col("event_type") == "error", card="user_id",
-        max_attempts=3, chunk="week")
+        max_attempts=3)
 
 
 def miss_report(spark, sf):

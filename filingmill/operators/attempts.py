@@ -19,15 +19,20 @@ def abandoned(
     ts: str = "ts",
     key: str = "event_id",
     max_attempts: int = Listing.max_attempts,
-    chunk: str = "day",
+    chunk: str | None = None,
 ) -> DataFrame:
     """Per card its attempts, failures and the attempt at which it was given up, if any.
 
     A success sets the count back; the card is given up at its ``max_attempts``-th failure
     in a row and stays so. Failures since the last success are the running count of failures
-    less its value at that success; both are worked out inside chunks of time and carried on.
+    less its value at that success; both are worked out inside ranges of rows, or inside a unit
+    of time, and carried on.
     """
     rows = attempts.select(card, ts, key, failed.alias("_failed"))
+    if chunk is None:
+        rows, part = prefix.ranged(rows, ts, key), F.col("_range")
+    else:
+        part = F.date_trunc(chunk, F.col(ts)).cast("timestamp").cast("long")
     fails = F.col("_fails")
 
     def inside(w):
@@ -40,7 +45,7 @@ def abandoned(
                     F.col("_fails_before") + F.col("_c_at_ok")).over(prefix.before(w)), F.lit(0))}]
 
     counted = prefix.along(
-        rows, [card], F.date_trunc(chunk, F.col(ts)).cast("timestamp").cast("long"), [ts, key], inside,
+        rows, [card], part, [ts, key], inside,
         {"_c_fails": F.max("_fails"), "_c_at_ok": F.max("_at_ok")}, carry)
     in_row = F.when(F.col("_at_ok").isNotNull(), fails - F.col("_at_ok")).otherwise(
         fails + F.col("_fails_before") - F.col("_ok_before"))

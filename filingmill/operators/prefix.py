@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from .materialize import materialize
+
 
 def along(
     df: DataFrame,
@@ -39,6 +41,16 @@ def along(
     return cut.join(chunks, ["_key", "_chunk"]).drop("_key", "_chunk")
 
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` in ranges of ``order`` of about equal size, numbered in ``_range``.
+
+    Ranges follow the rows and not the values, so neither sparse ids nor busy times make chunks
+    too many or too large. Written once, since another run would cut the ranges elsewhere.
+    """
+    cut = df.repartitionByRange(*[F.col(c) for c in order])
+    return materialize(cut.withColumn("_range", F.spark_partition_id()), "ranges")
+
+
 def so_far(window: WindowSpec) -> WindowSpec:
     """Rows up to and including the current one."""
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -92,7 +92,7 @@ def plain_abandoned(rows, n):
     return {k: up for k, (_, up) in state.items()}
 
 
-@pytest.mark.parametrize("chunk", ["minute", "day"])
+@pytest.mark.parametrize("chunk", [None, "minute", "day"])
 def test_abandoned(spark, chunk):
     rows = random_events(9)
     out = attempts.abandoned(events(spark, rows), F.col("failed"), max_attempts=8, chunk=chunk).collect()
