@@ -152,15 +152,23 @@ def _star(buckets: DataFrame) -> DataFrame:
         "key", F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+def _texts(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(doc_id, words) of all representatives that share a bucket; texts are shuffled here only.
+
+    The join is told to shuffle, so it does not depend on how many representatives there are.
+    """
+    shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    needed = placed.join(shared, "key").select(F.col("id").alias("doc_id")).distinct()
+    hashed = _identified(docs.join(needed.hint("merge"), "doc_id"))
+    order = Window.partitionBy("doc_id").orderBy("h1", "h2")
+    one = hashed.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return materialize(one.select("doc_id", "words"), "words")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Verified (a, b, similarity) with a < b, from unordered pairs of representatives."""
-    own = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    own = materialize(own, "pairs")
-    needed = own.select("a").union(own.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    chosen = rows.join(needed, "doc_id").select("doc_id", "h1", "h2")
-    texts = materialize(
-        _identified(docs.join(needed, "doc_id", "left_semi")).join(chosen, ["doc_id", "h1", "h2"], "left_semi")
-        .dropDuplicates(["doc_id"]).select("doc_id", "words"), "words")
+    own = materialize(
+        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     joined = (
         own.join(texts.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
@@ -208,8 +216,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reps = rows.join(first.select(F.col("rep").alias("doc_id")), "doc_id")
     placed = materialize(reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "buckets")
 
-    met = _star(placed)
-    links = _links(met.select("a", "b"), docs, rows, threshold).select("a", "b")
+    texts = _texts(docs, placed)
+    links = _links(_star(placed).select("a", "b"), texts, threshold).select("a", "b")
     roots = components(links)
 
     def rooted(pairs: DataFrame, column: str) -> DataFrame:
@@ -225,7 +233,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     finer = left.join(left.withColumnRenamed("key", "other"), "id").where("key < other").select(
         "id", F.xxhash64("key", "other").alias("key"))
     fresh = rooted(rooted(_star(finer).select("a", "b").distinct(), "a"), "b").where("root_a <> root_b")
-    links = links.union(_links(fresh.select("a", "b"), docs, rows, threshold).select("a", "b"))
+    links = links.union(_links(fresh.select("a", "b"), texts, threshold).select("a", "b"))
 
     roots = components(links)
     classes = first.join(roots, first["rep"] == roots["id"], "left").select(
