@@ -288,3 +288,23 @@ def test_pending_vectors_by_id(spark):
     assert [r.id for r in merge.pending(df, 1).collect()] == [2]
     assert merge.pending(df).count() == 2
     assert merge.coverage(df).first().pending == 2
+
+
+def test_another_threads_copies_stay(spark):
+    import threading
+
+    kept, ready, done = [], threading.Event(), threading.Event()
+
+    def other():
+        ready.wait(60)
+        kept.append(materialize(spark.range(4), "kept"))
+        done.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with temporary(spark):
+        materialize(spark.range(3), "gone")
+        ready.set()
+        assert done.wait(60)
+    thread.join()
+    assert kept[0].count() == 4

@@ -214,6 +214,9 @@ def test_hashed_search_finds_most_close_vectors(spark):
     out = nearest.top_neighbours(queries, names, 1, nearest.Hashing(dim=32, tables=10, bits=6)).collect()
     found = sum(r.employer_name == f"E{r.query_id}" for r in out)
     assert found >= 57
+    # More neighbours than a bucket holds: the exact search fills up.
+    many = nearest.top_neighbours(queries, names, 40, nearest.Hashing(dim=32, tables=2, bits=6))
+    assert {r["count"] for r in many.groupBy("query_id").count().collect()} == {40}
 
 
 def test_resolve_with_vectors_and_embedder(spark):
@@ -247,3 +250,23 @@ def test_one_bad_name_costs_only_itself(spark):
     assert rows["BAD"].embed_error == "RuntimeError"
     assert rows["SHORT"].embed_error == "expected 4 values, got 3"
     assert rows["NOTHING"].embedding is None
+
+
+def test_a_name_is_embedded_once(spark, tmp_path):
+    asked, inner = str(tmp_path / "asked"), embed.hash_embedder(8)
+
+    def counting(texts):
+        with open(asked, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return inner(texts)
+
+    emp = embed.fill_vectors(
+        employers(spark, ("ALPHA", 5), ("BETA", 7)).withColumn("embedding", F.lit(None).cast("array<float>")),
+        inner, Embedding(dim=8))
+    names = spark.createDataFrame([(1, "gamma"), (2, "delta"), (3, "gamma"), (4, "alpha")], "i int, raw_name string")
+    for hashing in (None, nearest.Hashing(dim=8)):
+        out = resolve(names, emp, spark.createDataFrame([], ALIAS), embed_fn=counting, embedding=Embedding(dim=8), hashing=hashing)
+        assert {r.i: r.match_type for r in out.collect()} == {1: "miss", 2: "miss", 3: "miss", 4: "exact"}
+        with open(asked) as f:
+            assert sorted(f.read().split()) == ["DELTA", "GAMMA"]
+        open(asked, "w").close()
