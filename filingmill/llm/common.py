@@ -28,9 +28,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def row_number_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
-    """At most ``bound`` rows, the same ones at every partitioning: smallest key hashes first."""
-    return df.orderBy(F.xxhash64(key, F.lit("sample")), key).limit(bound)
+def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
+    """At most ``bound`` rows, the same ones at every partitioning: smallest key hashes first.
+
+    A large table is first cut by a limit on the hash to about four times the bound, so that
+    only these rows meet, however many tasks there are. ``df`` is read twice.
+    """
+    share = 4 * bound / max(1, df.count())
+    place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40))
+    few = df.where(place < int(share * (1 << 40))) if share < 1 else df
+    return few.orderBy(place, key).limit(bound)
 
 
 def long_table(values: list[int]) -> Column:
@@ -49,3 +56,29 @@ def worker_store(name: str) -> dict:
     """A dictionary of this Python process that outlives a task, as Spark reuses workers."""
     module = sys.modules.setdefault("filingmill_worker_store", types.ModuleType("filingmill_worker_store"))
     return module.__dict__.setdefault(name, {})
+
+
+class Generations:
+    """A bounded cache: what is asked for moves to the young generation, the old one is let go."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.young[key] = value
+        return value
+
+
+def worker_cache(name: str, limit: int) -> Generations:
+    """The cache of that name of this Python process, ready for another batch."""
+    cache = worker_store(name).setdefault("cache", Generations(limit))
+    cache.turn()
+    return cache

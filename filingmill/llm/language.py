@@ -73,10 +73,13 @@ class Model:
 def sample_ids(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, lang): up to ``per_language`` ids of each of the most frequent languages."""
     known = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    ranked = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    return ranked.join(common, "lang").select("doc_id", "lang").dropDuplicates(["doc_id"])
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    # About four times as many as wanted pass the limit on the hash, and only these are ranked.
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
+    few = known.join(F.broadcast(common), "lang").where(place < 4 * per_language / F.col("count") * (1 << 40))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ranked = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    return ranked.select("doc_id", "lang").dropDuplicates(["doc_id"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

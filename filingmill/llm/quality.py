@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bind, long_table, row_number_sample, words_of
+from .common import bind, long_table, bounded_sample, words_of
 
 BUCKETS = 1 << 14
 UNIT = 1 << 20
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, trusted: DataFrame, bound: int = TRUSTED) -> list[int]:
     ``trusted`` has the ``doc_id`` of trusted documents, of which at most ``bound`` are used.
     Raw counts are those of all documents.
     """
-    ids = row_number_sample(trusted.where("doc_id is not null").select("doc_id").distinct(), F.col("doc_id"), bound)
+    ids = bounded_sample(trusted.where("doc_id is not null").select("doc_id").distinct(), F.col("doc_id"), bound)
     marked = docs.select("doc_id", words_of(F.col("text")).alias("words")).join(
         F.broadcast(ids.withColumn("good", F.lit(1))), "doc_id", "left")
     grams = marked.select("good", F.explode(bucketed(F.col("words"))).alias("bucket"))

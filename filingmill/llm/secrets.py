@@ -13,7 +13,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bind, long_table, row_number_sample
+from ..operators.materialize import materialize
+from .common import bind, long_table, bounded_sample
 
 KINDS = ("assign", "access", "hex", "random")
 # Base patterns, group that must have so many characters, and that length.
@@ -93,9 +94,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> list[int]:
     """
     own = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     holders = own.select("doc_id", F.transform(base_spans(F.col("text")), lambda s: s["value"]).alias("found"))
-    found = row_number_sample(holders.where(F.size("found") > 0), F.col("doc_id"), sample)
+    # Written, as the patterns run over all texts.
+    holding = materialize(holders.where(F.size("found") > 0), "holders")
+    found = bounded_sample(holding, F.col("doc_id"), sample)
     random = _pair_counts(found.select(F.explode("found").alias("token")))
-    ids = row_number_sample(own.select("doc_id"), F.col("doc_id"), sample).distinct()
+    ids = bounded_sample(own.select("doc_id"), F.col("doc_id"), sample).distinct()
     rest = own.join(F.broadcast(ids), "doc_id").select("text")
     for pattern, _, _ in (PATTERNS["assign"], (r"AKIA[A-Z0-9]{16,}", 0, 0), (r"[0-9a-f]{24,}", 0, 0)):
         rest = rest.withColumn("text", F.regexp_replace("text", pattern, " "))

@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.materialize import shared_dir
-from .common import row_number_sample, text_batches, worker_store
+from .common import bounded_sample, text_batches, worker_cache, worker_store
 
 MAGIC = b"FMTOKENS"
 # Footer: place of the index, documents, hash of the dictionary, magic.
 _FOOTER = "<QQ32s8s"
 DOCS_PER_SHARD = 1 << 14
-# The dictionary: its size, and how many documents of up to how many characters train it.
+# The dictionary: its size, how many documents are sampled, and the longest that train it.
 DICTIONARY, SAMPLE, SAMPLE_CHARS = 112_640, 1000, 16_384
 LEVEL = 3
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 500_000
 _MANIFEST = "shard int, file string, documents long, tokens long, first_id long, last_id long"
 
 
@@ -59,16 +60,15 @@ def serialized(texts: list[bytes | None], tokenizer: str, end_id: int) -> Iterat
     White space ends every piece of this tokenizer, so chunks between ASCII white space are
     encoded once per worker and batch; the cache is bounded and only saves time.
     """
-    cache, tok = worker_store("token chunks"), _tokenizer(tokenizer)
-    if len(cache) > CACHED_CHUNKS:
-        cache.clear()
-    end = struct.pack("<I", end_id)
+    cache, tok = worker_cache("token chunks", CACHED_CHUNKS), _tokenizer(tokenizer)
     parts = [(t or b"").split() for t in texts]
-    new = list({c for p in parts for c in p if c not in cache})
+    own = {c: cache.get(c) for c in dict.fromkeys(chain.from_iterable(parts))}
+    new = [c for c, ids in own.items() if ids is None]
     for c, e in zip(new, tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-        cache[c] = np.array(e.ids, "<u4").tobytes()
+        own[c] = cache.young[c] = np.array(e.ids, "<u4").tobytes()
+    end = struct.pack("<I", end_id)
     for p in parts:
-        yield b"".join(map(cache.__getitem__, p)) + end
+        yield b"".join(map(own.__getitem__, p)) + end
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -100,8 +100,7 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1, docs_per_
     spark = docs.sparkSession
     text_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    short = own.where((F.char_length("text") > 0) & (F.char_length("text") <= SAMPLE_CHARS))
-    chosen = row_number_sample(short.select("doc_id"), F.col("doc_id"), SAMPLE).distinct()
+    chosen = bounded_sample(own.select("doc_id").where("doc_id is not null"), F.col("doc_id"), SAMPLE).distinct()
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +108,8 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1, docs_per_
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(serialized(texts, tokenizer, end_id)), pa.binary())], names=["doc_id", "ids"])
 
-    rows = short.join(F.broadcast(chosen), "doc_id").mapInArrow(sampled, "doc_id long, ids binary").collect()
+    short = own.join(F.broadcast(chosen), "doc_id").where(F.char_length("text") <= SAMPLE_CHARS)
+    rows = short.mapInArrow(sampled, "doc_id long, ids binary").collect()
     dictionary = dictionary_of([bytes(r["ids"]) for r in sorted(rows)])
     digest = hashlib.sha256(dictionary).digest()
     store, path = _open(root)
