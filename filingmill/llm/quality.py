@@ -13,13 +13,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bind, long_table, bounded_sample, words_of
+from .common import BLANKS, bind, long_table, bounded_sample, words_of
 
 BUCKETS = 1 << 14
 UNIT = 1 << 20
 SYMBOLS = "#*$%&|<>"
 # Documents below this mean log ratio are far less likely under the target than in the corpus.
 THRESHOLD = -0.08
+# A prime over the range of word hashes, so the pair's bucket is not the sum of the words' buckets.
+PAIR_PRIME = 4294967311
 # At most so many trusted documents make the target model.
 TRUSTED = 20_000
 # The raw corpus counts as so many n-grams of the target, which smooths its empty buckets.
@@ -47,8 +49,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, any others) with words, the counts and ``base_failed``."""
     text = F.coalesce("text", F.lit(""))
     has_word = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    hashed = F.transform("words", lambda w: F.xxhash64(w))
-    windows = bind(hashed, lambda h: F.transform(
+    windows = bind(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.transform(
         F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)])))
     counted = docs.withColumns({
         "words": words_of(F.col("text")),
@@ -56,7 +57,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "n_dup_lines": bind(has_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     }).withColumns({
         "n_words": F.size("words").cast("long"),
-        "word_chars": F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)),
+        "word_chars": F.char_length(F.translate(text, BLANKS, "")).cast("long"),
         "windows": F.when(F.size("words") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")),
     })
     counted = counted.withColumn("n_repeat_words", _repeated(F.col("windows")).cast("long"))
@@ -64,12 +65,17 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", failed).drop("windows")
 
 
-def bucketed(words: Column) -> Column:
-    """Bucket numbers of all words and of all pairs of neighbouring words."""
-    bucket = lambda s: F.pmod(F.crc32(s.cast("binary")), F.lit(BUCKETS)).cast("int")
-    single = F.transform(words, bucket)
-    pairs = F.transform(words, lambda w, i: F.when(i > 0, bucket(F.concat_ws(" ", F.get(words, i - 1), w))))
-    return F.concat(single, F.slice(pairs, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))))
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.crc32(w.cast("binary")))
+
+
+def word_bucket(word: Column) -> Column:
+    return (word % BUCKETS).cast("int")
+
+
+def pair_bucket(first: Column, second: Column) -> Column:
+    """The bucket of two neighbouring words, in this order."""
+    return ((first * 31 + second * 17 + 7) % PAIR_PRIME % BUCKETS).cast("int")
 
 
 def fit(docs: DataFrame, trusted: DataFrame, bound: int = TRUSTED) -> list[int]:
@@ -79,9 +85,13 @@ def fit(docs: DataFrame, trusted: DataFrame, bound: int = TRUSTED) -> list[int]:
     Raw counts are those of all documents.
     """
     ids = bounded_sample(trusted.where("doc_id is not null").select("doc_id").distinct(), F.col("doc_id"), bound)
-    marked = docs.select("doc_id", words_of(F.col("text")).alias("words")).join(
+    marked = docs.select("doc_id", hashed(words_of(F.col("text"))).alias("h")).join(
         F.broadcast(ids.withColumn("good", F.lit(1))), "doc_id", "left")
-    grams = marked.select("good", F.explode(bucketed(F.col("words"))).alias("bucket"))
+    buckets = F.concat(
+        F.transform("h", word_bucket),
+        F.transform(F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0))),
+                    lambda w, i: pair_bucket(F.get("h", i), w)))
+    grams = marked.select("good", F.explode(buckets).alias("bucket"))
     counts = {r[0]: (r[1], r[2]) for r in grams.groupBy("bucket").agg(F.count("*"), F.count("good")).collect()}
     raw_total = sum(r for r, _ in counts.values())
     good_total = sum(g for _, g in counts.values())
@@ -102,7 +112,14 @@ def judge(docs: DataFrame, model: list[int], threshold: float = THRESHOLD) -> Da
     words and fail the base. Rows with repeated or null ids are judged each for itself.
     """
     weights = long_table(model)
-    total = F.aggregate(bucketed(F.col("words")), F.lit(0).cast("long"), lambda a, b: a + F.get(weights, b))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("last"))
+
+    def step(a: Column, w: Column) -> Column:
+        single = a["sum"] + F.get(weights, word_bucket(w))
+        return F.struct((single + F.coalesce(
+            F.get(weights, pair_bucket(a["last"], w)), F.lit(0))).alias("sum"), w.alias("last"))
+
+    total = F.aggregate(hashed(F.col("words")), start, step, lambda a: a["sum"])
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
     limit = round(UNIT * threshold)
     return (
