@@ -18,17 +18,19 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import text_batches, worker_store
+from .common import text_batches, worker_cache, worker_store
 
 # Fixed value: the tokenizer's split pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHED_CHUNKS = 300_000
+# Per generation, and of remembered pair tests.
+CACHED_CHUNKS, CACHED_PAIRS = 300_000, 600_000
 
 
 def byte_letters() -> list[str]:
@@ -169,12 +171,6 @@ def worker_encoder(path: str) -> Encoder:
     return store[path]
 
 
-def bounded(cache: dict, limit: int = CACHED_CHUNKS) -> dict:
-    if len(cache) > limit:
-        cache.clear()
-    return cache
-
-
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """Every row of ``docs`` as (row, ids, decoded): the ids of ``text`` and the decoded text.
 
@@ -192,6 +188,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _both(encoder: Encoder, chunks: list[bytes], cache: dict) -> tuple:
+    """Ids and decoded text; ``cache`` has the ids as text, the decoded text and the number by chunk."""
     ids = [int(i) for c in chunks for i in cache[c][0].split()]
     return ids, encoder.decode(ids)
 
@@ -208,18 +205,19 @@ def _mapped(docs: DataFrame, path: str, fields: list[StructField], make) -> Data
     schema = StructType([rows.schema["row"], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = worker_encoder(path), worker_store("bpe chunks")
+        encoder = worker_encoder(path)
         for batch in batches:
-            out = []
-            for text in batch.column(0).field("text").cast(pa.binary()).to_pylist():
-                chunks = (text or b"").split()  # at ASCII white space
-                for c in chunks:
-                    if c not in cache:
-                        ids = encoder.chunk(c.decode())
-                        cache[c] = (" ".join(map(str, ids)).encode(), encoder.decode(ids).encode(), len(ids))
-                out.append(make(encoder, chunks, cache))
-                bounded(cache)
-                bounded(encoder.compatible)
+            cache = worker_cache(f"bpe chunks {path}", CACHED_CHUNKS)
+            if len(encoder.compatible) > CACHED_PAIRS:
+                encoder.compatible.clear()
+            # Cut at ASCII white space.
+            texts = [(t or b"").split() for t in batch.column(0).field("text").cast(pa.binary()).to_pylist()]
+            own = {c: cache.get(c) for c in dict.fromkeys(chain.from_iterable(texts))}
+            for c, held in own.items():
+                if held is None:
+                    ids = encoder.chunk(c.decode())
+                    own[c] = cache.young[c] = (" ".join(map(str, ids)).encode(), encoder.decode(ids).encode(), len(ids))
+            out = [make(encoder, chunks, own) for chunks in texts]
             columns = [*zip(*out)] if out else [()] * len(fields)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["row", *names])
