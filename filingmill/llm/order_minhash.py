@@ -9,7 +9,10 @@ Exact copies are one representative from the start. Members of a bucket are comp
 smallest and its largest id only, so a bucket makes links in proportion to its members. Members of
 buckets that fall into several classes meet again in the finer buckets of two equal sequences,
 which pairs over the threshold share many of, and texts with one common passage hardly ever; there
-only pairs of different classes are compared.
+only pairs of different classes are compared. What is then still of several classes is decided pair
+by pair: a bucket is cut into blocks, every two blocks are one row, and a pair of different classes
+is passed on unless its parity bitmaps differ in more bits than the threshold lets k-mers differ.
+That is a true bound, so no pair over the threshold that shares a key is left out.
 
 A candidate pair is verified by aligning the two sequences of labelled k-mers. As these are unique,
 the best alignment is the longest increasing run of matched places. A pair over the threshold never
@@ -38,6 +41,8 @@ K = 5
 TAKEN = 4
 SKETCHES = 20
 THRESHOLD = 0.8
+# Members of a block of a bucket, on average; bits of a parity bitmap at most.
+BLOCK, BITS = 512, 1 << 14
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
@@ -110,6 +115,48 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return aligned / (total - aligned) if aligned >= need else 0.0
 
 
+def parity_bits(kmers: np.ndarray) -> np.ndarray:
+    """Per bit whether an odd number of k-mers falls there; halves xored are the bitmap of half the size."""
+    size = min(BITS, max(64, 1 << (2 * len(kmers) - 1).bit_length()))
+    at = (kmers & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def close_pairs(ids: np.ndarray, roots: np.ndarray, own: np.ndarray, n: np.ndarray, bits: list[np.ndarray],
+                threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ids with different roots that may reach the threshold.
+
+    With two blocks in ``own`` only pairs across them. Different bits are different k-mers at least.
+    """
+    width = np.array([len(b) for b in bits])
+    matrices = {w: np.stack([bits[i] for i in np.flatnonzero(width == w)]) for w in np.unique(width).tolist()}
+    two, left, right = own.min() < own.max(), [], []
+    for w in matrices:
+        for v in matrices:
+            if v < w:
+                continue
+            a, b = np.flatnonzero(width == w), np.flatnonzero(width == v)
+            x, y = matrices[w], matrices[v]
+            while y.shape[1] > w:
+                y = y[:, :y.shape[1] // 2] ^ y[:, y.shape[1] // 2:]
+            for i, own_bits in zip(a, x):
+                fit = roots[b] != roots[i]
+                fit &= own[b] != own[i] if two else True
+                if v == w:
+                    fit &= b > i
+                total = n[b] + n[i]
+                spare = total - 2 * np.ceil(threshold / (1 + threshold) * total - 1e-9).astype(np.int64)
+                fit &= np.abs(n[b] - n[i]) <= spare
+                at = np.flatnonzero(fit)
+                if len(at):
+                    differ = np.bitwise_count(y[at] ^ own_bits).sum(axis=1, dtype=np.int64)
+                    at = at[differ <= spare[at]]
+                    left.append(np.full(len(at), ids[i]))
+                    right.append(ids[b[at]])
+    none = np.empty(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     for a, b in zip(offsets[:-1], offsets[1:]):
@@ -126,6 +173,29 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "h1", "h2", "keys"])
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kmers = [labelled_kmers(w) for w in _lists(batch.column(1))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(k) for k in kmers], pa.int64()),
+             pa.array([parity_bits(k).tobytes() for k in kmers], pa.binary())], names=["id", "n", "bits"])
+
+
+def _compare(threshold: float):
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            offsets, members = lists.offsets.to_numpy(), lists.values
+            ids, roots, own, n = (members.field(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "own", "n"))
+            bits = members.field("bits")
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                rows = [np.frombuffer(x, np.uint64) for x in bits.slice(a, b - a).to_pylist()]
+                left, right = close_pairs(ids[a:b], roots[a:b], own[a:b], n[a:b], rows, threshold)
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
+    return compared
+
+
 def _verify(threshold: float):
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,6 +222,23 @@ def _star(buckets: DataFrame) -> DataFrame:
         "key", F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
 
 
+def _undecided(buckets: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): pairs of different roots that share a bucket of ``buckets`` (key, id, root_id) and may be alike."""
+    sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    ids = buckets.select(F.col("id").alias("doc_id")).distinct()
+    bitmaps = texts.join(ids, "doc_id").select("doc_id", "words").mapInArrow(_bitmaps, "id long, n long, bits binary")
+    # Every block meets every block, so the parts of a large bucket are dealt out like small ones.
+    cut = buckets.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), "blocks")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = cut.join(bitmaps, "id").groupBy(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+        F.collect_list(F.struct("id", F.col("root_id").alias("root"), "own", "n", "bits")).alias("members"))
+    # Of two blocks only one may have members; these meet each other in their own row.
+    some = met.where(F.size("members") > 1).where((F.col("i") == F.col("j")) | (
+        F.size(F.array_distinct(F.transform("members", lambda m: m["own"]))) > 1))
+    return some.select("members").mapInArrow(_compare(threshold), "a long, b long")
+
+
 def _texts(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """(doc_id, words) of all representatives that share a bucket; texts are shuffled here only.
 
@@ -199,7 +286,7 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id): one row per document id; ``class_id`` is the smallest id of its class.
 
     Documents are in one class when a chain of pairs with at least ``threshold`` similarity, or of
@@ -225,15 +312,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return pairs.join(known, column, "left").withColumn(
             f"root_{column}", F.coalesce("_root", column)).drop("_root")
 
-    # Buckets whose members are not yet of one class, in the finer keys of two such buckets.
-    classed = rooted(placed, "id")
-    mixed = classed.groupBy("key").agg(
-        F.min("root_id").alias("low"), F.max("root_id").alias("high")).where("low < high").select("key")
-    left = materialize(placed.join(mixed, "key"), "mixed")
-    finer = left.join(left.withColumnRenamed("key", "other"), "id").where("key < other").select(
+    def mixed(buckets: DataFrame) -> DataFrame:
+        """Members, with their roots, of buckets that are not yet of one class."""
+        classed = rooted(buckets, "id")
+        keys = classed.groupBy("key").agg(
+            F.min("root_id").alias("low"), F.max("root_id").alias("high")).where("low < high").select("key")
+        return materialize(classed.join(keys, "key"), "mixed")
+
+    # First in the finer keys of two such buckets, then whatever pair of classes is left in one.
+    left = mixed(placed)
+    own = left.select("key", "id")
+    finer = own.join(own.withColumnRenamed("key", "other"), "id").where("key < other").select(
         "id", F.xxhash64("key", "other").alias("key"))
     fresh = rooted(rooted(_star(finer).select("a", "b").distinct(), "a"), "b").where("root_a <> root_b")
     links = links.union(_links(fresh.select("a", "b"), texts, threshold).select("a", "b"))
+    roots = components(links)
+    links = links.union(_links(_undecided(mixed(own), texts, threshold, block), texts, threshold).select("a", "b"))
 
     roots = components(links)
     classes = first.join(roots, first["rep"] == roots["id"], "left").select(

@@ -100,6 +100,41 @@ def test_classes_around_a_shared_passage(spark):
     assert dict(map(tuple, got.collect())) == brute.near_classes(docs)[0]
 
 
+@pytest.mark.parametrize("block", [order_minhash.BLOCK, 16])
+def test_classes_around_a_hub(spark, block):
+    """Many variants are near copies of one text in the middle of the ids, but not of each other."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    original, docs = [word() for _ in range(104)], {}
+    for i in [*range(150), *range(151, 301)]:
+        own = list(original)
+        place = rng.randrange(5, 45)
+        for at in (place, place + rng.randrange(10, 50)):
+            own[at] = word()
+        docs[i] = " ".join(own)
+    docs[150] = " ".join(original)
+    got = order_minhash.near_duplicates(
+        spark.createDataFrame(list(docs.items()), "doc_id long, text string"), **({} if block == order_minhash.BLOCK else {"block": block}))
+    assert dict(map(tuple, got.collect())) == brute.near_classes(docs)[0] == dict.fromkeys(docs, 0)
+
+
+def test_bitmaps_leave_out_no_close_pair():
+    rng = np.random.default_rng(5)
+    for size in (3, 40, 3000, 20_000):
+        base = rng.integers(0, 1 << 63, size, np.int64)
+        sets = []
+        for _ in range(30):
+            kept = base[rng.random(size) > rng.choice([0.02, 0.08, 0.15])]
+            sets.append(np.r_[kept, rng.integers(0, 1 << 63, rng.integers(0, size // 8 + 1), np.int64)].view(np.uint64))
+        ids = np.arange(30)
+        a, b = order_minhash.close_pairs(
+            ids, ids, np.zeros(30, int), np.array([len(x) for x in sets]), [order_minhash.parity_bits(x) for x in sets], 0.8)
+        found = {frozenset(p) for p in zip(a.tolist(), b.tolist())}
+        true = {frozenset((i, j)) for i in range(30) for j in range(i) if len(sets[i]) and
+                order_minhash.similarity(sets[i], sets[j]) >= 0.8}
+        assert true <= found
+
+
 def test_similarity_is_the_best_alignment():
     rng = random.Random(2)
     for _ in range(300):
