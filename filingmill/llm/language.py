@@ -3,7 +3,7 @@
 A text is letters, lower-cased, with one blank for everything else; its character runs of length
 one to four are hashed into buckets. The mean of the buckets' embeddings goes through a linear
 softmax. Embeddings and weights are trained together by stochastic gradient descent in numpy on a
-bounded sample with as many documents of each language as there are, up to a limit; a part of the
+sample of every language's documents, bounded for each of them; a part of the
 sample is left out to fit the temperature that makes the scores probabilities, and the score below
 which a text is rejected. As the mean is linear, a trained model is one row of logits per bucket.
 """
@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from ..operators.materialize import materialize
 from .common import text_batches
 
 BUCKETS = 1 << 13
 RUNS = (1, 2, 3, 4)
 DIM = 16
-# At most so many documents of each language, and languages, are sampled.
-PER_LANGUAGE, LANGUAGES = 500, 64
+# At most so many documents of each language are sampled; with many languages fewer of each, so that
+# all stay within TOTAL as long as that leaves FEWEST. Every language is a class.
+PER_LANGUAGE, TOTAL, FEWEST = 500, 32_000, 20
 EPOCHS, RATE, BATCH = 30, 2.0, 32
 # Never reject at or above this calibrated probability, nor more of the held-back texts than this.
 REJECT_BELOW, REJECT_SHARE = 0.5, 0.002
@@ -71,12 +73,13 @@ class Model:
 
 
 def sample_ids(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(doc_id, lang): up to ``per_language`` ids of each of the most frequent languages."""
+    """(doc_id, lang): up to ``per_language`` ids of every language, or fewer if there are many."""
     known = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang")
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    languages = materialize(known.groupBy("lang").count(), "languages")
+    per_language = min(per_language, max(FEWEST, TOTAL // max(1, languages.count())))
     # About four times as many as wanted pass the limit on the hash, and only these are ranked.
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
-    few = known.join(F.broadcast(common), "lang").where(place < 4 * per_language / F.col("count") * (1 << 40))
+    few = known.join(languages, "lang").where(place < 4 * per_language / F.col("count") * (1 << 40))
     order = Window.partitionBy("lang").orderBy(place, "doc_id")
     ranked = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
     return ranked.select("doc_id", "lang").dropDuplicates(["doc_id"])
@@ -98,9 +101,17 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     if not languages:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 0.0)
     y = np.array([languages.index(e[0]) for e in examples])
-    x = np.zeros((len(examples), BUCKETS), np.float32)
-    for row, (_, at, n) in zip(x, examples):
-        row[at] = n / n.sum()
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), BUCKETS), np.float32)
+        for row, i in zip(x, rows):
+            _, at, n = examples[i]
+            row[at] = n / n.sum()
+        return x
+
+    def parts(rows: np.ndarray) -> list[np.ndarray]:
+        return np.array_split(rows, max(1, len(rows) // BATCH))
+
     rank = np.zeros(len(y), int)
     for c in range(len(languages)):
         rank[y == c] = np.arange((y == c).sum())
@@ -111,11 +122,11 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     w = rng.normal(0, 0.1, (DIM, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
     # Frequent buckets move in every step, so steps are scaled by how much of a text a bucket is.
-    scale = 1.0 / (x[fit].mean(axis=0) * BUCKETS + 1.0)
+    scale = 1.0 / (sum(dense(rows).sum(axis=0) for rows in parts(fit)) / len(fit) * BUCKETS + 1.0)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for rows in np.array_split(rng.permutation(fit), max(1, len(fit) // BATCH)):
-            xb = x[rows]
+        for rows in parts(rng.permutation(fit)):
+            xb = dense(rows)
             mean = xb @ e
             z = mean @ w + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -128,7 +139,7 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
             e -= rate * BUCKETS * scale[:, None] * (xb.T @ back)
     logits = e @ w
     check = np.flatnonzero(held) if held.any() else fit
-    z = x[check] @ logits + bias
+    z = np.concatenate([dense(rows) @ logits for rows in parts(check)]) + bias
 
     def probabilities(t: float) -> np.ndarray:
         p = np.exp((z - z.max(axis=1, keepdims=True)) / t)
@@ -144,7 +155,7 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Train on a bounded sample of ``docs`` (doc_id, text, lang) with a language."""
     text_batches(docs.sparkSession)
-    chosen = F.broadcast(sample_ids(docs, per_language))  # at most PER_LANGUAGE * LANGUAGES ids
+    chosen = F.broadcast(sample_ids(docs, per_language))  # at most TOTAL ids, or FEWEST a language
     texts = chosen.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", "lang", "text")
     rows = texts.mapInArrow(_features, "doc_id long, lang string, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["at"]), bytes(r["n"])))

@@ -215,6 +215,24 @@ def test_language_accuracy_on_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_every_language_is_a_class(spark):
+    """More languages than 64, some of them with fewer documents than all others."""
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 280)]
+    own = {f"l{i:02}": letters[4 * i:4 * i + 4] for i in range(70)}
+    text = lambda lang: " ".join("".join(rng.choices(own[lang], k=4)) for _ in range(20))
+    rows = [(text(lang), lang) for i, lang in enumerate(own) for _ in range(10 if i < 64 else 6)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == tuple(own)
+    fresh = spark.createDataFrame([(text(lang), lang) for lang in own for _ in range(3)], "text string, lang string")
+    found = language.predict(fresh, model).select("row.lang", "lang_pred").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in found if r["lang"] >= "l64"]) > 0.8
+    # With so many classes that the total is reached every one keeps a share of the sample.
+    counts = language.sample_ids(docs, 5).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in counts} == dict.fromkeys(own, 5)
+
+
 def test_language_of_awkward_rows(edges, edge_rows, nothing):
     model = language.fit(edges)
     found = language.predict(edges, model).select("row.doc_id", "row.text", "lang_pred", "score", "rejected").collect()
