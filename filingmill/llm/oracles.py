@@ -180,4 +180,107 @@ select o.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
 from own o left join joined j on j.doc_id = o.doc_id
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op9_secret_scans": OP9, "op6_line_dedup": OP6, "op10_exact_topk": OP10}
+# A table of CRC-32, as in OP1; its only use here is conv_id as decimal text.
+_CRC = """
+crc_table as (
+    select list(c order by i) as t from (
+        select i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+            case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+        from (select unnest(range(256)) as i)))"""
+
+OP11 = r"""
+with doc_words as (
+    select row_number() over () as r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item_words as (
+    select item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+    select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + 9], ' ') as x
+    from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from item_words where len(w) > 0)),
+placed as (
+    select r, n, i, array_to_string(w[i:i + n - 1], ' ') as x
+    from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i
+        from doc_words, (select distinct n from windows) where len(w) >= n)),
+found as (select r, p.n, i, item_id from placed p join windows v on p.n = v.n and p.x = v.x),
+hit as (
+    select r, count(distinct i + k) as n_hit
+    from (select r, i, unnest(range(n)) as k from (select distinct r, i, n from found)) group by r),
+named as (
+    select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+    from (select distinct r, cast(item_id as varchar) as item_id from found where item_id is not null) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc_words d left join hit h on d.r = h.r left join named n on d.r = n.r
+"""
+
+OP12 = f"""
+with recursive {_CRC},
+turns as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first,
+            sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos
+    from conversations where conv_id is not null),
+convs as (
+    select conv_id as c, conv_id - conv_id % 100 as first, xor(list_reduce(
+        list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 6 as h
+    from (select distinct conv_id from turns), crc_table),
+parts as (
+    select c, pos, role, text from convs join turns on conv_id = first and pos <= h
+    union all select c, pos + 1000000, role, text from convs join turns on conv_id = c and pos > h),
+rebuilt as (
+    select c, row_number() over (partition by c order by pos) as depth, role, text from parts),
+prefixes as (
+    select c, depth, length(text) as chars, string_agg(sha256(length(role) || ':' || role || text), ',') over (
+        partition by c order by depth) as key from rebuilt
+    union all select c, 0, 0, '' from convs),
+lasts as (select c, max(depth) as last from prefixes group by c),
+nodes as (
+    select depth, key, min(c) as conv_id, count(*) as n_convs, max(chars) as chars,
+        sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (depth = last), '')) as ends_sha256
+    from prefixes join lasts using (c) group by depth, key),
+paths as (
+    select n.conv_id, n.depth, n.n_convs, n.chars, n.ends_sha256, p.depth as up_depth, u.conv_id as up
+    from nodes n join prefixes p on p.c = n.conv_id and p.depth <= n.depth
+    join nodes u on u.depth = p.depth and u.key = p.key),
+children as (
+    select up as conv_id, up_depth as depth, count(*) as n from paths where up_depth = depth - 1 group by all),
+totals as (
+    select p.up as conv_id, p.up_depth as depth, count(*) filter (c.n is null) as n_leaves,
+        sum((p.n_convs - 1) * p.chars)::bigint as saved_tokens
+    from paths p left join children c on c.conv_id = p.conv_id and c.depth = p.depth group by all)
+select n.conv_id, n.depth::bigint as depth, p.up as parent_conv_id, n.n_convs, coalesce(c.n, 0)::bigint as n_children,
+    t.n_leaves, t.saved_tokens, n.ends_sha256
+from nodes n join totals t on t.conv_id = n.conv_id and t.depth = n.depth
+left join paths p on p.conv_id = n.conv_id and p.depth = n.depth and p.up_depth = n.depth - 1
+left join children c on c.conv_id = n.conv_id and c.depth = n.depth
+"""
+
+OP13 = """
+with whole as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))::bigint) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select a.vec_id as anchor_id, x.vec_id, a.label = x.label as alike,
+        coalesce(list_sum(list_transform(list_zip(a.v, x.v), lambda p: p[1] * p[2])), 0)::bigint as score
+    from whole a join whole x on a.vec_id <> x.vec_id and len(a.v) = len(x.v) where a.vec_id % 50 = 0),
+positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scored where alike
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (
+    select p.anchor_id, positive_id, positive_score, n.vec_id as negative_id, n.score as negative_score,
+        row_number() over (partition by p.anchor_id, positive_id order by n.score desc, n.vec_id)::int as rank
+    from positives p join scored n on n.anchor_id = p.anchor_id and not n.alike
+        and 50 * positive_score <= 100 * n.score and 100 * n.score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 3
+"""
+
+ORACLES = {
+    "op1_quality_rules": OP1, "op9_secret_scans": OP9, "op6_line_dedup": OP6, "op10_exact_topk": OP10,
+    "op11_decontamination": OP11, "op12_prefix_trie": OP12, "op13_hard_negatives": OP13}

@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.sample_views import table
-from . import bpe, language, line_dedup, order_minhash, packing, quality, secrets, segment_search, token_files, url_filter
+from . import (
+    bpe, decontaminate, hard_negatives, language, line_dedup, order_minhash, packing, prefix_trie, quality, secrets,
+    segment_search, token_files, url_filter)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -65,6 +67,22 @@ def op10_exact_topk(spark, sf):
     return segment_search.top_inner_products(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op11_decontamination(spark, sf):
+    return decontaminate.digests(decontaminate.scan(_documents(spark, sf), table(spark, sf, "benchmark")))
+
+
+def op12_prefix_trie(spark, sf):
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf, "conversations")))
+
+
+def op13_hard_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").select(
+        "vec_id", label.alias("label"), segment_search.scaled("embedding").alias("v"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_near_duplicates, op3_url_filters, op4_language_id, op5_bpe, op6_line_dedup,
-    op7_packing, op8_token_files, op9_secret_scans, op10_exact_topk)}
+    op7_packing, op8_token_files, op9_secret_scans, op10_exact_topk, op11_decontamination, op12_prefix_trie,
+    op13_hard_negatives)}
