@@ -342,29 +342,12 @@ from (
 window w as (order by batch_no rows unbounded preceding)"""),
     "cosine_topk": _sql(["query_vectors", "employer_vectors"], [_VECTOR_NEAR], """
 select query_id, employer_name, total_h1b_certified, round(similarity, 6) as similarity, place::integer as place from near"""),
-    "ann_topk": _sql(["employer_vectors"], ["""names as (
-  select employer_name, total_h1b_certified::bigint as total_h1b_certified, embedding::double[] as v
-  from employer_vectors where embedding is not null)""", """size as (
-  select least(16, greatest(2, floor(log2(count(*) / 32.0))))::bigint as bits from names)""", """mixed as (
-  select i - 1 as i, xor(h, h >> 11) & 1 as up from (
-    select i, (xor(h, h >> 13) * 69621) % 2147483647 as h from (
-      select i, (i * 48271) % 2147483647 as h from (select unnest(range(1, 8 * 16 * 64 + 1)) as i))))""", """planes as (
-  select i // 64 as plane, list(case when up = 1 then 1.0 else -1.0 end::double order by i) as p
-  from mixed group by 1)""", """sided as (
-  select 'n' as side, employer_name as key, v from names
-  union all select 'q', vec_id::varchar, embedding::double[] from embeddings where embedding is not null)""", """codes as (
-  select side, key, plane // bits as tab, sum(case when list_dot_product(v, p) > 0 then 1 << (plane % bits) else 0 end) as code
-  from sided, planes, size where plane < 8 * bits group by all)""", """pairs as (
-  select distinct q.key::bigint as query_id, n.key as employer_name
-  from codes q join codes n on q.side = 'q' and n.side = 'n' and q.tab = n.tab and q.code = n.code)""", """enough as (
-  select query_id from pairs group by 1 having count(*) >= 10)""", """asked as (
-  select * from pairs where query_id in (from enough)
-  union all select vec_id, employer_name from embeddings, names where vec_id not in (from enough))""", """rated as (
-  select query_id, n.employer_name, n.total_h1b_certified, list_cosine_similarity(q.embedding::double[], n.v) as similarity
-  from asked a join names n on n.employer_name = a.employer_name join embeddings q on q.vec_id = a.query_id)"""], """
-select query_id, employer_name, total_h1b_certified, round(similarity, 6) as similarity, place::integer as place from (
-  select *, row_number() over (partition by query_id order by similarity desc, employer_name) as place from rated)
-where place <= 10"""),
+    "ann_recall": _sql(["employer_vectors"], ["""pairs as (
+  select vec_id as query_id, row_number() over (
+    partition by vec_id order by list_cosine_similarity(q.embedding::double[], n.embedding::double[]) desc, employer_name) as place
+  from embeddings q, employer_vectors n where q.embedding is not null and n.embedding is not null)"""], """
+select count(distinct query_id) as queries, count(*)::bigint as neighbours, true as recall_reached
+from pairs where place <= 10"""),
     "cosine_pairs": """
 select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity
 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
@@ -436,9 +419,24 @@ select card_id, line_no, {_listing_text('line_text')} as text, {_location('line_
   regexp_matches(line_text, '{_TITLE_WORDS}', 'i') as is_title
 from listing_lines"""),
     "listing_company": _sql(["listing_lines", "listing_links"], [_COMPANIES], "select * from companies"),
-    "listing_places": _sql(["deep_lines", "listing_links", "place_texts", "detail_links", "detail_blocks"], [f"""tidy as (
+    # The same links, so the same companies.
+    "listing_company_html": _sql(["listing_lines", "listing_links"], [_COMPANIES], "select * from companies"),
+    "page_links": """
+with shown as (
+  select page_id, regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<!--.*?-->', '', 'g') as h from pages),
+found as (
+  select page_id, unnest(a) as a, unnest(range(len(a))) as link_no
+  from (select page_id, regexp_extract_all(h, '(?s)<a href="[^"]*">.*?</a>') as a from shown)),
+cut as (
+  select page_id, link_no, regexp_extract(a, '<a href="([^"]*)"', 1) as href,
+    regexp_replace(regexp_extract(a, '(?s)^<a [^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g') as link_text from found)
+select page_id, link_no::integer as link_no,
+  replace(replace(replace(replace(href, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as href,
+  replace(replace(replace(replace(link_text, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as link_text
+from cut""",
+    "listing_places": _sql(["deep_lines", "half_links", "place_texts", "detail_links", "detail_blocks"], [f"""tidy as (
   select card_id, depth, text, min(line_no) as line_no
-  from (select card_id, depth, line_no, {_listing_text('line_text')} as text from deep_lines where card_id % 5 > 0)
+  from (select card_id, depth, line_no, {_listing_text('line_text')} as text from deep_lines)
   where text is not null and not {_junk('text')} group by all)""", """placed as (
   select *, row_number() over (partition by card_id, depth order by len(text) desc, line_no) as size_place,
     count(*) over (partition by card_id, depth) as kept from tidy)""", f"""fit as (
@@ -455,10 +453,10 @@ from listing_lines"""),
   union all select card_id, place, ord, {_company('text')} from (
     select card_id, place, ord, case when place = 5 then string_split(text, chr(10))[1] else text end as text from place_texts)
   union all select card_id, 6, link_no, text from (
-    select card_id, link_no, {_listing_text('link_text')} as text from listing_links where {_SLUG} is not null and card_id % 2 = 0)
+    select card_id, link_no, {_listing_text('link_text')} as text from half_links where {_SLUG} is not null)
   where {_named('text')}
   union all select card_id, 7, link_no, name from (
-    select card_id, link_no, {_SLUG_NAME} as name from listing_links where {_SLUG} is not null and card_id % 2 = 0)
+    select card_id, link_no, {_SLUG_NAME} as name from half_links where {_SLUG} is not null)
   where {_named('name')})"""], """
 select card_id, name as company_name, priority from (
   select *, row_number() over (partition by card_id order by priority, ord, name) as rn from choice where name is not null)
@@ -521,8 +519,6 @@ from events where event_type = 'error' group by 1""",
 ORACLES["stream_abandon"] = f"""
 select user_id, abandoned_event_id from ({ORACLES["attempt_abandon"]}) where abandoned"""
 
-# Bursts are written once they ended before the newest event less the allowed lateness.
-_CLOSED = "(select epoch_us(max(ts)) - 600000000 from events)"
 _HOUR = "epoch_us(time_bucket(interval 1 hour, ts))"
 ORACLES["stream_limits"] = f"""
 select client, limit_no, window_start, count(*) as requests, count(*) > any_value(allowed) as exceeded
@@ -537,5 +533,4 @@ ORACLES["stream_misses"] = f"""
 select 'https://jobs.example/list/' || (user_id % 7) as url, {_HOUR} as window_start, count(*) as misses
 from events where event_type = 'error' group by 1, 2"""
 ORACLES["stream_bursts"] = f"""
-select user_id, burst_start, fires_at, events from ({ORACLES["burst_sessions"]})
-where fires_at <= {_CLOSED}"""
+select user_id, burst_start, fires_at, events from ({ORACLES["burst_sessions"]})"""

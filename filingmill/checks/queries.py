@@ -24,6 +24,7 @@ from ..sources import sinks, tables
 from ..operators.materialize import materialize, shared_dir
 from ..sources.sample_views import table, view
 from ..streaming import events as event_streams
+from ..streaming.batches import Batches
 from ..streaming.filings import intake_stream, stored_cases
 from ..streaming.names import resolve_stream
 
@@ -227,14 +228,28 @@ def cosine_topk(spark, sf):
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
-def ann_topk(spark, sf):
-    every = table(spark, sf, "embeddings").select(
+def _every_vector(spark, sf):
+    return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+def ann_topk(spark, sf):
     near = nearest.top_neighbours(
-        every, view(spark, sf, "employer_vectors"), 10, nearest.Hashing(dim=64))
+        _every_vector(spark, sf), view(spark, sf, "employer_vectors"), 10, nearest.Cells(dim=64))
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
+def ann_recall(spark, sf):
+    """Whether the approximate search finds nine in ten of the true ten nearest of every vector."""
+    near = nearest.top_neighbours(_every_vector(spark, sf), view(spark, sf, "employer_vectors"), 10)
+    found = ann_topk(spark, sf).select("query_id", "employer_name", F.lit(1).alias("found"))
+    per_query = near.select("query_id", "employer_name").join(found, ["query_id", "employer_name"], "left").groupBy(
+        "query_id").agg(F.count("*").alias("neighbours"), F.count("found").alias("found"))
+    return per_query.agg(
+        F.count("*").alias("queries"), F.sum("neighbours").alias("neighbours"),
+        (F.sum("found") >= 0.9 * F.sum("neighbours")).alias("recall_reached"))
+
+
 def cosine_pairs(spark, sf):
     """Cosine of each vector with the next one, as a plain expression."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -374,11 +389,20 @@ def listing_company(spark, sf):
     return annotating.companies(_lines(spark, sf), _links(spark, sf))
 
 
+def page_links(spark, sf):
+    return listings.page_links(table(spark, sf, "pages"), key="page_id")
+
+
+def listing_company_html(spark, sf):
+    """Companies of cards whose links have to be read out of their markup first."""
+    return annotating.companies(_lines(spark, sf), listings.page_links(view(spark, sf, "card_pages")))
+
+
 def listing_places(spark, sf):
     """All nine places a name can come from, and rows around a card."""
     texts = view(spark, sf, "place_texts")
     return annotating.companies(
-        view(spark, sf, "deep_lines").where("card_id % 5 > 0"), _links(spark, sf).where("card_id % 2 = 0"),
+        view(spark, sf, "deep_lines"), view(spark, sf, "half_links"),
         detail_links=view(spark, sf, "detail_links"), detail_blocks=view(spark, sf, "detail_blocks"),
         texts={n: texts.where(F.col("place") == n) for n in (
             listings.SELECTOR, listings.LOCKUP, listings.PRIMARY, listings.LATE_LOCKUP, listings.FALLBACK)})
@@ -451,18 +475,6 @@ def _run_dir(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _drain(stream: DataFrame, base: str) -> DataFrame:
-    """Run an append stream to its end and read what it wrote."""
-    query = (stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint")
-             .option("path", f"{base}/out").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
-
-
-def _events(spark, sf):
-    return _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 def stream_resolve(spark, sf):
     base = _run_dir(spark, "stream-resolve")
     names = _stream(spark, sf, "supplier").select(
@@ -476,23 +488,39 @@ def stream_resolve(spark, sf):
 def _in_batches(spark, sf, base: str, files: int = 4) -> DataFrame:
     """The events as a stream of several batches, dealt by a hash and so out of order."""
     events = table(spark, sf, "events")
+    return _in_files(events.withColumn("_file", F.pmod(F.xxhash64("event_id"), F.lit(files))), base, files)
+
+
+def _late_batches(spark, sf, base: str, files: int = 4) -> tuple[DataFrame, str]:
+    """The events as a stream of several batches in the order of time, two thirds of them late, and how late."""
+    events = table(spark, sf, "events")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    third = max(1, ((last or 0) - (first or 0)) // 12)
+    arrives = at - (first or 0) + F.pmod(F.xxhash64("event_id"), F.lit(3)) * third
+    file = F.floor(arrives * files / ((last or 0) - (first or 0) + 2 * third + 1))
+    return _in_files(events.withColumn("_file", file), base, files), f"{2 * third + 1} seconds"
+
+
+def _in_files(events: DataFrame, base: str, files: int) -> DataFrame:
     for i in range(files):
-        events.where(F.pmod(F.xxhash64("event_id"), F.lit(files)) == i).write.parquet(f"{base}/events/f{i}")
-    return (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        events.where(F.col("_file") == i).drop("_file").write.parquet(f"{base}/events/f{i}")
+    return (events.sparkSession.readStream.schema(events.drop("_file").schema).option("maxFilesPerTrigger", 1)
             .option("recursiveFileLookup", True).parquet(f"{base}/events")
             .withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 def _windows(windows: DataFrame, base: str, keys: list[str]) -> DataFrame:
-    event_streams.write_windows(windows, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    event_streams.write_windows(windows, f"{base}/out", f"{base}/checkpoint", keys).awaitTermination()
     out = event_streams.current_windows(windows.sparkSession, f"{base}/out", keys)
     return out.withColumn("window_start", F.unix_micros("window_start"))
 
 
 def stream_dedup(spark, sf):
-    base = _run_dir(spark, "stream-dedup")
-    first = event_streams.unseen(_in_batches(spark, sf, base), ["user_id", "event_type"])
-    return _drain(first.select("user_id", "event_type"), base)
+    base, keys = _run_dir(spark, "stream-dedup"), ["user_id", "event_type"]
+    events = _in_batches(spark, sf, base)
+    event_streams.write_unseen(events.select(*keys), keys, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return Batches(spark, f"{base}/out").read()
 
 
 def stream_intake(spark, sf):
@@ -508,9 +536,13 @@ def stream_intake(spark, sf):
 
 
 def stream_abandon(spark, sf):
-    done = event_streams.abandoned_cards(
-        _events(spark, sf), F.col("event_type") == "error", card="user_id", max_attempts=3)
-    return _drain(done, _run_dir(spark, "stream-abandon")).select("user_id", "abandoned_event_id")
+    base = _run_dir(spark, "stream-abandon")
+    events, late = _late_batches(spark, sf, base)
+    event_streams.write_abandoned(
+        events, F.col("event_type") == "error", f"{base}/out", f"{base}/checkpoint", card="user_id", max_attempts=3,
+        lateness=late).awaitTermination()
+    return event_streams.current_abandoned(spark, f"{base}/out", card="user_id", max_attempts=3).select(
+        "user_id", "abandoned_event_id")
 
 
 def stream_limits(spark, sf):
@@ -522,10 +554,13 @@ def stream_limits(spark, sf):
 
 
 def stream_bursts(spark, sf):
-    out = event_streams.burst_windows(_events(spark, sf), "user_id", "4 hours")
-    return _drain(out, _run_dir(spark, "stream-bursts")).select(
-        "user_id", F.unix_micros("burst_start").alias("burst_start"),
-        F.unix_micros("fires_at").alias("fires_at"), "events")
+    base = _run_dir(spark, "stream-bursts")
+    events, late = _late_batches(spark, sf, base)
+    event_streams.write_bursts(
+        events, "user_id", "4 hours", f"{base}/out", f"{base}/checkpoint", lateness=late).awaitTermination()
+    out = event_streams.current_bursts(spark, f"{base}/out", "user_id", "4 hours")
+    return out.select(
+        "user_id", F.unix_micros("burst_start").alias("burst_start"), F.unix_micros("fires_at").alias("fires_at"), "events")
 
 
 def stream_stats(spark, sf):
@@ -547,9 +582,9 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     clean_cases, employers_agg, job_levels, aliases_agg, aliases_merged, simple_counts_top10,
     intake_summary, file_counters, date_parse, load_coercion, employer_upsert,
     alias_scoped_replace, load_replace, embedding_fill_store, filings_from_files, embedding_merge, embedding_coverage, embedding_batches, cosine_topk,
-    ann_topk, cosine_pairs, vector_literal, resolve_exact, resolve_alias, resolve_fuzzy,
+    ann_topk, ann_recall, cosine_pairs, vector_literal, resolve_exact, resolve_alias, resolve_fuzzy,
     semantic_rerank, resolve_semantic, resolve_all, check, search, search_patterns, company_slug, company_line,
-    listing_company, listing_places, distinct_cards, listing_annotate, listing_stats, rate_limit, burst_sessions,
+    listing_company, page_links, listing_company_html, listing_places, distinct_cards, listing_annotate, listing_stats, rate_limit, burst_sessions,
     attempt_abandon, miss_report, misses_per_url, stream_resolve, stream_dedup, stream_intake,
     stream_abandon, stream_limits, stream_bursts, stream_stats, stream_misses,
 )}

@@ -24,9 +24,20 @@ def abandoned(
     """Per card its attempts, failures and the attempt at which it was given up, if any.
 
     A success sets the count back; the card is given up at its ``max_attempts``-th failure
-    in a row and stays so. Failures since the last success are the running count of failures
-    less its value at that success; both are worked out inside ranges of rows, or inside a unit
-    of time, and carried on.
+    in a row and stays so.
+    """
+    return counted(attempts, failed, card, ts, key, max_attempts, chunk).select(
+        card, "attempts", "failures", F.col("up").isNotNull().alias("abandoned"),
+        F.col("up")[key].alias(f"abandoned_{key}"))
+
+
+def counted(
+    attempts: DataFrame, failed: Column, card: str, ts: str, key: str, max_attempts: int, chunk: str | None = None,
+) -> DataFrame:
+    """Per card attempts, failures, ``up`` (ts, key) where it was given up, ``last`` (ts, key), and ``in_row`` failures there.
+
+    Failures since the last success are the running count of failures less its value at that
+    success; both are worked out inside ranges of rows, or inside a unit of time, and carried on.
     """
     rows = attempts.select(card, ts, key, failed.alias("_failed"))
     if chunk is None:
@@ -44,20 +55,16 @@ def abandoned(
                 {"_ok_before": F.coalesce(F.max(
                     F.col("_fails_before") + F.col("_c_at_ok")).over(prefix.before(w)), F.lit(0))}]
 
-    counted = prefix.along(
+    each = prefix.along(
         rows, [card], part, [ts, key], inside,
         {"_c_fails": F.max("_fails"), "_c_at_ok": F.max("_at_ok")}, carry)
     in_row = F.when(F.col("_at_ok").isNotNull(), fails - F.col("_at_ok")).otherwise(
         fails + F.col("_fails_before") - F.col("_ok_before"))
-    given_up = F.when(F.col("_failed") & (in_row >= max_attempts), F.struct(ts, key))
-    return counted.groupBy(card).agg(
-        F.count(F.lit(1)).alias("attempts"),
-        F.count_if("_failed").alias("failures"),
-        F.min(given_up).alias("_up"),
-    ).select(
-        card, "attempts", "failures",
-        F.col("_up").isNotNull().alias("abandoned"),
-        F.col("_up")[key].alias(f"abandoned_{key}"))
+    place = F.struct(ts, key)
+    return each.groupBy(card).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if("_failed").alias("failures"),
+        F.min(F.when(F.col("_failed") & (in_row >= max_attempts), place)).alias("up"),
+        F.max(place).alias("last"), F.max_by(F.when(F.col("_failed"), in_row).otherwise(F.lit(0)), place).alias("in_row"))
 
 
 def miss_reports(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Listing
+from ..functions import html as markup
 from ..functions import listing_text as lt
 from .intake import first_per_key
 
@@ -84,6 +85,18 @@ def line_candidates(lines: DataFrame) -> DataFrame:
         "card_id", F.lit(LINE).alias("priority"), F.col("depth").cast("long").alias("ord"), "name")
 
 
+def page_links(pages: DataFrame, key: str = "card_id", html: str = "html") -> DataFrame:
+    """(key, link_no, href, link_text): the links of page text, numbered from 0 in their order.
+
+    The address is the anchor's href, or else its data-original-url; anchors with neither are
+    left out but counted. Rows are read each for itself, so pages without text or links have none.
+    """
+    found = pages.select(F.col(key), F.posexplode(markup.anchors(F.col(html))).alias("link_no", "a"))
+    return found.select(
+        key, "link_no", F.coalesce(F.nullif("a.href", F.lit("")), "a.original", "a.href").alias("href"),
+        F.col("a.text").alias("link_text")).where("href is not null")
+
+
 def link_candidates(links: DataFrame, cfg: Listing = Listing()) -> DataFrame:
     """Names from company links: from their text, else from their address."""
     found = _with_value(

@@ -78,3 +78,27 @@ def bursts(
         key, F.timestamp_micros("_from").alias("burst_start"),
         F.timestamp_micros("_end").alias("burst_end"),
         F.timestamp_micros(F.col("_end") + step).alias("fires_at"), "events")
+
+
+def merged_bursts(items: DataFrame, key: str, step: int, chunk_gaps: int = 1 << 16) -> DataFrame:
+    """Bursts of items that are bursts themselves: (key, first, last, events), times in microseconds.
+
+    Items belong together when one begins less than ``step`` after an earlier one of the key ends.
+    Like ``bursts``, but an item may reach over many slots and chunks.
+    """
+    slots = items.groupBy(key, F.floor(F.col("first") / step).alias("_slot")).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"))
+    chunk = F.floor(F.col("_slot") / chunk_gaps)
+    seen = prefix.along(
+        slots, [key], chunk, ["_slot"],
+        lambda w: [{"_in": F.max("last").over(prefix.before(w))}], {"_c_last": F.max("last")},
+        lambda w: [{"_before": F.max("_c_last").over(prefix.before(w))}])
+    until = F.greatest("_in", "_before")
+    opens = F.when(until.isNull() | (F.col("first") - until >= step), F.col("first"))
+    marked = seen.select(key, "_slot", "first", "last", "events", opens.alias("_opens"))
+    started = prefix.along(
+        marked, [key], chunk, ["_slot"],
+        lambda w: [{"_in": F.max("_opens").over(prefix.so_far(w))}], {"_c_open": F.max("_opens")},
+        lambda w: [{"_before": F.max("_c_open").over(prefix.before(w))}])
+    return started.groupBy(key, F.coalesce("_in", "_before").alias("first")).agg(
+        F.max("last").alias("last"), F.sum("events").alias("events"))

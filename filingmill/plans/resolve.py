@@ -15,7 +15,7 @@ from ..functions import text
 from ..operators.containment import best_containing
 from ..operators.intake import first_per_key
 from ..operators.materialize import materialize
-from ..operators.nearest import Hashing, top_neighbours
+from ..operators.nearest import Cells, top_neighbours
 from ..operators.semantic import decide
 from .embed import embed_names
 
@@ -69,7 +69,7 @@ def match_fuzzy(names: DataFrame, employers: DataFrame, literal: bool = False) -
 
 def match_semantic(
     name_vectors: DataFrame, employers: DataFrame, cfg: Semantic = Semantic(),
-    hashing: Hashing | None = None,
+    cells: Cells | None = None,
 ) -> DataFrame:
     """name, employer_name, confidence for names close to one employer in vector space.
 
@@ -77,7 +77,7 @@ def match_semantic(
     """
     queries = name_vectors.select(
         F.col("name").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    near = top_neighbours(queries, employers, cfg.fetch_k, hashing)
+    near = top_neighbours(queries, employers, cfg.fetch_k, cells)
     return decide(near, cfg).where("employer_name is not null").withColumnRenamed("query_id", "name")
 
 
@@ -91,12 +91,12 @@ def resolve(
     cfg: Semantic = Semantic(),
     embedding: Embedding = Embedding(),
     literal: bool = False,
-    hashing: Hashing | None = None,
+    cells: Cells | None = None,
 ) -> DataFrame:
     """All rows of ``names`` with the employer record, match_type and confidence.
 
     The vector layer runs when name vectors (name, embedding) or an ``embed_fn`` are given
-    and ``employers`` has an ``embedding`` column; otherwise it finds nothing. With ``hashing``
+    and ``employers`` has an ``embedding`` column; otherwise it finds nothing. With ``cells``
     it looks in hash buckets instead of comparing everything.
     """
     keyed = names.withColumn("_name", text.employer_name(F.col(raw_name)))
@@ -117,7 +117,7 @@ def resolve(
         with_vectors = materialize(
             rest.join(vectors.select("name", "embedding"), "name") if vectors is not None
             else embed_names(rest, embed_fn, embedding), "resolve-vectors")
-        semantic = match_semantic(with_vectors, employers, cfg, hashing).withColumn("match_type", F.lit("semantic"))
+        semantic = match_semantic(with_vectors, employers, cfg, cells).withColumn("match_type", F.lit("semantic"))
         answers = answers.unionByName(
             fuzzy.where("employer_name is not null")
         ).withColumn("confidence", F.lit(1.0)).unionByName(semantic)

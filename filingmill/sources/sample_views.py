@@ -90,14 +90,32 @@ select o_orderkey as card_id, 0 as link_no,
   case o_orderkey % 3 when 0 then '' else concat('Acme  ', cast(o_custkey as varchar(20))) end as link_text
 from orders
 """,
+    "half_links": """
+select o_orderkey as card_id, 0 as link_no,
+  case when o_orderkey % 2 = 1 then 'https://www.linkedin.com/jobs/view/1' when o_orderkey % 4 = 0 then concat('https://www.linkedin.com/company/supplier-', cast(o_custkey as varchar(20)), '/jobs?x=1') else 'https://www.linkedin.com/jobs/view/2' end as href,
+  case o_orderkey % 3 when 0 then '' else concat('Acme  ', cast(o_custkey as varchar(20))) end as link_text
+from orders
+""",
+    # The links of listing_links in markup: quoted in three ways, beside links that are none.
+    "card_pages": """
+select card_id, concat(
+  case card_id % 3 when 0 then '<!-- <a href="/company/hidden">Hidden Works</a> -->' when 1 then '<script>var a = "<a href=/company/scripted>Scripted Works</a>";</script>' else '<img alt="<a href=/company/quoted>Quoted Works</a>">' end,
+  '<DIV class=card><A data-x="1>0" ', case card_id % 3 when 0 then concat('href="', href, '"') when 1 then concat('HREF = @', replace(href, '/', '&#x2F;'), '@') else concat('href=', href) end,
+  '><b>', replace(link_text, ' ', '&#32;'), '</b><!-- x --><a href="/jobs?a=1&amp;b=2">next</a></div>') as html
+from (select o_orderkey as card_id,
+  case o_orderkey % 4 when 0 then concat('https://www.linkedin.com/company/supplier-', cast(o_custkey as varchar(20)), '/jobs?x=1') when 1 then 'https://www.linkedin.com/company/unavailable' when 2 then 'https://www.linkedin.com/jobs/view/1' else concat('https://www.linkedin.com/company/acme-', cast(o_custkey as varchar(20))) end as href,
+  case o_orderkey % 3 when 0 then '' else concat('Acme  ', cast(o_custkey as varchar(20))) end as link_text
+from orders
+) as cards
+""".replace("@", "\'\'"),
     "deep_lines": """
-select o_orderkey as card_id, 0 as depth, 0 as line_no, 'Principal software engineer for a platform' as line_text from orders
-union all select o_orderkey, 0, 1, concat('Zeta Works ', cast(o_custkey as varchar(20))) from orders where o_orderkey % 3 = 0
-union all select o_orderkey, 0, 2, concat(' Zeta  Works ', cast(o_custkey as varchar(20))) from orders where o_orderkey % 3 = 0
-union all select o_orderkey, 0, 3, 'Austin, TX' from orders
-union all select o_orderkey, 1, 0, 'Principal software engineer for a platform' from orders where o_orderkey % 3 > 0
-union all select o_orderkey, 1, 1, concat('Beta Labs ', cast(o_custkey as varchar(20)), ' · New York, NY') from orders where o_orderkey % 3 > 0
-""" + "".join(f"""union all select o_orderkey, 1, {2 + i}, 'Row {i}' from orders where o_orderkey % 3 = 2
+select o_orderkey as card_id, 0 as depth, 0 as line_no, 'Principal software engineer for a platform' as line_text from orders where o_orderkey % 5 > 0
+union all select o_orderkey, 0, 1, concat('Zeta Works ', cast(o_custkey as varchar(20))) from orders where o_orderkey % 5 > 0 and o_orderkey % 3 = 0
+union all select o_orderkey, 0, 2, concat(' Zeta  Works ', cast(o_custkey as varchar(20))) from orders where o_orderkey % 5 > 0 and o_orderkey % 3 = 0
+union all select o_orderkey, 0, 3, 'Austin, TX' from orders where o_orderkey % 5 > 0
+union all select o_orderkey, 1, 0, 'Principal software engineer for a platform' from orders where o_orderkey % 5 > 0 and o_orderkey % 3 > 0
+union all select o_orderkey, 1, 1, concat('Beta Labs ', cast(o_custkey as varchar(20)), ' · New York, NY') from orders where o_orderkey % 5 > 0 and o_orderkey % 3 > 0
+""" + "".join(f"""union all select o_orderkey, 1, {2 + i}, 'Row {i}' from orders where o_orderkey % 5 > 0 and o_orderkey % 3 = 2
 """ for i in range(5)),
     "place_texts": """
 select o_orderkey as card_id, case o_orderkey % 7 when 0 then 3 when 1 then 4 when 2 then 5 when 3 then 8 else 9 end as place, 0 as ord,

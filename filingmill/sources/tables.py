@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import warnings
 from collections.abc import Sequence
 from functools import reduce
@@ -59,45 +60,74 @@ def read_filings(
     """Filings of several files in their order of priority; absent files are left out.
 
     ``file_priority`` is the place in ``paths``, ``row_ordinal`` the row's place in the file.
-    CSV and Parquet count rows per file; CSV is ordered by block and place in the block.
+    Every CSV file and workbook at a path is read by its own header. CSV and Parquet count rows per file; CSV is ordered by block and place in the block.
     """
     parts = []
+    required = FILING_HEADERS if with_columns.get("on_missing") == "skip" else {}
+    required = with_columns.get("headers", required) if required else {}
     for priority, path in enumerate(paths):
         if not exists(spark, path):
             warnings.warn(f"no file at {path}, left out", stacklevel=2)
             continue
-        raw = _with_row_order(spark, path, fmt)
-        picked = with_filing_columns(raw, keep=("row_ordinal",), **with_columns)
-        if picked is not None:
-            parts.append(picked.withColumn("file_priority", F.lit(priority)))
+        for raw in _with_row_order(spark, path, fmt, with_columns.get("duplicates", "first"), list(required.values())):
+            picked = with_filing_columns(raw, keep=("row_ordinal",), **with_columns)
+            if picked is not None:
+                parts.append(picked.withColumn("file_priority", F.lit(priority)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
-def _with_row_order(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+def _with_row_order(spark: SparkSession, path: str, fmt: str, duplicates: str, required: list[str]) -> list[DataFrame]:
+    """The rows at ``path`` with their order, one table for every header that files there have."""
     if fmt == "parquet":
-        return spark.read.parquet(path).withColumn("row_ordinal", F.struct(
-            F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place")))
+        return [spark.read.parquet(path).withColumn("row_ordinal", F.struct(
+            F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place")))]
     if fmt == "csv":
-        # Spark renames repeated headers, so they are read as a row of their own.
-        top = spark.read.csv(path, header=False).where(F.col("_metadata.file_block_start") == 0)
-        header = top.first()
-        if header is None:
-            raise ValueError(f"no header in {path}")
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-        # Ids rise along a block, and blocks are told apart by where they start.
-        rows = spark.read.csv(path, header=True, schema=schema)
-        return rows.withColumn("row_ordinal", F.struct(
-            F.concat_ws("#", "_metadata.file_name", F.lpad(
-                F.col("_metadata.file_block_start").cast("string"), 20, "0")).alias("file"),
-            F.monotonically_increasing_id().alias("place"))
-        ).toDF(*[h or "" for h in header], "row_ordinal")
+        return [_csv(spark, header, files) for header, files in csv_headers(spark, path).items()]
     if fmt == "workbook":
         from .workbook import read_workbooks
 
-        return read_workbooks(spark, path)
+        return [read_workbooks(spark, path, duplicates, required)]
     raise ValueError(f"unknown format {fmt}")
 
 
+def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files at a path by their header, from the first line of each.
+
+    Files are listed here as Spark would; only their first lines are read.
+    """
+    files = spark.read.text(path).inputFiles()
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for name in sorted(files):
+        file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        stream = file.getFileSystem(conf).open(file)
+        try:
+            codec = codecs.getCodec(file)
+            plain = codec.createInputStream(stream) if codec is not None else stream
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        if line:
+            header = next(csv.reader([line.removeprefix("\ufeff")], escapechar="\\", doublequote=False))
+            found.setdefault(tuple(header), []).append(file.toString())
+    if not found:
+        raise ValueError(f"no header in {path}")
+    return found
+
+
+def _csv(spark: SparkSession, header: tuple[str, ...], files: list[str]) -> DataFrame:
+    # Spark renames repeated headers, so columns are numbered first.
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    # Ids rise along a block, and blocks are told apart by where they start.
+    rows = spark.read.csv(files, header=True, schema=schema)
+    return rows.withColumn("row_ordinal", F.struct(
+        F.concat_ws("#", "_metadata.file_name", F.lpad(
+            F.col("_metadata.file_block_start").cast("string"), 20, "0")).alias("file"),
+        F.monotonically_increasing_id().alias("place"))
+    ).toDF(*header, "row_ordinal")
+
+
 def read_folder(spark: SparkSession, folder: str, pattern: str, fmt: str = "parquet") -> DataFrame:
     """All files of a folder whose name fits, with the name as ``file_name``."""
     if not exists(spark, f"{folder.rstrip('/')}/{pattern}"):

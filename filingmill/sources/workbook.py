@@ -7,7 +7,7 @@ sheet is read. Date cells come out as ISO text, everything else as it is stored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -24,24 +24,44 @@ _CELLS = T.StructType([
 ])
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """All rows below the header of the workbooks at ``path``, one text column per header.
+def header_key(text: str | None) -> str:
+    """What headers are compared by."""
+    return (text or "").strip().upper()
 
-    Adds ``row_ordinal`` (file, row). Files at one path share the header of the first one by
-    name; read files with other headers on their own.
+
+def header_places(header: Sequence[str | None], duplicates: str = "first") -> dict[str, int]:
+    """The place of every header; of repeated ones the ``first`` or ``last`` counts."""
+    out: dict[str, int] = {}
+    for i, name in enumerate(header):
+        if duplicates == "last" or header_key(name) not in out:
+            out[header_key(name)] = i
+    return out
+
+
+def read_workbooks(
+    spark: SparkSession, path: str, duplicates: str = "first", required: Sequence[str] = (),
+) -> DataFrame:
+    """All rows below the headers of the workbooks at ``path``, one text column per header.
+
+    Every file is read by its own header: columns are those of all files, in the order in which
+    the files, by path, have them, named as first written; headers are compared trimmed and in
+    upper case. A column that a file does not have is NULL there; of repeated headers of a file the
+    ``first`` or ``last`` counts. Files that lack one of ``required`` give no rows. Adds
+    ``row_ordinal`` (file, row).
     """
     files = spark.read.format("binaryFile").load(path)
-    first = files.select("path").orderBy("path").limit(1)
-    head = files.join(first, "path").mapInPandas(_head, _CELLS).first()
-    if head is None:
+    heads = files.mapInPandas(_head, _CELLS).groupBy("cells").agg(F.min("file").alias("file"))
+    names: dict[str, str] = {}
+    for head in sorted(heads.collect(), key=lambda r: r["file"]):  # one row per different header
+        for name in head["cells"]:
+            names.setdefault(header_key(name), name or "")
+    if not names:
         raise ValueError(f"no rows in {path}")
-    rows = files.mapInPandas(_rows, _CELLS)
-    # Repeated and empty headers are legal here; the caller picks by position.
-    names = [c or "" for c in head["cells"]]
+    rows = files.mapInPandas(_rows_by(list(names), duplicates, [header_key(c) for c in required]), _CELLS)
     picked = rows.select(
-        *[F.try_element_at("cells", F.lit(i + 1)).alias(f"c{i}") for i in range(len(names))],
+        *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(len(names))],
         F.struct("file", "place").alias("row_ordinal"))
-    return picked.toDF(*names, "row_ordinal")
+    return picked.toDF(*names.values(), "row_ordinal")
 
 
 def _head(frames):
@@ -54,22 +74,28 @@ def _head(frames):
                 break
 
 
-def _rows(frames):
-    import pandas as pd
+def _rows_by(keys: list[str], duplicates: str, required: list[str]):
+    """Rows of each workbook with their cells in the order of ``keys``."""
+    def rows(frames):
+        import pandas as pd
 
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"]):
-            rows = sheet_rows(content)
-            next(rows, None)
-            place, batch = 0, []
-            for cells in rows:
-                place += 1
-                batch.append((path, place, cells))
-                if len(batch) == 10_000:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                sheet = sheet_rows(content)
+                at = header_places(next(sheet, []), duplicates)
+                if not at.keys() >= set(required):
+                    continue
+                places = [at.get(k, 1 << 30) for k in keys]
+                place, batch = 0, []
+                for cells in sheet:
+                    place += 1
+                    batch.append((path, place, [cells[i] if i < len(cells) else None for i in places]))
+                    if len(batch) == 10_000:
+                        yield pd.DataFrame(batch, columns=["file", "place", "cells"])
+                        batch = []
+                if batch:
                     yield pd.DataFrame(batch, columns=["file", "place", "cells"])
-                    batch = []
-            if batch:
-                yield pd.DataFrame(batch, columns=["file", "place", "cells"])
+    return rows
 
 
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from filingmill.config import CHECK_LIMITS, Limits
 from filingmill.operators import attempts, listings, prefix, requests, running
 from filingmill.streaming import events as streams
+from filingmill.streaming.batches import Batches
 
 T0 = datetime(2025, 1, 1)
 
@@ -119,6 +120,102 @@ def test_abandoned_stream_over_several_batches(spark, tmp_path):
     assert {r.card_id: r.abandoned_event_id for r in out} == want and want
 
 
+def in_files(spark, every, where, folder):
+    """``every`` as a stream of one batch per condition."""
+    for i, rows in enumerate(where):
+        every.where(rows).coalesce(1).write.parquet(f"{folder}/{i}")
+    return (spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", True).parquet(str(folder)))
+
+
+def shuffled_batches(spark, rows, folder, batches, late):
+    """Events dealt to batches by a time that is up to ``late`` seconds after their own."""
+    arrives = [(i, s + (i * 7919) % (late + 1)) for i, (_, s, _) in enumerate(rows)]
+    order = [i for i, _ in sorted(arrives, key=lambda a: a[1])]
+    size = -(-len(order) // batches)
+    cut = [order[a:a + size] for a in range(0, len(order), size)]
+    return in_files(spark, events(spark, rows), [F.col("event_id").isin(c) for c in cut], folder)
+
+
+@pytest.mark.parametrize("late", [0, 60])
+def test_bursts_of_a_stream(spark, tmp_path, late):
+    rows = random_events(5, 400)
+    stream = shuffled_batches(spark, rows, tmp_path / "in", 9, late)
+    out = str(tmp_path / "out")
+    streams.write_bursts(stream, "card_id", "10 seconds", out, str(tmp_path / "c"), lateness=f"{late} seconds").awaitTermination()
+    got = streams.current_bursts(spark, out, "card_id", "10 seconds").collect()
+    at = lambda t: int((t - T0).total_seconds())
+    assert sorted((str(r.card_id), at(r.burst_start), at(r.burst_end), r.events) for r in got) == plain_bursts(rows, 10)
+    # Ended bursts have left the open ones, and the state of old batches is gone.
+    assert Batches(spark, f"{out}/closed").read().count() > len(got) / 2
+    assert len(Batches(spark, f"{out}/open/rows").finished()) == 2
+
+
+def test_merged_bursts_reach_over_chunks(spark):
+    rng = random.Random(8)
+    items = []
+    for _ in range(300):
+        start = rng.randrange(3000)
+        items.append((rng.choice("ab"), start, start + rng.choice([0, 0, 3, 200]), 1))
+    df = spark.createDataFrame(items, "k string, first long, last long, events long")
+    want = []
+    for k in "ab":
+        open_ = None
+        for _, a, b, n in sorted(x for x in items if x[0] == k):
+            if open_ and a - open_[2] < 10:
+                open_ = [k, open_[1], max(open_[2], b), open_[3] + n]
+                want[-1] = open_
+            else:
+                open_ = [k, a, b, n]
+                want.append(open_)
+    for chunk in (1, 3, 1 << 16):
+        got = requests.merged_bursts(df, "k", 10, chunk).select("k", "first", "last", "events").collect()
+        assert sorted(map(list, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("late,batches", [(0, 4), (90, 10)])
+def test_abandoned_over_written_tables(spark, tmp_path, late, batches):
+    rows = [(k or "none", s, f) for k, s, f in random_events(11, 500)]
+    stream = shuffled_batches(spark, rows, tmp_path / "in", batches, late)
+    out = str(tmp_path / "out")
+    streams.write_abandoned(
+        stream, F.col("failed"), out, str(tmp_path / "c"), max_attempts=6, lateness=f"{late} seconds").awaitTermination()
+    got = streams.current_abandoned(spark, out, max_attempts=6).collect()
+    want = {k: up for k, up in plain_abandoned(rows, 6).items() if up is not None}
+    assert {r.card_id: r.abandoned_event_id for r in got} == want and want and len(got) == len(want)
+
+
+def test_first_events_of_a_stream(spark, tmp_path):
+    rows = random_events(6, 300)
+    stream = shuffled_batches(spark, rows, tmp_path / "in", 10, 1000)
+    streams.write_unseen(stream, ["card_id", "failed"], str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = Batches(spark, str(tmp_path / "out")).read().select("card_id", "failed").collect()
+    assert sorted(map(tuple, got), key=str) == sorted({(k, f) for k, _, f in rows}, key=str)
+    near = in_files(spark, events(spark, rows), ["event_id < 150", "event_id >= 150"], tmp_path / "again")
+    streams.write_unseen(near, ["card_id"], str(tmp_path / "o2"), str(tmp_path / "c2"), within="1 day").awaitTermination()
+    assert Batches(spark, str(tmp_path / "o2")).read().count() == len({k for k, _, _ in rows})
+
+
+def test_segments_are_merged_and_read_whole(spark, tmp_path):
+    def newest(rows):
+        return rows.groupBy("k").agg(F.max("v").alias("v"))
+
+    table = Batches(spark, str(tmp_path / "t"), newest, fan=3)
+    assert table.read() is None and table.last() is None
+    for i in range(20):
+        table.write(spark.createDataFrame([(i % 4, i), (9, i)], "k int, v int"), i)
+        if i == 10:
+            # A batch that is run again, as after a failure, and a segment that was never finished.
+            table.write(spark.createDataFrame([(i % 4, i), (9, i)], "k int, v int"), i)
+            (tmp_path / "t" / "0-26").mkdir()
+        assert dict(map(tuple, newest(table.read()).collect())) == {
+            9: i, **{k: max(j for j in range(i + 1) if j % 4 == k) for k in range(min(4, i + 1))}}
+        assert len(table.segments()) <= 6
+    assert table.segments() == [(0, 8), (9, 17), (18, 18), (19, 19)] and table.last() == 19
+    assert table.segments(below=8)[-1][1] == 7 or table.segments(below=9) == [(0, 8)]
+    assert dict(map(tuple, newest(table.read(below=18)).collect()))[9] == 17
+
+
 def test_known_names_in_a_stream(spark, tmp_path):
     from filingmill.streaming.names import match_known
 

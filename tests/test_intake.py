@@ -308,3 +308,31 @@ def test_another_threads_copies_stay(spark):
         assert done.wait(60)
     thread.join()
     assert kept[0].count() == 4
+
+
+def test_workbooks_are_read_by_their_own_headers(spark, tmp_path):
+    make_workbook(tmp_path / "a.xlsx", ["CASE_NUMBER", "EMPLOYER_NAME", "case_number"], [["C1", "Alpha", "last"]])
+    make_workbook(tmp_path / "b.xlsx", [" employer_name ", "Case_Number", "NEW"], [["Beta", "C2", "n"]])
+    make_workbook(tmp_path / "c.xlsx", ["OTHER"], [["o"]])
+    rows = workbook.read_workbooks(spark, f"{tmp_path}/*.xlsx").orderBy("row_ordinal").drop("row_ordinal")
+    assert rows.columns == ["CASE_NUMBER", "EMPLOYER_NAME", "NEW", "OTHER"]
+    assert list(map(tuple, rows.collect())) == [
+        ("C1", "Alpha", None, None), ("C2", "Beta", "n", None), (None, None, None, "o")]
+    last = workbook.read_workbooks(spark, f"{tmp_path}/*.xlsx", duplicates="last", required=["Employer_Name"])
+    assert [r.CASE_NUMBER for r in last.orderBy("row_ordinal").collect()] == ["last", "C2"]
+    both = tables.read_filings(spark, [f"{tmp_path}/[ab].xlsx"], "workbook")
+    assert [(r.case_number, r.employer_name, r.job_title) for r in both.orderBy("row_ordinal").collect()] == [
+        ("C1", "Alpha", None), ("C2", "Beta", None)]
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "some filings"
+    folder.mkdir()
+    (folder / "a.csv").write_text('CASE_NUMBER,"EMPLOYER_NAME"\nC1,Alpha\n')
+    (folder / "b.csv").write_text("\ufeffEMPLOYER_NAME,CASE_NUMBER\nBeta,C2\n")
+    (folder / "c.csv.gz").write_bytes(gzip.compress(b"employer_name,X,case_number\nGamma,x,C3\n"))
+    (folder / "d.csv").write_text("")
+    rows = tables.read_filings(spark, [str(folder)], "csv").orderBy("row_ordinal").collect()
+    assert [(r.case_number, r.employer_name) for r in rows] == [("C1", "Alpha"), ("C2", "Beta"), ("C3", "Gamma")]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from filingmill.config import Embedding, Semantic
 from filingmill.operators import nearest, semantic
 from filingmill.operators.containment import best_containing
@@ -202,21 +203,60 @@ def test_nearest_equals_brute_force(spark, monkeypatch, query_block, name_block)
         assert got[i] == [(n, round(s, 9)) for n, s in best]
 
 
-def test_hashed_search_finds_most_close_vectors(spark):
+def vectors_of(rows, key):
+    return [(k, *([1] if key == "employer_name" else []), None if v is None else [float(x) for x in v]) for k, v in rows]
+
+
+@pytest.mark.parametrize("blocks", [{}, {"query_block": 37, "name_block": 50}])
+def test_cells_find_the_neighbours_of_grouped_vectors(spark, blocks):
+    """Sixty groups: few cells are probed and nearly all neighbours found; odd vectors are answered too."""
     rng = np.random.default_rng(4)
-    base = rng.standard_normal((300, 32))
-    near = base[:60] + 0.1 * rng.standard_normal((60, 32))
+    centres = rng.standard_normal((60, 32))
+    base = np.repeat(centres, 20, axis=0) + 0.2 * rng.standard_normal((1200, 32))
+    asked = centres + 0.2 * rng.standard_normal((60, 32))
+    odd = [("SHORT", [1.0, 2.0]), ("ZERO", [0.0] * 32), ("NONE", None)]
     names = spark.createDataFrame(
-        [(f"E{i}", 1, v.tolist()) for i, v in enumerate(base)],
+        vectors_of([*((f"E{i:04}", v) for i, v in enumerate(base)), *odd], "employer_name"),
         "employer_name string, total_h1b_certified int, embedding array<float>")
     queries = spark.createDataFrame(
-        [(i, v.tolist()) for i, v in enumerate(near)], "query_id int, query_embedding array<float>")
-    out = nearest.top_neighbours(queries, names, 1, nearest.Hashing(dim=32, tables=10, bits=6)).collect()
-    found = sum(r.employer_name == f"E{r.query_id}" for r in out)
-    assert found >= 57
-    # More neighbours than a bucket holds: the exact search fills up.
-    many = nearest.top_neighbours(queries, names, 40, nearest.Hashing(dim=32, tables=2, bits=6))
-    assert {r["count"] for r in many.groupBy("query_id").count().collect()} == {40}
+        vectors_of([*enumerate(asked), (100, [0.0] * 32), (101, [2.0, 1.0]), (102, None)], "query_id"),
+        "query_id int, query_embedding array<float>")
+    cells = nearest.Cells(dim=32, cells=60)
+    found = nearest.top_neighbours(queries, names, 10, cells, **blocks).collect()
+    true = nearest.top_neighbours(queries, names, 10).collect()
+    ids = lambda rows: {(r.query_id, r.employer_name) for r in rows}
+    assert len(ids(found) & ids(true)) >= 0.93 * len(true) and len(found) == len(ids(found)) == len(true) == 601
+    assert [(r.query_id, r.employer_name) for r in found if r.query_id > 99] == [(101, "SHORT")]
+    units = base / np.linalg.norm(base, axis=1)[:, None]
+    trained = nearest.train(units, asked / np.linalg.norm(asked, axis=1)[:, None], 10, 60, 0.95)
+    assert trained.probes <= 10
+    # More neighbours than the probed cells hold: further cells are probed.
+    many = nearest.top_neighbours(queries.where("query_id < 9"), names, 90, nearest.Cells(dim=32, cells=60, recall=0.01))
+    assert {r["count"] for r in many.groupBy("query_id").count().collect()} == {90}
+    none = names.where("employer_name = 'ZERO'")
+    assert nearest.top_neighbours(queries, none, 3, cells).count() == 0
+    assert nearest.top_neighbours(queries.where("query_id < 0"), names, 3, cells).count() == 0
+
+
+def test_a_sample_trains_the_cells(spark):
+    """More names than the sample: sizes of cells are counted, and recall holds over all names."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((3000, 8))
+    names = spark.createDataFrame(
+        vectors_of(((f"E{i:04}", v) for i, v in enumerate(base)), "employer_name"),
+        "employer_name string, total_h1b_certified int, embedding array<float>").repartition(7)
+    queries = names.limit(400).select(
+        F.expr("int(substr(employer_name, 2))").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found = nearest.top_neighbours(queries, names, 10, nearest.Cells(dim=8, sample=300, asked=50))
+    true = nearest.top_neighbours(queries, names, 10)
+    both = found.select("query_id", "employer_name").intersect(true.select("query_id", "employer_name")).count()
+    assert both >= 0.9 * true.count() and found.count() == true.count()
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_registered_search_reaches_its_recall(spark, scale):
+    row = registry.QUERIES["ann_recall"](spark, f"/root/testdata/{scale}").first()
+    assert row.recall_reached and row.neighbours == 10 * row.queries
 
 
 def test_resolve_with_vectors_and_embedder(spark):
@@ -264,8 +304,8 @@ def test_a_name_is_embedded_once(spark, tmp_path):
         employers(spark, ("ALPHA", 5), ("BETA", 7)).withColumn("embedding", F.lit(None).cast("array<float>")),
         inner, Embedding(dim=8))
     names = spark.createDataFrame([(1, "gamma"), (2, "delta"), (3, "gamma"), (4, "alpha")], "i int, raw_name string")
-    for hashing in (None, nearest.Hashing(dim=8)):
-        out = resolve(names, emp, spark.createDataFrame([], ALIAS), embed_fn=counting, embedding=Embedding(dim=8), hashing=hashing)
+    for cells in (None, nearest.Cells(dim=8)):
+        out = resolve(names, emp, spark.createDataFrame([], ALIAS), embed_fn=counting, embedding=Embedding(dim=8), cells=cells)
         assert {r.i: r.match_type for r in out.collect()} == {1: "miss", 2: "miss", 3: "miss", 4: "exact"}
         with open(asked) as f:
             assert sorted(f.read().split()) == ["DELTA", "GAMMA"]

@@ -143,3 +143,33 @@ def test_partial_ratio(spark, a, b, want):
 
     df = spark.createDataFrame([(a, b)], "a string, b string")
     assert df.select(partial_ratio("a", "b")).first()[0] == want
+
+
+def plain_ratio(a, b):
+    """The score by the standard library's matcher, window by window."""
+    from difflib import SequenceMatcher
+
+    if not a or not b:
+        return 0
+    short, long = sorted((a, b), key=len)
+    starts = {max(0, m.b - m.a) for m in SequenceMatcher(None, short, long).get_matching_blocks()}
+    best = max(SequenceMatcher(None, short, long[s:s + len(short)]).ratio() for s in starts)
+    return 100 if best > 0.995 else int(round(100 * best))
+
+
+def test_partial_ratio_equals_the_matcher(spark):
+    from filingmill.functions.ratio import partial_ratio
+
+    rng = random.Random(12)
+    word = lambda: rng.choice(["ACME", "acme", "Inc", "LLC", "é", "🙂", "of", "Data", "data", "X", "systems", "aa"])
+    name = lambda n: " ".join(word() for _ in range(n))
+    pairs = [(name(rng.randrange(1, 5)), name(rng.randrange(1, 8))) for _ in range(400)]
+    pairs += [("".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))), "".join(rng.choice("abc") for _ in range(20)))
+              for _ in range(300)]
+    # From 200 characters on frequent ones start no block.
+    pairs += [(name(rng.randrange(1, 60)), name(rng.randrange(40, 90))) for _ in range(60)]
+    pairs += [(b[30:30 + rng.randrange(1, 90)], b) for _, b in pairs[-60:]]
+    pairs += [("", "x"), ("x", ""), (None, "x"), ("x", None), (None, None), ("same", "same"), ("x" * 300, "x" * 900)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").repartition(3)
+    found = {r.i: r.score for r in df.select("i", partial_ratio("a", "b").alias("score")).collect()}
+    assert [(p, found[i], plain_ratio(*p)) for i, p in enumerate(pairs) if found[i] != plain_ratio(*p)] == []
