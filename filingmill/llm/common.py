@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # ASCII white space, the separators of words in every contract here.
@@ -52,6 +55,32 @@ def text_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most so many rows; Spark bounds their bytes."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def chunks_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, list[bytes]]:
+    """Texts cut at ASCII white space: ends of the texts' chunks, places of all chunks among the distinct ones, these.
+
+    Null texts have no chunks; a chunk may be empty.
+    """
+    words = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = words.values.dictionary_encode()
+    return words.offsets.to_numpy(), coded.indices, coded.dictionary.cast(pa.binary()).to_pylist()
+
+
+def gathered(values: list[bytes], places: pa.Array, ends: np.ndarray) -> Iterator[bytes]:
+    """For every text the values of its chunks, one after the other."""
+    taken = pa.array(values, pa.large_binary()).take(places)
+    cut = np.frombuffer(taken.buffers()[1], np.int64)[ends].tolist()
+    data = memoryview(taken.buffers()[2] or b"")
+    for a, b in zip(cut, cut[1:]):
+        yield bytes(data[a:b])
+
+
 def worker_store(name: str) -> dict:
     """A dictionary of this Python process that outlives a task, as Spark reuses workers."""
     module = sys.modules.setdefault("filingmill_worker_store", types.ModuleType("filingmill_worker_store"))

@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import string
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.materialize import shared_dir
-from .common import bounded_sample, text_batches, worker_cache, worker_store
+from .common import Generations, bounded_sample, chunks_of, gathered, slices, worker_cache, worker_store
 
 MAGIC = b"FMTOKENS"
 # Footer: place of the index, documents, hash of the dictionary, magic.
@@ -38,37 +40,94 @@ DOCS_PER_SHARD = 1 << 14
 # The dictionary: its size, how many documents are sampled, and the longest that train it.
 DICTIONARY, SAMPLE, SAMPLE_CHARS = 112_640, 1000, 16_384
 LEVEL = 3
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS, CACHED_TAILS = 500_000, 10_000
+# Letters, then punctuation.
+_PLAIN = re.compile(rb"([A-Za-z]+)([!-/:-@\[-`{-~]*)")
 _MANIFEST = "shard int, file string, documents long, tokens long, first_id long, last_id long"
 
 
-def _tokenizer(path: str):
-    store = worker_store("tokenizers")
-    if path not in store:
+class Chunks:
+    """Ids of chunks of text, as little-endian unsigned 32-bit integers, from the tokenizers library.
+
+    If a file's normaliser and splitter leave ASCII letters and the punctuation behind them as two
+    pieces, lower-cased, the model is asked for these pieces; all other chunks go through the whole
+    of the library, and so do all chunks of a file for which that does not hold.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
-        store[path] = Tokenizer.from_file(path)
-        store[path].no_truncation()
-        store[path].no_padding()
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.splits = self._splits()
+
+    def _splits(self) -> bool:
+        """Whether runs with every pair of letters, each with some punctuation, are cut in two as said."""
+        lib = self.library
+        marks = [t.content.encode() for t in lib.get_added_tokens_decoder().values()]
+        if lib.normalizer is None or lib.pre_tokenizer is None or any(_PLAIN.fullmatch(m) for m in marks):
+            return False
+        tails = ["", *string.punctuation, *map("".join, zip(string.punctuation, string.punctuation[1:])), string.punctuation]
+        for i, first in enumerate(string.ascii_letters):
+            run = "".join(first + c for c in string.ascii_letters)
+            for tail in tails[i % 4::4] + [""]:
+                pieces = [run.lower(), tail][:1 + bool(tail)]
+                cut = [p for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(run + tail))]
+                ids = [t.id for p in pieces for t in lib.model.tokenize(p)]
+                if cut != pieces or ids != lib.encode(run + tail, add_special_tokens=False).ids:
+                    return False
+        return True
+
+    def _piece(self, piece: bytes) -> bytes:
+        return array("I", [t.id for t in self.library.model.tokenize(piece.decode())]).tobytes()
+
+    def ids(self, chunks: list[bytes], cache: Generations) -> list[bytes]:
+        """Ids of every chunk; those not in the cache are worked out and put there."""
+        out = [*map(cache.get, chunks)]
+        rest = []
+        for i, known in enumerate(out):
+            if known is None:
+                match = _PLAIN.fullmatch(chunks[i]) if self.splits else None
+                if match is None:
+                    rest.append(i)
+                    continue
+                word, tail = match.groups()
+                word = word.lower()
+                own = cache.get(word)
+                if own is None:
+                    own = cache.young[word] = self._piece(word)
+                if tail not in self.tails:
+                    if len(self.tails) > CACHED_TAILS:
+                        self.tails = {b"": b""}
+                    self.tails[tail] = self._piece(tail)
+                out[i] = cache.young[chunks[i]] = own + self.tails[tail] if tail else own
+        found = self.library.encode_batch_fast([chunks[i].decode() for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, found):
+            out[i] = cache.young[chunks[i]] = array("I", e.ids).tobytes()
+        return out
+
+
+def _chunks(path: str) -> Chunks:
+    store = worker_store("tokenizers")
+    if path not in store:
+        store[path] = Chunks(path)
     return store[path]
 
 
-def serialized(texts: list[bytes | None], tokenizer: str, end_id: int) -> Iterator[bytes]:
+def serialized(texts: pa.Array, tokenizer: str, end_id: int) -> Iterator[bytes]:
     """Ids of each text with the end id, as little-endian unsigned 32-bit integers.
 
     White space ends every piece of this tokenizer, so chunks between ASCII white space are
     encoded once per worker and batch; the cache is bounded and only saves time.
     """
-    cache, tok = worker_cache("token chunks", CACHED_CHUNKS), _tokenizer(tokenizer)
-    parts = [(t or b"").split() for t in texts]
-    own = {c: cache.get(c) for c in dict.fromkeys(chain.from_iterable(parts))}
-    new = [c for c, ids in own.items() if ids is None]
-    for c, e in zip(new, tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-        own[c] = cache.young[c] = np.array(e.ids, "<u4").tobytes()
+    ends, places, chunks = chunks_of(texts)
+    ids = _chunks(tokenizer).ids(chunks, worker_cache("token chunks", CACHED_CHUNKS))
     end = struct.pack("<I", end_id)
-    for p in parts:
-        yield b"".join(map(own.__getitem__, p)) + end
+    for data in gathered(ids, places, ends):
+        yield data + end
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -97,16 +156,13 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1, docs_per_
     Null and empty texts hold the end id alone. Ids ascend, null first; rows that repeat an id are
     ordered by their text. An empty table gives a manifest without files.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = bounded_sample(own.select("doc_id").where("doc_id is not null"), F.col("doc_id"), SAMPLE).distinct()
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(serialized(texts, tokenizer, end_id)), pa.binary())], names=["doc_id", "ids"])
+        for batch in slices(batches):
+            ids = list(serialized(batch.column(1), tokenizer, end_id))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     short = own.join(F.broadcast(chosen), "doc_id").where(F.char_length("text") <= SAMPLE_CHARS)
     rows = short.mapInArrow(sampled, "doc_id long, ids binary").collect()
@@ -122,12 +178,9 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1, docs_per_
         number = TaskContext.get().partitionId()
         compress = _codec(dictionary)[0].compress
         ids, known, ends, counts, at, name, f = [], [], [], [], 0, f"{number:06d}-{uuid.uuid4().hex}.tokens", None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             f = f or store.open_output_stream(f"{path}/{name}")
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for doc_id, data in zip(batch.column(0).to_pylist(), serialized(texts, tokenizer, end_id)):
+            for doc_id, data in zip(batch.column(0).to_pylist(), serialized(batch.column(1), tokenizer, end_id)):
                 frame = compress(data)
                 f.write(frame)
                 at += len(frame)
