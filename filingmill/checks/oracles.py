@@ -534,3 +534,34 @@ select 'https://jobs.example/list/' || (user_id % 7) as url, {_HOUR} as window_s
 from events where event_type = 'error' group by 1, 2"""
 ORACLES["stream_bursts"] = f"""
 select user_id, burst_start, fires_at, events from ({ORACLES["burst_sessions"]})"""
+ORACLES["resolve_again"] = ORACLES["resolve_all"]
+ORACLES["stream_logged"] = "select event_id, substr(repeat(props, 60), 1, 500) as html from events where event_type = 'error'"
+
+# The order of the sorted outputs, as the place of every row.
+for _name, _source, _keys, _order in (
+    ("employers_placed", "employers_agg", "employer_name", "total_h1b_certified desc, employer_name"),
+    ("job_levels_placed", "job_levels", "employer_name, normalized_job_title, soc_code",
+     "employer_name, total_count desc, normalized_job_title nulls first, soc_code nulls first"),
+    ("aliases_placed", "aliases_agg", "primary_employer_name, alias_name", "usage_count desc, alias_name, primary_employer_name"),
+    ("merged_aliases_placed", "aliases_merged", "primary_employer_name, alias_name",
+     "usage_count desc, alias_name, primary_employer_name"),
+):
+    ORACLES[_name] = f"select {_keys}, row_number() over (order by {_order}) as place from ({ORACLES[_source]})"
+
+_OLD_COUNTS = """select upper(trim(employer_name)) as employer_name, count(*) as h1b_count
+  from lca_raw where case_status = 'Certified' and employer_name <> ''"""
+ORACLES["folder_counts"] = _sql(["lca_raw"], [], f"{_OLD_COUNTS} and file_priority < 4 group by 1")
+ORACLES["counts_upsert"] = _sql(["lca_raw"], [f"counts as ({_OLD_COUNTS} group by 1)"], """
+select employer_name, (case when h1b_count % 2 = 0 then h1b_count * 10 else h1b_count end)::bigint as h1b_count,
+  case when h1b_count % 2 = 0 then '2025-06-01' else '2025-01-01' end as last_updated from counts""")
+ORACLES["curated_from_file"] = _sql(["curated_raw"], [_curated("fresh", "true")], "select * from fresh")
+ORACLES["pending_first"] = _sql(["employer_vectors"], [], """
+select id, employer_name from employer_vectors where embedding is null order by id limit 25""")
+
+ORACLES["employer_deltas"] = ORACLES["employer_upsert"]
+ORACLES["summary_from_states"] = _sql(["lca_raw"], [f"""kept as (
+  select * from lca_raw where trim(case_status) = 'Certified' and trim(visa_class) = 'H-1B'
+    and not {_gone('case_number')} and {_emp('employer_name')} is not null)"""], f"""
+select (select count(*) from lca_raw) as rows_scanned, count(distinct trim(case_number)) as cases,
+  count(distinct {_emp('employer_name')}) as employers, count(distinct {_title('job_title')}) as job_titles, true as close
+from kept""")

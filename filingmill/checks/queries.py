@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,6 +22,7 @@ from ..plans import resolve as resolving
 from ..plans.embed import fill_store
 from ..plans.search import search as run_search
 from ..sources import sinks, tables
+from ..sources.stored import StoredTable
 from ..operators.materialize import materialize, shared_dir
 from ..sources.sample_views import table, view
 from ..streaming import events as event_streams
@@ -65,6 +67,11 @@ def _stored(spark, sf):
             materialize(alias_ops.merge_curated(intake.aliases(cases), curated), "aliases"))
 
 
+def _stored_employers(spark, sf):
+    """Employers alone as a written table, for lookups that need no aliases."""
+    return materialize(_employers(spark, sf), "employers")
+
+
 # --- intake -------------------------------------------------------------------------
 
 
@@ -88,6 +95,22 @@ def aliases_merged(spark, sf):
     return intake.sort_aliases(_aliases(spark, sf))
 
 
+def employers_placed(spark, sf):
+    return running.placed(employers_agg(spark, sf)).select("employer_name", "place")
+
+
+def job_levels_placed(spark, sf):
+    return running.placed(job_levels(spark, sf)).select("employer_name", "normalized_job_title", "soc_code", "place")
+
+
+def aliases_placed(spark, sf):
+    return running.placed(aliases_agg(spark, sf)).select("primary_employer_name", "alias_name", "place")
+
+
+def merged_aliases_placed(spark, sf):
+    return running.placed(aliases_merged(spark, sf)).select("primary_employer_name", "alias_name", "place")
+
+
 def simple_counts_top10(spark, sf):
     return intake.top_counts(intake.simple_counts(_raw(spark, sf)))
 
@@ -104,6 +127,21 @@ def intake_summary(spark, sf):
     return intake.summary(intake.file_counters(raw), cases, merged)
 
 
+def summary_from_states(spark, sf):
+    """Run totals from one state per file, and whether the distinct numbers are within a twentieth."""
+    raw = _raw(spark, sf)
+    states = materialize(intake.summary_states(raw), "states")
+    about = intake.merged_summary(states)
+    exact = intake.summary_numbers(raw)
+    numbers = ("cases", "employers", "job_titles")
+    both = about.unionByName(exact, allowMissingColumns=True).agg(  # one row each
+        F.max("rows_scanned").alias("rows_scanned"), *[F.max(f"exact_{c}").alias(f"exact_{c}") for c in numbers],
+        *[F.max(c).alias(c) for c in numbers])
+    near = [F.abs(F.col(c) - F.col(f"exact_{c}")) <= 0.05 * F.col(f"exact_{c}") for c in numbers]
+    return both.select(
+        "rows_scanned", *[F.col(f"exact_{c}").alias(c) for c in numbers], (near[0] & near[1] & near[2]).alias("close"))
+
+
 def date_parse(spark, sf):
     return view(spark, sf, "date_texts").select(
         "id", text.date_text(F.col("txt")).alias("decision_date"))
@@ -145,6 +183,27 @@ def employer_upsert(spark, sf):
         F.col("embedding").isNotNull().alias("has_embedding"))
 
 
+def employer_deltas(spark, sf):
+    """The same upsert where each run writes only its own rows, and vectors are a run of their own."""
+    raw = _raw(spark, sf)
+    table_ = StoredTable(
+        spark, _run_dir(spark, "deltas"), "employer_name", {"values": merge.EMPLOYER_VALUES, "vector": ["embedding"]}, fan=3)
+    old = _typed(intake.employers(intake.clean_cases(raw.where("file_priority <= 2 and suppkey % 5 > 0"), ORDER)), STORED_AT)
+    new = intake.employers(intake.clean_cases(raw.where("file_priority >= 2 and suppkey % 5 < 4"), ORDER))
+    vector = view(spark, sf, "name_vectors").where("side = 'employer'").select(
+        text.employer_name(F.col("raw_name")).alias("employer_name"), "embedding").dropDuplicates(["employer_name"])
+    table_.upsert(old.withColumn("embedding", F.lit(None).cast("array<float>")))
+    table_.upsert(vector.join(table_.read().select("employer_name"), "employer_name", "left_semi"))
+    table_.upsert(_typed(new, RUN_AT))
+    return table_.read().select(
+        "employer_name", "total_h1b_certified",
+        F.col("earliest_decision_date").cast("string").alias("earliest_decision_date"),
+        F.col("latest_decision_date").cast("string").alias("latest_decision_date"),
+        "last_active_year", "h1b_dependent",
+        F.date_format("last_updated", "yyyy-MM-dd").alias("last_updated"),
+        F.col("embedding").isNotNull().alias("has_embedding"))
+
+
 def alias_scoped_replace(spark, sf):
     fresh = alias_ops.curated_aliases(
         view(spark, sf, "curated_raw").where("line_no % 5 < 3"))
@@ -193,6 +252,52 @@ def filings_from_files(spark, sf):
     return intake.clean_cases(both)
 
 
+def folder_counts(spark, sf):
+    """The older count over a folder of files whose last repeated header counts; a file without one gives none."""
+    base, raw = _run_dir(spark, "folder"), _raw(spark, sf)
+    as_is = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    for q in (1, 2, 3, 4):
+        part = raw.where(F.col("file_priority") == q).select(
+            F.lit("no name").alias("a"), F.col("case_status").alias("b"), F.col("employer_name").alias("c"))
+        part = part.drop("b") if q == 4 else part
+        header = "EMPLOYER_NAME,CASE_STATUS,employer_name".split(",") if q < 4 else ["EMPLOYER_NAME", "employer_name"]
+        lines = part.select(F.to_csv(F.struct(*part.columns), as_is).alias("value"))
+        first = spark.createDataFrame([(",".join(header),)], "value string")
+        lines.coalesce(1).sortWithinPartitions("value").write.text(f"{base}/rows/q{q}")
+        first.coalesce(1).write.text(f"{base}/head/q{q}")
+    parts = []
+    for q in (1, 2, 3, 4):
+        header = spark.read.text(f"{base}/head/q{q}").first()[0].split(",")
+        rows = tables.read_folder(spark, f"{base}/rows/q{q}", "*.txt", "text")
+        typed = rows.select(F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(header))), as_is).alias("r")).select("r.*")
+        picked = tables.with_filing_columns(
+            typed.toDF(*header), {c: FILING_HEADERS[c] for c in ("employer_name", "case_status")}, duplicates="last", on_missing="skip")
+        parts += [picked] if picked is not None else []
+    return intake.simple_counts(reduce(DataFrame.unionByName, parts))
+
+
+def counts_upsert(spark, sf):
+    """The older counts stored twice: what the second run does not name stays as it was."""
+    base, counts = _run_dir(spark, "counts"), intake.simple_counts(_raw(spark, sf))
+    sinks.upsert_counts(spark, base, counts, STORED_AT)
+    sinks.upsert_counts(spark, base, counts.where("h1b_count % 2 = 0").withColumn("h1b_count", F.col("h1b_count") * 10), RUN_AT)
+    return sinks.read_latest(spark, base).select(
+        "employer_name", "h1b_count", F.date_format("last_updated", "yyyy-MM-dd").alias("last_updated"))
+
+
+def curated_from_file(spark, sf):
+    """Curated rows from a CSV file, in the order of its lines; a file that is not there gives none."""
+    base = _run_dir(spark, "curated")
+    columns = [f.name for f in tables.CURATED_SCHEMA]
+    view(spark, sf, "curated_raw").orderBy("line_no").select(*columns).coalesce(1).write.csv(f"{base}/rows", header=True)
+    none = alias_ops.curated_aliases(tables.read_curated(spark, f"{base}/absent"))
+    return alias_ops.curated_aliases(tables.read_curated(spark, f"{base}/rows")).unionByName(none)
+
+
+def pending_first(spark, sf):
+    return merge.pending(view(spark, sf, "employer_vectors"), 25)
+
+
 # --- vectors ------------------------------------------------------------------------
 
 
@@ -289,7 +394,7 @@ def _with_vectors(spark, sf, employers: DataFrame):
 
 
 def resolve_exact(spark, sf):
-    employers, _ = _stored(spark, sf)
+    employers = _stored_employers(spark, sf)
     hits = resolving.match_exact(_distinct_names(spark, sf), employers)
     return hits.join(resolving.records(employers), "employer_name")
 
@@ -301,7 +406,7 @@ def resolve_alias(spark, sf):
 
 
 def resolve_fuzzy(spark, sf):
-    employers, _ = _stored(spark, sf)
+    employers = _stored_employers(spark, sf)
     hits = best_containing(materialize(_distinct_names(spark, sf), "names"), employers, 1)
     return hits.select("name", "employer_name", "total_h1b_certified")
 
@@ -318,6 +423,19 @@ def resolve_semantic(spark, sf):
     return semantic.decide(near, LOW_THRESHOLD).withColumn("confidence", F.round("confidence", 6))
 
 
+def resolve_again(spark, sf):
+    """The same names twice with a memory: the second time every answer comes from it."""
+    base = _run_dir(spark, "answers")
+    stored, aliases = _stored(spark, sf)
+    employers, lookups = _with_vectors(spark, sf, stored)
+    memory = resolving.Memory(spark, base, "run-1")
+    resolving.resolve(_names(spark, sf).where("name_id % 2 = 0"), employers, aliases, vectors=lookups, memory=memory)
+    out = resolving.resolve(_names(spark, sf), employers, aliases, vectors=lookups, memory=memory)
+    return out.select(
+        "name_id", "normalized_name", "match_type", F.round("confidence", 6).alias("confidence"),
+        "employer_name", "total_h1b_certified")
+
+
 def resolve_all(spark, sf):
     stored, aliases = _stored(spark, sf)
     employers, lookups = _with_vectors(spark, sf, stored)
@@ -338,7 +456,7 @@ def check(spark, sf):
 
 def search(spark, sf):
     names = _names(spark, sf).withColumnRenamed("name_id", "query_id")
-    employers, _ = _stored(spark, sf)
+    employers = _stored_employers(spark, sf)
     return run_search(names, employers, 5, query="raw_name")
 
 
@@ -578,13 +696,24 @@ def stream_misses(spark, sf):
     return _windows(event_streams.miss_counts(misses, lateness=EVER), base, ["url", "window_start"])
 
 
+def stream_logged(spark, sf):
+    """Reported misses appended with their page text cut."""
+    base = _run_dir(spark, "stream-logged")
+    misses = _in_batches(spark, sf, base).where("event_type = 'error'").select(
+        "event_id", F.repeat("props", 60).alias("html"))
+    event_streams.write_misses(misses, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("event_id long, html string").parquet(f"{base}/out")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     clean_cases, employers_agg, job_levels, aliases_agg, aliases_merged, simple_counts_top10,
-    intake_summary, file_counters, date_parse, load_coercion, employer_upsert,
+    employers_placed, job_levels_placed, aliases_placed, merged_aliases_placed, folder_counts, counts_upsert,
+    curated_from_file, pending_first,
+    intake_summary, file_counters, date_parse, summary_from_states, load_coercion, employer_upsert, employer_deltas,
     alias_scoped_replace, load_replace, embedding_fill_store, filings_from_files, embedding_merge, embedding_coverage, embedding_batches, cosine_topk,
     ann_topk, ann_recall, cosine_pairs, vector_literal, resolve_exact, resolve_alias, resolve_fuzzy,
-    semantic_rerank, resolve_semantic, resolve_all, check, search, search_patterns, company_slug, company_line,
+    semantic_rerank, resolve_semantic, resolve_all, resolve_again, check, search, search_patterns, company_slug, company_line,
     listing_company, page_links, listing_company_html, listing_places, distinct_cards, listing_annotate, listing_stats, rate_limit, burst_sessions,
     attempt_abandon, miss_report, misses_per_url, stream_resolve, stream_dedup, stream_intake,
-    stream_abandon, stream_limits, stream_bursts, stream_stats, stream_misses,
+    stream_abandon, stream_limits, stream_bursts, stream_stats, stream_misses, stream_logged,
 )}

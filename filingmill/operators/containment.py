@@ -12,6 +12,10 @@ the best names per piece are kept before anything is shuffled, and the query loo
 their longest literal part and then tested; a query of wildcards only asks for a minimum length,
 which is an equality on a run of filler characters.
 
+The pieces of all names and how many names hold each are a ``PieceIndex``: two written tables that
+several searches over the same names share, and that ``refreshed`` brings up to date from the
+names that changed.
+
 With ``scored``, places follow the partial ratio of query and name. It is 100 where the name has
 the query as it is written, on names short enough for the ratio to look at every character, and 0
 where they share no character; only other pairs are computed.
@@ -19,10 +23,13 @@ where they share no character; only other pairs are computed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ratio import WHOLE_BELOW, partial_ratio
 from ..functions.text import has_wildcard
+from .materialize import materialize
 
 PIECE = 3
 _FILLER = "\x00"
@@ -31,24 +38,60 @@ _ESCAPED, _STAND = "%_\\", "\ue000\ue001\ue002"
 _COLUMNS = ("name", "employer_name", "total_h1b_certified", "score")
 
 
+@dataclass(frozen=True)
+class PieceIndex:
+    """Names prepared for search: (employer_name, lowered, total_h1b_certified), these by piece, and names per piece."""
+
+    names: DataFrame
+    held: DataFrame
+    common: DataFrame
+
+
+def _prepared(names: DataFrame) -> DataFrame:
+    return names.select(
+        "employer_name", F.lower("employer_name").alias("lowered"),
+        F.coalesce("total_h1b_certified", F.lit(0)).cast("long").alias("total_h1b_certified"))
+
+
+def _indexed(names: DataFrame, held: DataFrame) -> PieceIndex:
+    held = materialize(held, "pieces")
+    return PieceIndex(names, held, materialize(held.groupBy("piece").agg(F.count("*").alias("names")), "common"))
+
+
+def piece_index(names: DataFrame) -> PieceIndex:
+    """The index of ``names`` (employer_name, unique, and total_h1b_certified), written once."""
+    own = materialize(_prepared(names), "names")
+    return _indexed(own, _expanded(own, _pieces("lowered", PIECE)))
+
+
+def refreshed(index: PieceIndex, names: DataFrame) -> PieceIndex:
+    """The index of ``names`` made from an older one: only names that are new or changed are cut into pieces."""
+    own = materialize(_prepared(names), "names")
+    key = ["employer_name", "total_h1b_certified"]
+    fresh = own.join(index.names.select(*key), key, "left_anti")
+    stays = own.join(index.names.select(*key), key, "left_semi").select("employer_name")
+    kept = index.held.join(stays, "employer_name", "left_semi")
+    return _indexed(own, kept.unionByName(_expanded(fresh, _pieces("lowered", PIECE))))
+
+
 def best_containing(
-    queries: DataFrame, names: DataFrame, k: int, scored: bool = False, literal: bool = False,
+    queries: DataFrame, names: DataFrame | PieceIndex, k: int, scored: bool = False, literal: bool = False,
 ) -> DataFrame:
     """Up to ``k`` of ``names`` that contain each query.
 
     ``queries`` has one distinct ``name`` per row and should be a written table, since it is
-    read more than once. ``names`` has ``employer_name`` (unique) and ``total_h1b_certified``.
+    read more than once. ``names`` has ``employer_name`` (unique) and ``total_h1b_certified``, or is
+    an index of such a table.
     Order: partial ratio if ``scored``, then filing total, then name.
     Returns name, employer_name, total_h1b_certified, score, place.
     """
     prepared = queries.select("name", *_anchor_columns(F.col("name"), literal))
-    names = names.select(
-        "employer_name", F.lower("employer_name").alias("lowered"),
-        F.coalesce("total_h1b_certified", F.lit(0)).cast("long").alias("total_h1b_certified"))
+    index = names if isinstance(names, PieceIndex) else piece_index(names)
+    names = index.names
 
     size = F.char_length("anchor")
     longer = prepared.where((size >= PIECE) & ~F.col("only_wild"))
-    parts = [_rated(_by_rare_piece(longer, names), scored)]
+    parts = [_rated(_by_rare_piece(longer, index), scored)]
     counts = prepared.agg(
         F.count_if("only_wild").alias("wild"),
         F.count_if((size < PIECE) & ~F.col("only_wild") & F.col("pattern").isNull()).alias("short"),
@@ -107,14 +150,12 @@ def _expanded(names: DataFrame, pieces: Column) -> DataFrame:
     return names.repartition(tasks, "employer_name").withColumn("piece", F.explode(pieces))
 
 
-def _by_rare_piece(queries: DataFrame, names: DataFrame) -> DataFrame:
-    held = _expanded(names, _pieces("lowered", PIECE))
+def _by_rare_piece(queries: DataFrame, index: PieceIndex) -> DataFrame:
     asked = queries.select("name", F.explode(_pieces("anchor", PIECE)).alias("piece"))
-    common = held.groupBy("piece").agg(F.count("*").alias("names"))
     # A piece that no name has is the rarest of all: its query finds nothing.
-    rare = asked.join(common, "piece", "left").groupBy("name").agg(
+    rare = asked.join(index.common, "piece", "left").groupBy("name").agg(
         F.min_by("piece", F.struct(F.coalesce("names", F.lit(0)), F.col("piece"))).alias("piece"))
-    return _met(queries.join(rare, "name"), held)
+    return _met(queries.join(rare, "name"), index.held)
 
 
 def _tested(queries: DataFrame, held: DataFrame) -> DataFrame:

@@ -206,3 +206,40 @@ def summary(counters: DataFrame, cases: DataFrame, alias_rows: DataFrame) -> Dat
     for p in parts[1:]:
         stacked = stacked.unionByName(p, allowMissingColumns=True)
     return stacked.agg(*[F.max(c).alias(c) for c in names])
+
+
+# Buckets of the sketches as a power of two; their counts are within a few hundredths.
+SKETCH = 14
+
+
+def summary_states(raw: DataFrame, file: str = "file_priority") -> DataFrame:
+    """One row per file that its summary can be merged from: counts, and sketches of cases, employers and titles.
+
+    A new file needs only its own rows read. The sketches are of the file's filings before cases
+    of several files are reduced to one.
+    """
+    case = F.when(is_case(), text.strip(F.col("case_number")))
+    name = F.when(case.isNotNull(), text.employer_name(F.col("employer_name")))
+    known = raw.select(
+        file, case.alias("_case"), name.alias("_employer"),
+        F.when(case.isNotNull(), text.job_title(F.col("job_title"))).alias("_title"))
+    sketch = lambda c: F.hll_sketch_agg(c, F.lit(SKETCH))
+    return known.groupBy(file).agg(
+        F.count(F.lit(1)).alias("rows_scanned"), sketch("_case").alias("cases"),
+        sketch("_employer").alias("employers"), sketch("_title").alias("job_titles"))
+
+
+def summary_numbers(raw: DataFrame) -> DataFrame:
+    """What ``merged_summary`` estimates, counted."""
+    case = F.when(is_case(), text.strip(F.col("case_number")))
+    known = raw.where(case.isNotNull())
+    return known.agg(
+        F.countDistinct(case).alias("exact_cases"),
+        F.countDistinct(text.employer_name(F.col("employer_name"))).alias("exact_employers"),
+        F.countDistinct(text.job_title(F.col("job_title"))).alias("exact_job_titles"))
+
+
+def merged_summary(states: DataFrame) -> DataFrame:
+    """One row of run totals from the states of any files: rows exactly, distinct numbers about."""
+    about = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c)
+    return states.agg(F.sum("rows_scanned").alias("rows_scanned"), about("cases"), about("employers"), about("job_titles"))

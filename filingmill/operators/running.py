@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import prefix
+from .materialize import materialize
 
 
 def _running(df: DataFrame, order: str, sums: dict[str, Column], span: int | None) -> DataFrame:
@@ -31,3 +32,13 @@ def batch_progress(
         per_batch, "batch_no", {"rows_so_far": F.col("rows"), "tokens_so_far": F.col("tokens")}, span)
     return total.withColumn(
         "cost_so_far_usd", F.col("tokens_so_far") / 1_000_000 * usd_per_million)
+
+
+def placed(ordered: DataFrame) -> DataFrame:
+    """A sorted table with every row's ``place`` in its order, from 1.
+
+    Ids rise along the tasks of a sort and along the rows of a task, so a task's rows are one chunk.
+    """
+    numbered = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    chunk = F.shiftright("_id", 33)
+    return prefix.running_sum(numbered, [], chunk, ["_id"], {"place": F.lit(1).cast("long")}).drop("_id")

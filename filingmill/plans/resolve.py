@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Embedding, Semantic
 from ..functions import text
-from ..operators.containment import best_containing
+from ..operators.containment import PieceIndex, best_containing
 from ..operators.intake import first_per_key
 from ..operators.materialize import materialize
 from ..operators.nearest import Cells, top_neighbours
 from ..operators.semantic import decide
+from ..streaming.batches import Batches
 from .embed import embed_names
 
 RECORD = (
@@ -62,7 +63,26 @@ def match_alias(names: DataFrame, aliases: DataFrame, employers: DataFrame) -> D
     ).select("name", "employer_name")
 
 
-def match_fuzzy(names: DataFrame, employers: DataFrame, literal: bool = False) -> DataFrame:
+class Memory:
+    """Answers that stay valid as long as employers and aliases do: one table of segments per ``version`` of them.
+
+    A version is any text that changes when the tables do, such as the name of their run. Names
+    that were asked before, misses included, reach no layer again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, version: str) -> None:
+        self.answers = Batches(spark, f"{folder.rstrip('/')}/{version}")
+
+    def read(self, below: int | None = None) -> DataFrame | None:
+        return self.answers.read(below)
+
+    def add(self, answers: DataFrame, number: int | None = None) -> None:
+        """Add a segment; with ``number``, that of the batch, so that a batch can be run again."""
+        last = self.answers.last()
+        self.answers.write(answers, number if number is not None else 0 if last is None else last + 1)
+
+
+def match_fuzzy(names: DataFrame, employers: DataFrame | PieceIndex, literal: bool = False) -> DataFrame:
     """name, employer_name for names inside employer names, largest filer first."""
     return best_containing(names, employers, 1, literal=literal).select("name", "employer_name")
 
@@ -92,38 +112,33 @@ def resolve(
     embedding: Embedding = Embedding(),
     literal: bool = False,
     cells: Cells | None = None,
+    index: PieceIndex | None = None,
+    memory: Memory | None = None,
+    batch: int | None = None,
 ) -> DataFrame:
     """All rows of ``names`` with the employer record, match_type and confidence.
 
     The vector layer runs when name vectors (name, embedding) or an ``embed_fn`` are given
     and ``employers`` has an ``embedding`` column; otherwise it finds nothing. With ``cells``
-    it looks in hash buckets instead of comparing everything.
+    it looks into the nearest cells instead of comparing everything. ``index`` is the piece index of
+    the employers, where one is at hand. With ``memory`` only names that it does not hold are looked
+    up, and their answers are added, as those of micro-batch ``batch`` if that is given.
     """
     keyed = names.withColumn("_name", text.employer_name(F.col(raw_name)))
-    distinct = materialize(
-        keyed.select(F.col("_name").alias("name")).where("name is not null").distinct(), "resolve-names")
-
-    early = materialize(_exact_and_alias(distinct, employers, aliases), "resolve-early")
-    left_over = early.where("employer_name is null").select("name")
-    fuzzy = left_over.join(match_fuzzy(left_over, employers, literal), "name", "left").select(
-        "name", "employer_name",
-        F.when(F.col("employer_name").isNotNull(), "fuzzy").alias("match_type"))
-
-    answers = early.where("employer_name is not null")
-    if "embedding" in employers.columns and (vectors is not None or embed_fn is not None):
-        fuzzy = materialize(fuzzy, "resolve-fuzzy")
-        rest = fuzzy.where("employer_name is null").select("name")
-        # Written, since the search reads its queries more than once and a name is embedded once.
-        with_vectors = materialize(
-            rest.join(vectors.select("name", "embedding"), "name") if vectors is not None
-            else embed_names(rest, embed_fn, embedding), "resolve-vectors")
-        semantic = match_semantic(with_vectors, employers, cfg, cells).withColumn("match_type", F.lit("semantic"))
-        answers = answers.unionByName(
-            fuzzy.where("employer_name is not null")
-        ).withColumn("confidence", F.lit(1.0)).unionByName(semantic)
+    distinct = keyed.select(F.col("_name").alias("name")).where("name is not null").distinct()
+    known = memory.read(batch) if memory else None
+    if known is not None:
+        distinct = distinct.join(known.select("name"), "name", "left_anti")
+    distinct = materialize(distinct, "resolve-names")
+    if known is None or distinct.limit(1).count():
+        answers = _answers(
+            distinct, employers, aliases, vectors, embed_fn, cfg, embedding, literal, cells, index)
+        if memory:
+            answers = materialize(distinct.join(answers, "name", "left"), "resolve-answers")
+            memory.add(answers, batch)
+        answers = answers if known is None else answers.unionByName(known)
     else:
-        answers = answers.unionByName(
-            fuzzy.where("employer_name is not null")).withColumn("confidence", F.lit(1.0))
+        answers = known
 
     found = answers.join(records(employers), "employer_name").withColumnRenamed("name", "_name")
     kind = (
@@ -134,6 +149,33 @@ def resolve(
         "confidence", *RECORD)
 
 
+def _answers(
+    distinct: DataFrame, employers: DataFrame, aliases: DataFrame, vectors: DataFrame | None, embed_fn: Callable | None,
+    cfg: Semantic, embedding: Embedding, literal: bool, cells: Cells | None, index: PieceIndex | None,
+) -> DataFrame:
+    """name, employer_name, match_type and confidence of the names that some layer answers."""
+    early = materialize(_exact_and_alias(distinct, employers, aliases), "resolve-early")
+    left_over = early.where("employer_name is null").select("name")
+    fuzzy = left_over.join(match_fuzzy(left_over, index or employers, literal), "name", "left").select(
+        "name", "employer_name",
+        F.when(F.col("employer_name").isNotNull(), "fuzzy").alias("match_type"))
+
+    answers = early.where("employer_name is not null")
+    if "embedding" not in employers.columns or (vectors is None and embed_fn is None):
+        return answers.unionByName(
+            fuzzy.where("employer_name is not null")).withColumn("confidence", F.lit(1.0))
+    fuzzy = materialize(fuzzy, "resolve-fuzzy")
+    rest = fuzzy.where("employer_name is null").select("name")
+    # Written, since the search reads its queries more than once and a name is embedded once.
+    with_vectors = materialize(
+        rest.join(vectors.select("name", "embedding"), "name") if vectors is not None
+        else embed_names(rest, embed_fn, embedding), "resolve-vectors")
+    semantic = match_semantic(with_vectors, employers, cfg, cells).withColumn("match_type", F.lit("semantic"))
+    return answers.unionByName(
+        fuzzy.where("employer_name is not null")
+    ).withColumn("confidence", F.lit(1.0)).unionByName(semantic)
+
+
 def _exact_and_alias(distinct: DataFrame, employers: DataFrame, aliases: DataFrame) -> DataFrame:
     known = employers.select(F.col("employer_name").alias("_exact"))
     direct = distinct.join(known, F.col("name") == F.col("_exact"), "left")

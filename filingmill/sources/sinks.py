@@ -99,6 +99,18 @@ def upsert_employers(
     return write_run(merged, folder, run_ts)
 
 
+def upsert_counts(spark: SparkSession, folder: str, counts: DataFrame, run_ts: datetime) -> str:
+    """Merge the older counts (employer_name, h1b_count) with the last stored run and write a new one.
+
+    A count overwrites the stored one of its employer; employers without a new count stay.
+    """
+    columns = ("h1b_count", "last_updated")
+    fresh = counts.where("employer_name is not null").select(
+        "employer_name", F.col("h1b_count").cast("long").alias("h1b_count"), F.lit(run_ts).alias("last_updated"))
+    previous = read_latest(spark, folder, before=run_ts)
+    return write_run(fresh if previous is None else merge.upsert(previous, fresh, replace=columns), folder, run_ts)
+
+
 def replace_curated(spark: SparkSession, folder: str, fresh: DataFrame, run_ts: datetime) -> str:
     """A new run of stored aliases with other curated rows; all other types stay."""
     columns = [*ALIAS_CSV]

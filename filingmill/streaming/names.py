@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
+from ..operators.containment import piece_index
 from ..operators.materialize import temporary
-from ..plans.resolve import one_alias, records, resolve
+from ..plans.resolve import Memory, one_alias, records, resolve
 
 
 def match_known(names: DataFrame, employers: DataFrame, aliases: DataFrame, raw_name: str = "raw_name") -> DataFrame:
@@ -43,12 +44,17 @@ def resolve_stream(
     """All layers for every micro-batch, written below ``out`` by batch.
 
     A batch that is run again after a failure overwrites its own folder. Intermediate
-    tables of a batch are deleted when it is written.
+    tables of a batch are deleted when it is written. The pieces of the employers' names are cut
+    once, before the first batch; names that an earlier batch asked for are answered from what was
+    written then, in ``memory``.
     """
+    index = piece_index(employers)
+    memory = Memory(names.sparkSession, f"{out.rstrip('/')}-answers", "stream")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         with temporary(batch.sparkSession):
-            resolve(batch, employers, aliases, **options).write.mode("overwrite").parquet(
-                f"{out}/batch_id={batch_id}")
+            resolve(batch, employers, aliases, index=index, memory=memory, batch=batch_id, **options).write.mode(
+                "overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (names.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -336,3 +336,34 @@ def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
     (folder / "d.csv").write_text("")
     rows = tables.read_filings(spark, [str(folder)], "csv").orderBy("row_ordinal").collect()
     assert [(r.case_number, r.employer_name) for r in rows] == [("C1", "Alpha"), ("C2", "Beta"), ("C3", "Gamma")]
+
+
+def test_runs_write_only_what_they_change(spark, tmp_path):
+    from filingmill.sources.stored import StoredTable
+
+    stored = StoredTable(spark, str(tmp_path / "t"), "k", {"values": ["a", "b"], "vector": ["v"]}, fan=3)
+    with pytest.raises(ValueError):
+        stored.upsert(spark.createDataFrame([("x", 1, 1)], "k string, a int, b int"))
+    rows = spark.range(5000).selectExpr("concat('name ', id) as k", "int(id) as a", "int(null) as b", "array(float(id), 1f) as v")
+    stored.upsert(rows)
+    few = rows.where("a % 100 = 7").selectExpr("k", "a + 1 as a", "a as b")
+    assert stored.upsert(few) == 1
+    size = lambda run: sum(f.stat().st_size for f in (tmp_path / "t" / f"{run}-{run}").glob("*.parquet"))
+    assert size(1) < 0.1 * size(0)
+    now = {r.k: r for r in stored.read().collect()}
+    assert len(now) == 5000 and now["name 7"].a == 8 and now["name 7"].b == 7 and list(now["name 7"].v) == [7.0, 1.0]
+    # A vector for a row without one, then a repeated run, and a merge of all three.
+    stored.upsert(spark.createDataFrame([("new", [2.0])], "k string, v array<float>"), run=2)
+    stored.upsert(spark.createDataFrame([("new", [3.0]), (None, [1.0])], "k string, v array<float>"), run=2)
+    assert stored.runs.segments() == [(0, 2)]
+    now = {r.k: r for r in stored.read().collect()}
+    assert len(now) == 5001 and list(now["new"].v) == [3.0] and now["new"].a is None and now["name 7"].a == 8
+    assert stored.read(below=1).where("k = 'name 7'").first().a == 7
+
+
+def test_counts_are_merged_by_employer(spark, tmp_path):
+    counts = lambda *rows: spark.createDataFrame(rows, "employer_name string, h1b_count long")
+    sinks.upsert_counts(spark, str(tmp_path), counts(("A", 1), ("B", 2), (None, 3)), datetime(2025, 1, 1))
+    sinks.upsert_counts(spark, str(tmp_path), counts(("B", 5), ("C", 6)), datetime(2025, 2, 1))
+    rows = sinks.read_latest(spark, str(tmp_path)).orderBy("employer_name").collect()
+    assert [(r.employer_name, r.h1b_count, r.last_updated.month) for r in rows] == [("A", 1, 1), ("B", 5, 2), ("C", 6, 2)]

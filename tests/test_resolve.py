@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registry
 from filingmill.config import Embedding, Semantic
 from filingmill.operators import nearest, semantic
-from filingmill.operators.containment import best_containing
+from filingmill.operators.containment import best_containing, piece_index, refreshed
 from filingmill.plans import embed
-from filingmill.plans.resolve import check, resolve
+from filingmill.plans.resolve import Memory, check, resolve
 from filingmill.plans.search import search
 
 EMPLOYER = ("employer_name string, total_h1b_certified int, earliest_decision_date date, "
@@ -259,6 +259,48 @@ def test_registered_search_reaches_its_recall(spark, scale):
     assert row.recall_reached and row.neighbours == 10 * row.queries
 
 
+def test_an_index_is_shared_and_brought_up_to_date(spark):
+    names = [(f"{a} {b}", i) for i, (a, b) in enumerate((a, b) for a in ("ACME", "BETA", "GAMMA") for b in ("DATA", "WORKS", "ET"))]
+    schema = "employer_name string, total_h1b_certified int"
+    index = piece_index(spark.createDataFrame(names, schema))
+    queries = spark.createDataFrame([("ACME",), ("WORK",), ("ET",), ("A%K",), ("%",), ("ZZZ",), ("NEW",)], "name string")
+    rows = lambda n: sorted(map(tuple, best_containing(queries, n, 3).collect()))
+    assert rows(index) == rows(spark.createDataFrame(names, schema))
+    changed = [(n, t + 100 * (n == "ACME ET")) for n, t in names if not n.startswith("BETA")] + [("NEW WORKS", 9)]
+    after = refreshed(index, spark.createDataFrame(changed, schema))
+    assert rows(after) == rows(spark.createDataFrame(changed, schema)) != rows(index)
+    fresh = piece_index(spark.createDataFrame(changed, schema))
+    assert sorted(map(tuple, after.held.collect())) == sorted(map(tuple, fresh.held.collect()))
+
+
+def test_answers_are_remembered(spark, tmp_path):
+    asked, inner = str(tmp_path / "asked"), embed.hash_embedder(8)
+
+    def counting(texts):
+        with open(asked, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return inner(texts)
+
+    emp = embed.fill_vectors(
+        employers(spark, ("ALPHA", 5), ("BETA CO", 7)).withColumn("embedding", F.lit(None).cast("array<float>")),
+        inner, Embedding(dim=8))
+    aliases = spark.createDataFrame([("ALPHA", "ALF", 1)], ALIAS)
+    names = spark.createDataFrame([(1, "alpha"), (2, "alf"), (3, "beta"), (4, "none such"), (5, " "), (6, None)], "i int, raw_name string")
+    memory = Memory(spark, str(tmp_path / "answers"), "run-1")
+    run = lambda rows, m: {r.i: (r.match_type, r.employer_name) for r in resolve(
+        rows, emp, aliases, embed_fn=counting, embedding=Embedding(dim=8), memory=m).collect()}
+    want = {1: ("exact", "ALPHA"), 2: ("alias", "ALPHA"), 3: ("fuzzy", "BETA CO"), 4: ("miss", None), 5: ("invalid_input", None),
+            6: ("invalid_input", None)}
+    first = run(names.where("i <> 3"), memory)
+    assert first == {i: w for i, w in want.items() if i != 3}
+    assert run(names, memory) == run(names, memory) == want == run(names, None)
+    with open(asked) as f:
+        # Once with the memory, and once without it.
+        assert sorted(f.read().split("\n")) == ["", "NONE SUCH", "NONE SUCH"]
+    # Other tables, other answers.
+    assert Memory(spark, str(tmp_path / "answers"), "run-2").read() is None
+
+
 def test_resolve_with_vectors_and_embedder(spark):
     dim = 16
     fn = embed.hash_embedder(dim)
