@@ -4,8 +4,14 @@ A text is letters, lower-cased, with one blank for everything else; its characte
 one to four are hashed into buckets. The mean of the buckets' embeddings goes through a linear
 softmax. Embeddings and weights are trained together by stochastic gradient descent in numpy on a
 sample of every language's documents, bounded for each of them; a part of the
-sample is left out to fit the temperature that makes the scores probabilities, and the score below
-which a text is rejected. As the mean is linear, a trained model is one row of logits per bucket.
+sample is left out to fit the temperature that makes the scores probabilities. As the mean is
+linear, a trained model is one row of logits per bucket.
+
+A softmax is sure of any text, also of one in a language it never saw. So a text is rejected by what
+is new in it: the share of its distinct runs of four that no training text of the predicted language
+has, in a bitmap of hashed runs. The limit of a language lies between the shares of texts that were
+left out of its training and those of texts of the other languages, and is raised where left-out
+texts exceed it; short texts need a share further above it.
 """
 
 from __future__ import annotations
@@ -19,44 +25,52 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from ..operators.materialize import materialize
-from .common import text_batches
+from .common import slices, worker_store
 
 BUCKETS = 1 << 13
 RUNS = (1, 2, 3, 4)
 DIM = 16
 # At most so many documents of each language are sampled; with many languages fewer of each, so that
-# all stay within TOTAL as long as that leaves FEWEST. Every language is a class.
-PER_LANGUAGE, TOTAL, FEWEST = 500, 32_000, 20
+# all stay within TOTAL, but no fewer than FEWEST. Every language is a class. A sampled document
+# takes the driver at most 64 KB, a language takes tasks 48 KB.
+PER_LANGUAGE, TOTAL, FEWEST = 500, 4_000, 10
 EPOCHS, RATE, BATCH = 30, 2.0, 32
-# Never reject at or above this calibrated probability, nor more of the held-back texts than this.
-REJECT_BELOW, REJECT_SHARE = 0.5, 0.002
+# Bits of a language's map of runs; deviations that a short text has to lie above the limit; the share
+# of left-out texts that may exceed it; and what a lone language takes for the share of others.
+RUN_BITS, DEVIATIONS, REJECT_SHARE, FOREIGN = 1 << 17, 2.0, 0.005, 0.6
 UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x30000)])
+    store = worker_store("letters")
+    if "known" not in store:
+        store["known"] = np.array([chr(c).isalpha() for c in range(0x110000)])
+    return store["known"]
 
 
-def bucket_counts(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and how often each occurs; none for a text without letters."""
+def bucket_counts(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets and how often each occurs, and the places of its runs in a map; none without letters."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    known = letters[np.minimum(codes, len(letters) - 1)]
+    known = letters[codes]
     if not known.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     keep = known.copy()
     keep[1:] |= known[:-1]  # the first blank after a letter stays
     codes = np.r_[np.uint32(32), np.where(known, codes, 32).astype(np.uint32)[keep], np.uint32(32)]
     total = np.zeros(BUCKETS, np.int64)
     h = np.zeros(len(codes), np.uint32)
+    runs = np.empty(0, np.int64)
     for n in RUNS:
         if len(codes) < n:
             break
         h = (h[:len(codes) - n + 1] * np.uint32(0x01000193)) ^ (codes[n - 1:] * _MULTIPLIERS[n - 1])
         mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         total += np.bincount(mixed >> np.uint32(32 - 13), minlength=BUCKETS)
+        if n == RUNS[-1]:
+            runs = np.flatnonzero(np.bincount((mixed >> np.uint32(4)) % np.uint32(RUN_BITS), minlength=RUN_BITS))
     at = np.flatnonzero(total)
-    return at, total[at]
+    return at, total[at], runs
 
 
 @dataclass(frozen=True)
@@ -64,19 +78,32 @@ class Model:
     languages: tuple[str, ...]
     logits: np.ndarray  # per bucket and language, already divided by the temperature
     bias: np.ndarray
-    reject_below: float
+    runs: np.ndarray  # per language, whether training texts have the run at a place
+    limits: np.ndarray  # per language, the share of new runs from which a text is rejected
 
     def scores(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         z = (n / n.sum()) @ self.logits[at] + self.bias
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def rejects(self, language: int, runs: np.ndarray) -> bool:
+        """Whether too many of a text's distinct runs are new to a language."""
+        limit, n = float(self.limits[language]), len(runs)
+        new = n - int(self.runs[language][runs].sum())
+        return n > 0 and new / n > limit + DEVIATIONS * np.sqrt(limit * (1 - limit) / n)
 
-def sample_ids(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(doc_id, lang): up to ``per_language`` ids of every language, or fewer if there are many."""
+
+def sample_ids(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> DataFrame:
+    """(doc_id, lang): up to ``per_language`` ids of every language, or fewer if there are many.
+
+    All stay within ``total``; more languages than that has room for are refused.
+    """
     known = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang")
     languages = materialize(known.groupBy("lang").count(), "languages")
-    per_language = min(per_language, max(FEWEST, TOTAL // max(1, languages.count())))
+    count = languages.count()
+    if count * FEWEST > total:
+        raise ValueError(f"{count} languages with {FEWEST} documents each exceed total={total} sampled documents")
+    per_language = min(per_language, total // max(1, count))
     # About four times as many as wanted pass the limit on the hash, and only these are ranked.
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
     few = known.join(languages, "lang").where(place < 4 * per_language / F.col("count") * (1 << 40))
@@ -85,27 +112,34 @@ def sample_ids(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return ranked.select("doc_id", "lang").dropDuplicates(["doc_id"])
 
 
+def _packed(runs: np.ndarray) -> bytes:
+    bits = np.zeros(RUN_BITS, bool)
+    bits[runs] = True
+    return np.packbits(bits).tobytes()
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letters = _letters()
-    for batch in batches:
+    for batch in slices(batches):
         found = [bucket_counts(t, letters) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([a.astype(np.uint16).tobytes() for a, _ in found], pa.binary()),
-             pa.array([n.astype(np.uint32).tobytes() for _, n in found], pa.binary())],
-            names=["doc_id", "lang", "at", "n"])
+            [batch.column(0), batch.column(1), pa.array([a.astype(np.uint16).tobytes() for a, *_ in found], pa.binary()),
+             pa.array([n.astype(np.uint32).tobytes() for _, n, _ in found], pa.binary()),
+             pa.array([_packed(r) for *_, r in found], pa.binary())],
+            names=["doc_id", "lang", "at", "n", "runs"])
 
 
-def train(examples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """Fit on (language, buckets, counts); every fifth example of a language fits the calibration."""
+def train(examples: list[tuple[str, np.ndarray, np.ndarray, bytes]]) -> Model:
+    """Fit on (language, buckets, counts, runs); every fifth example of a language fits the calibration."""
     languages = tuple(sorted({e[0] for e in examples}))
     if not languages:
-        return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 0.0)
+        return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros((0, RUN_BITS), bool), np.zeros(0))
     y = np.array([languages.index(e[0]) for e in examples])
 
     def dense(rows: np.ndarray) -> np.ndarray:
         x = np.zeros((len(rows), BUCKETS), np.float32)
         for row, i in zip(x, rows):
-            _, at, n = examples[i]
+            _, at, n, _ = examples[i]
             row[at] = n / n.sum()
         return x
 
@@ -147,20 +181,50 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 
     loss = lambda t: -np.log(probabilities(t)[np.arange(len(check)), y[check]] + 1e-12).mean()
     t = min(np.geomspace(0.2, 20, 60), key=loss)
-    top = np.sort(probabilities(t).max(axis=1))
-    below = min(REJECT_BELOW, float(top[int(len(top) * REJECT_SHARE)]))
-    return Model(languages, (logits / t).astype(np.float32), bias / t, below)
-
-
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    runs, limits = _novelty(examples, y, held, len(languages))
+    return Model(languages, (logits / t).astype(np.float32), bias / t, runs, limits)
+
+
+def _novelty(examples: list[tuple], y: np.ndarray, held: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of every language's training texts, and its limit for the share of new ones."""
+    runs = np.zeros((languages, RUN_BITS // 8), np.uint8)
+    for i in np.flatnonzero(~held):
+        runs[y[i]] |= np.frombuffer(examples[i][3], np.uint8)
+    # Shares of new runs of left-out texts in every language, and how many runs they have.
+    left = np.flatnonzero(held)
+    sizes = np.array([_ones(np.frombuffer(examples[i][3], np.uint8)) for i in left], int)
+    share = np.zeros((len(left), languages))
+    for row, i in enumerate(left):
+        new = np.frombuffer(examples[i][3], np.uint8) & ~runs
+        share[row] = [_ones(x) / max(1, sizes[row]) for x in new]
+    limits = np.empty(languages)
+    for c in range(languages):
+        own, other = share[y[left] == c, c], share[y[left] != c, c]
+        n = sizes[y[left] == c]
+        middle = float(np.median(own)) if len(own) else 0.0
+        foreign = float(np.median(other)) if len(other) else FOREIGN
+        limit = (middle + max(middle, foreign)) / 2
+        # Raised until no more left-out texts exceed it than may.
+        for limit in np.linspace(limit, 1, 101):
+            over = own > limit + DEVIATIONS * np.sqrt(limit * (1 - limit) / np.maximum(1, n))
+            if over.sum() <= REJECT_SHARE * len(own):
+                break
+        limits[c] = limit
+    return np.unpackbits(runs, axis=1).astype(bool), limits
+
+
+def _ones(bits: np.ndarray) -> int:
+    return int(np.bitwise_count(bits).sum())
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> Model:
     """Train on a bounded sample of ``docs`` (doc_id, text, lang) with a language."""
-    text_batches(docs.sparkSession)
-    chosen = F.broadcast(sample_ids(docs, per_language))  # at most TOTAL ids, or FEWEST a language
+    chosen = F.broadcast(sample_ids(docs, per_language, total))  # at most ``total`` ids
     texts = chosen.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", "lang", "text")
-    rows = texts.mapInArrow(_features, "doc_id long, lang string, at binary, n binary").collect()
+    rows = texts.mapInArrow(_features, "doc_id long, lang string, at binary, n binary, runs binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["at"]), bytes(r["n"])))
     return train([(r["lang"], np.frombuffer(r["at"], np.uint16).astype(np.int64),
-                   np.frombuffer(r["n"], np.uint32)) for r in rows if len(r["at"])])
+                   np.frombuffer(r["n"], np.uint32), bytes(r["runs"])) for r in rows if len(r["at"])])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -168,26 +232,28 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     Only ``text`` is looked at. ``lang_pred`` is a learned language, or ``und`` with score 0 if
     the text is null or has no letter, or nothing could be learned. ``score`` is the calibrated
-    probability. ``rejected`` holds for ``und`` and for scores below the model's limit.
+    probability. ``rejected`` holds for ``und`` and for texts with too much that is new to the
+    language, as those of languages that were not learned.
     """
-    text_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"))
-    # One row of logits per bucket; plain values, as workers may not have this package.
+    # One row of logits per bucket and a map per language; plain values, as workers may not have this package.
     shared = docs.sparkSession.sparkContext.broadcast(
-        (model.languages, model.logits, model.bias, model.reject_below))
+        (model.languages, model.logits, model.bias, np.packbits(model.runs, axis=1), model.limits))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, letters = Model(*shared.value), _letters()
-        for batch in batches:
+        languages, logits, bias, runs, limits = shared.value
+        model = Model(languages, logits, bias, np.unpackbits(runs, axis=1).astype(bool), limits)
+        letters = _letters()
+        for batch in slices(batches):
             out = []
             for text in batch.column(0).field("text").to_pylist():
-                at, n = bucket_counts(text or "", letters)
+                at, n, runs = bucket_counts(text or "", letters)
                 if not len(at) or not model.languages:
                     out.append((UNKNOWN, 0.0, True))
                     continue
                 p = model.scores(at, n)
                 best = int(p.argmax())
-                out.append((model.languages[best], float(p[best]), bool(p[best] < model.reject_below)))
+                out.append((model.languages[best], float(p[best]), model.rejects(best, runs)))
             lang, score, rejected = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
