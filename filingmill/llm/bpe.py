@@ -18,19 +18,19 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import text_batches, worker_cache, worker_store
+from .common import Generations, chunks_of, gathered, slices, worker_cache, worker_store
 
 # Fixed value: the tokenizer's split pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-# Per generation, and of remembered pair tests.
-CACHED_CHUNKS, CACHED_PAIRS = 300_000, 600_000
+# Per generation: chunks between white space, and words in them; and of remembered pair tests.
+CACHED_CHUNKS, CACHED_WORDS, CACHED_PAIRS = 300_000, 200_000, 600_000
 
 
 def byte_letters() -> list[str]:
@@ -57,6 +57,7 @@ class Encoder:
         self.symbols = {t: self._symbols(t) for t in self.vocab}
         self.marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
         self.compatible: dict[tuple[str, str], bool] = {}
+        self.words = Generations(CACHED_WORDS)
         self._build()
 
     def _symbols(self, token: str) -> tuple[str, ...]:
@@ -139,24 +140,38 @@ class Encoder:
             i = back
         return out[::-1]
 
-    def pieces(self, text: str) -> Iterator[tuple[str, ...]]:
-        text = unicodedata.normalize("NFC", text)
-        text = "".join(c.lower() for c in text) if not text.isascii() else text.lower()
-        for piece in PIECES.findall(text):
+    def tidy(self) -> None:
+        """Keep what is remembered within its bounds."""
+        self.words.turn()
+        if len(self.compatible) > CACHED_PAIRS:
+            self.compatible.clear()
+
+    def piece(self, piece: str) -> list[int]:
+        """Ids of a normalised piece; pieces recur in many chunks."""
+        known = self.words.get(piece)
+        if known is None:
             stand = [self.letters[b] for b in piece.encode()]
             stand[-1] += self.end
-            yield tuple(stand)
+            known = self.words.young[piece] = self.word(tuple(stand))
+        return known
+
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text without special tokens."""
+        text = unicodedata.normalize("NFC", text)
+        text = "".join(c.lower() for c in text) if not text.isascii() else text.lower()
+        pieces = PIECES.findall(text)
+        return self.piece(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self.piece(p)]
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a text; special tokens in it are themselves."""
+        if not self.special or not self.marks.search(text):
+            return self.plain(text)
         out, at = [], 0
-        for m in [*self.marks.finditer(text), None] if self.special else [None]:
-            for p in self.pieces(text[at:m.start() if m else len(text)]):
-                out += self.word(p)
-            if m:
-                out.append(self.special[m[0]])
-                at = m.end()
-        return out
+        for m in self.marks.finditer(text):
+            out += self.plain(text[at:m.start()])
+            out.append(self.special[m[0]])
+            at = m.end()
+        return out + self.plain(text[at:])
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks, as this file has no decoder of its own."""
@@ -187,40 +202,41 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         StructField("decoded_sha256", StringType())], _hashes)
 
 
-def _both(encoder: Encoder, chunks: list[bytes], cache: dict) -> tuple:
-    """Ids and decoded text; ``cache`` has the ids as text, the decoded text and the number by chunk."""
-    ids = [int(i) for c in chunks for i in cache[c][0].split()]
-    return ids, encoder.decode(ids)
+def _both(encoder: Encoder, ids: list[str], decoded: list[bytes], counts: np.ndarray) -> list:
+    return [[[int(i) for i in x.split()] for x in ids], [x.decode() for x in decoded]]
+
+
+def _hashes(encoder: Encoder, ids: list[bytes], decoded: list[bytes], counts: np.ndarray) -> list:
+    return [counts, [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in decoded]]
 
 
-def _hashes(encoder: Encoder, chunks: list[bytes], cache: dict) -> tuple:
-    parts = [x for x in map(cache.__getitem__, chunks) if x[2]]
-    return (sum([x[2] for x in parts]), hashlib.sha256(b" ".join([x[0] for x in parts])).hexdigest(),
-            hashlib.sha256(b" ".join([x[1] for x in parts])).hexdigest())
+def _coded(encoder: Encoder, chunk: bytes) -> tuple[bytes, bytes, int]:
+    """Ids and decoded text of a chunk, each with a blank in front, and the number of ids."""
+    ids = encoder.chunk(chunk.decode())
+    return (b" " + " ".join(map(str, ids)).encode(), b" " + encoder.decode(ids).encode(), len(ids)) if ids else (b"", b"", 0)
 
 
 def _mapped(docs: DataFrame, path: str, fields: list[StructField], make) -> DataFrame:
-    text_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"))
     schema = StructType([rows.schema["row"], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             cache = worker_cache(f"bpe chunks {path}", CACHED_CHUNKS)
-            if len(encoder.compatible) > CACHED_PAIRS:
-                encoder.compatible.clear()
-            # Cut at ASCII white space.
-            texts = [(t or b"").split() for t in batch.column(0).field("text").cast(pa.binary()).to_pylist()]
-            own = {c: cache.get(c) for c in dict.fromkeys(chain.from_iterable(texts))}
-            for c, held in own.items():
+            encoder.tidy()
+            ends, places, chunks = chunks_of(batch.column(0).field("text"))
+            known = [*map(cache.get, chunks)]
+            for i, held in enumerate(known):
                 if held is None:
-                    ids = encoder.chunk(c.decode())
-                    own[c] = cache.young[c] = (" ".join(map(str, ids)).encode(), encoder.decode(ids).encode(), len(ids))
-            out = [make(encoder, chunks, own) for chunks in texts]
-            columns = [*zip(*out)] if out else [()] * len(fields)
+                    known[i] = cache.young[chunks[i]] = _coded(encoder, chunks[i])
+            ids, decoded, n = zip(*known) if known else ((), (), ())
+            # The blank in front of a text's first chunk goes.
+            texts = [[x[1:] for x in gathered(list(v), places, ends)] for v in (ids, decoded)]
+            before = np.r_[0, np.cumsum(np.array(n, np.int64)[places.to_numpy()])][ends]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["row", *names])
+                [batch.column(0), *[pa.array(c, t) for c, t in zip(make(encoder, *texts, np.diff(before)), types)]],
+                names=["row", *names])
 
     kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int64())}
     names = [f.name for f in fields]
