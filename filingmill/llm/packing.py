@@ -18,10 +18,11 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.materialize import materialize
 from .common import words_of
 
 CAPACITY = 2048
-DOCS_PER_SHARD = 2048
+PIECES_PER_SHARD = 2048
 _RESULT = "doc_id long, piece int, n_tokens long, bin_id long, start long"
 
 
@@ -92,22 +93,32 @@ def pack_shard(items: list[tuple], capacity: int) -> list[tuple[int | None, int
     return out
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, pieces_per_shard: int = PIECES_PER_SHARD) -> DataFrame:
     """(doc_id, piece, n_tokens, bin_id, start): every piece of every document in its bin.
 
     ``items`` has doc_id, n_tokens, source and cluster. A document of more than ``capacity``
     tokens is cut; documents without tokens are one row without a bin. Null sources and clusters
     conflict with nothing. Ties go to the smaller id, then the smaller piece; equal residuals to
     the bin opened first. Repeated rows are packed as often as they occur.
+
+    Pieces are dealt to shards by a hash of all that they are. Rows without an id, and those that
+    repeat one, may be alike in all of it: they are told apart by a number written once.
     """
-    shards = max(1, -(-items.count() // docs_per_shard))
     pieces = F.greatest(F.ceil(F.col("n_tokens") / capacity), F.lit(1)).cast("int")
-    cut = items.select(
+    rows = items.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", "cluster", F.col("n_tokens").alias("total"),
-        F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int").alias("shard"),
-        F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-    dealt = cut.select("shard", "doc_id", "piece", F.least(
-        F.lit(capacity), F.col("total") - F.col("piece") * capacity).cast("long").alias("n_tokens"), "source", "cluster")
+        pieces.alias("pieces"), F.monotonically_increasing_id().alias("number"))
+    rows = materialize(rows, "pieces")
+    count = rows.agg(F.coalesce(F.sum("pieces"), F.lit(0))).first()[0]
+    shards = max(1, -(-count // pieces_per_shard))
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(again, "doc_id", "left").withColumn(
+        "number", F.when(F.col("doc_id").isNull() | F.col("n").isNotNull(), F.col("number")).otherwise(F.lit(0)))
+    cut = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    dealt = cut.select(
+        F.pmod(F.xxhash64("doc_id", "total", "source", "cluster", "number", "piece"), F.lit(shards)).cast("int").alias("shard"),
+        "doc_id", "piece", F.least(
+            F.lit(capacity), F.col("total") - F.col("piece") * capacity).cast("long").alias("n_tokens"), "source", "cluster")
 
     def packed(table: pa.Table) -> pa.Table:
         columns = [table.column(c).to_pylist() for c in ("doc_id", "piece", "n_tokens", "source", "cluster")]
