@@ -10,7 +10,7 @@ from filingmill.operators import intake
 
 SF = "/root/testdata/sf0.001"
 # One global row, or one row per chunk of a table, is all that may meet in one task.
-ONE_ROW = {"ann_recall", "summary_from_states", "intake_summary", "embedding_coverage", "embedding_batches"}
+ONE_ROW = {"employers_placed", "job_levels_placed", "aliases_placed", "merged_aliases_placed", "ann_recall", "summary_from_states", "intake_summary", "embedding_coverage", "embedding_batches"}
 
 
 def plan_of(df) -> str:
