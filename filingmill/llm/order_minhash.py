@@ -341,10 +341,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class; rows without an id stay.
 
-    Of rows that repeat an id one stays, the smallest by the hash of its text.
+    Rows that repeat an id with other texts are judged each for itself: of the texts of an id one,
+    the smallest by hash, keeps the id, the others stand behind all ids. Of rows that repeat id and
+    text one stays.
     """
-    classes = near_duplicates(docs, **settings).where("doc_id = class_id").select(F.col("doc_id").alias("_id"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"))
-    order = Window.partitionBy("_id").orderBy(F.xxhash64("row.text"))
-    kept = rows.join(classes, "_id").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("row")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+    twice = materialize(rows.where("_id is not null").groupBy("_id").agg(
+        F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_first <> _last").select("_id", "_first"), "repeated")
+    if twice.limit(1).count():
+        behind = F.xxhash64("_id", "_text").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
+        rows = rows.join(twice, "_id", "left").withColumn(
+            "_id", F.when(F.col("_first") != F.col("_text"), behind).otherwise(F.col("_id"))).drop("_first")
+    classes = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "row.text"), **settings)
+    kept = rows.join(classes.where("doc_id = class_id").select(F.col("doc_id").alias("_id")), "_id")
+    order = Window.partitionBy("_id").orderBy("_text")
+    kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("row")
     return kept.union(rows.where("_id is null").select("row")).select("row.*")
