@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import zipfile
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -367,3 +368,27 @@ def test_counts_are_merged_by_employer(spark, tmp_path):
     sinks.upsert_counts(spark, str(tmp_path), counts(("B", 5), ("C", 6)), datetime(2025, 2, 1))
     rows = sinks.read_latest(spark, str(tmp_path)).orderBy("employer_name").collect()
     assert [(r.employer_name, r.h1b_count, r.last_updated.month) for r in rows] == [("A", 1, 1), ("B", 5, 2), ("C", 6, 2)]
+
+
+def test_rows_of_a_folder_are_written_by_many_tasks(spark, tmp_path):
+    from filingmill.checks.queries import folder_counts
+    from filingmill.operators.materialize import shared_dir
+    from filingmill.sources.sample_views import view
+
+    rows = [(i, i % 4, i % 3, 1, "F", "A", date(2024, 1 + i % 12, 1), 5.0) for i in range(400)]
+    lines = spark.createDataFrame(rows, (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_linestatus string, l_returnflag string, "
+        "l_shipdate date, l_quantity double"))
+    lines.repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name, data, schema in (
+            ("part", [(i, "p", "b", 1) for i in range(4)], "p_partkey long, p_name string, p_brand string, p_size int"),
+            ("supplier", [(i, f"S{i}", 1) for i in range(3)], "s_suppkey long, s_name string, s_nationkey long"),
+            ("nation", [(1, "N")], "n_nationkey long, n_name string")):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = set(Path(shared_dir(spark)).glob("folder-*"))
+    found = folder_counts(spark, str(tmp_path)).collect()
+    folder, = set(Path(shared_dir(spark)).glob("folder-*")) - before
+    assert len([f for f in (folder / "rows/q1").glob("part-*") if f.stat().st_size]) > 1
+    # The fourth file has a header without a column.
+    named = view(spark, str(tmp_path), "lca_raw").where("file_priority < 4")
+    assert found and sorted(found) == sorted(intake.simple_counts(named).collect())
