@@ -54,7 +54,8 @@ def write_unseen(
         known = seen.read(below=batch_id)
         if known is not None:
             same = reduce(lambda a, b: a & b, [new[k].eqNullSafe(known[k]) for k in keys])
-            new = new.join(known, same, "left_anti")
+            # Written keys are small on disk only, so they are never sent to the driver to be dealt out.
+            new = new.join(known.hint("merge"), same, "left_anti")
         seen.write(new, batch_id)
 
     return _every_batch(events, step, checkpoint, trigger)

@@ -272,3 +272,22 @@ def test_misses_are_appended_and_cut(spark, tmp_path):
     streams.write_misses(stream, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination(60)
     rows = spark.read.parquet(str(tmp_path / "o")).orderBy("card_id").collect()
     assert [len(r.html) for r in rows] == [500, 0]
+
+
+def test_seen_keys_are_not_gathered_on_the_driver(spark, tmp_path, monkeypatch):
+    """However small the written keys look on disk, a batch meets them in a shuffle."""
+    plans, write = [], Batches.write
+
+    def noted(self, rows, batch_id):
+        plans.append(rows._sc._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "simple"))
+        write(self, rows, batch_id)
+
+    monkeypatch.setattr(Batches, "write", noted)
+    for i, keys in enumerate(([1, 2, None], [2, 3, None])):
+        spark.createDataFrame([(k, "a") for k in keys], "k long, e string").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = (spark.readStream.schema("k long, e string").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", True).parquet(str(tmp_path / "in")))
+    streams.write_unseen(stream, ["k", "e"], str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert sorted(Batches(spark, str(tmp_path / "out")).read().collect(), key=str) == sorted(
+        spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (None, "a")], "k long, e string").collect(), key=str)
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
