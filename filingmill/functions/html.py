@@ -8,6 +8,7 @@ markup, comments and scripts never yield links. A tag that the page never ends s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -60,13 +61,18 @@ def decoded(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, _reference), "")).otherwise(text)
 
 
-def _attribute(opening: Column, name: str) -> Column:
-    """The first attribute of that name in an opening tag, decoded; NULL without one."""
-    inside = F.substr(opening, F.lit(3))
-    names, values = (F.regexp_extract_all(inside, F.lit(f"(?is){_attribute_pattern('(')}"), F.lit(i)) for i in (1, 2))
-    at = F.array_position(F.transform(names, F.lower), name)
-    raw = F.get(values, (at - 1).cast("int"))
-    return F.when(at > 0, decoded(F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2")))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _attribute(names: Column, values: Column, name: str) -> Column:
+    """The first attribute of that name, decoded; NULL without one."""
+    def value(at: Column) -> Column:
+        raw = F.regexp_replace(F.get(values, (at - 1).cast("int")), r"""(?s)^(["'])(.*)\1$""", "$2")
+        return F.when(at > 0, _let(raw, decoded))
+
+    return _let(F.array_position(names, name), value)
 
 
 def anchors(page: Column) -> Column:
@@ -79,12 +85,16 @@ def anchors(page: Column) -> Column:
     found = F.regexp_extract_all(page, F.lit(_ANCHOR), F.lit(1))
 
     def read(anchor: Column) -> Column:
-        opening = F.regexp_extract(anchor, f"(?is)^{_OPENING}", 0)
+        return _let(F.regexp_extract(anchor, f"(?is)^{_OPENING}", 0), lambda opening: opened(anchor, opening))
+
+    def opened(anchor: Column, opening: Column) -> Column:
         inside = F.regexp_extract_all(
             F.substr(anchor, F.length(opening) + 1), F.lit(rf"(?is)\G{_TOKEN}"), F.lit(0))
         text = F.array_join(F.filter(inside, lambda t: ~t.rlike("^<[!?/a-zA-Z]")), "")
-        return F.struct(
-            _attribute(opening, "href").alias("href"), _attribute(opening, "data-original-url").alias("original"),
-            decoded(text).alias("text"))
+        names, values = (F.regexp_extract_all(
+            F.substr(opening, F.lit(3)), F.lit(f"(?is){_attribute_pattern('(')}"), F.lit(i)) for i in (1, 2))
+        return _let(F.transform(names, F.lower), lambda names: _let(values, lambda values: F.struct(
+            _attribute(names, values, "href").alias("href"), _attribute(names, values, "data-original-url").alias("original"),
+            _let(text, decoded).alias("text"))))
 
     return F.transform(found, read)

@@ -132,3 +132,12 @@ def test_links_are_numbered_rows(spark):
     rows = sorted(map(tuple, listings.page_links(pages).collect()), key=str)
     assert rows == [(1, 0, "/x", "x"), (1, 2, "/o", "o"), (None, 0, "/n", "n")]
     assert listings.page_links(pages.where("card_id = 9")).count() == 0
+
+
+def test_an_anchor_is_cut_once(spark):
+    pages = spark.createDataFrame([(1, "<a href='/company/x'>A &amp; B</a>")], "card_id long, html string")
+    out = listings.page_links(pages)
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    # Once in the plan's only expression: the opening tag, and the tokens inside.
+    assert plan.count("(?is)^" + markup._OPENING) == 1
+    assert [tuple(r) for r in out.collect()] == [(1, 0, "/company/x", "A & B")]
