@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingmill.functions import coerce, listing_text as lt, text
+from filingmill.operators import listings
 
 
 def run(spark, fn, values):
@@ -173,3 +174,45 @@ def test_partial_ratio_equals_the_matcher(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").repartition(3)
     found = {r.i: r.score for r in df.select("i", partial_ratio("a", "b").alias("score")).collect()}
     assert [(p, found[i], plain_ratio(*p)) for i, p in enumerate(pairs) if found[i] != plain_ratio(*p)] == []
+
+
+# The listing patterns as a plain list of alternatives, each tried at every place.
+PLAIN = {
+    "junk": (r"^[•·\-–—]+$", r"^(be an early|easy apply|actively|get job alerts)", r"promoted jobs are ranked",
+             r"how promoted", r"\d+\+?\s*results?\b", r"\bbe an early applicant\b",
+             r"\d+\s*(benefit|connection|applicant|result|follower)s?\b",
+             r"\b(ago|viewed|about|premium|easy apply|actively|posted|reposted)\b", r"^[\d,]+$", r"%",
+             r"^(your feedback|show)"),
+    "not_company": (r"^\d+\s+school alumni", r"^promoted$", r"^in\s+easy apply$", r"\$\d|\/yr|401\s*\(\s*k\s*\)",
+                    r"^\d+\s+(day|week|month)s?\s+ago$"),
+    "not_name": (r"followers|premium|insights|show\s+", r"\d{1,3}(,\d{3})+", r"^[\d,.\s]+$"),
+    "place": (r"^$", r"\(remote\)|\(on-site\)|\(hybrid\)", r"(?s:^(?!.*·).*?)(?:,\s*[A-Z]{2}(\s|$|\)))"),
+}
+FRAGMENTS = (
+    " ", "  ", "\n", "\t", "\xa0", "﻿", "·", "•", "–", ",", "%", "$", "/yr", "401 (k)", "(remote)", "(Hybrid", "1", "12", "123", ",456", "+",
+    "results", "result", "follower", "followers", "Premium", "insights", "show ", "show", "Promoted", "promoted jobs are ranked",
+    "how promoted", "be an early applicant", "be an early", "easy apply", "in", "actively", "get job alerts", "your feedback",
+    "ago", "days", "day", "school alumni", "viewed", "about", "posted", "reposted", "x", "Acme", "CA", ", NY", "É", "ſ", "benefit")
+
+
+def test_patterns_say_what_their_plain_alternatives_say(spark):
+    rng = random.Random(11)
+    lines = ["", "\n", "\n\n", *FRAGMENTS, *("".join(rng.choices(FRAGMENTS, k=rng.randint(1, 6))) for _ in range(6000))]
+    v = F.col("v")
+    plain = {n: v.rlike(lt._java("|".join(f"(?:{p})" for p in ps))) for n, ps in PLAIN.items()}
+    spaced = F.btrim(F.regexp_replace(v, lt._java(r"\s+"), " "), F.lit(lt._SPACES))
+    pairs = [
+        (lt._has(v, lt.LINE_META), plain["junk"]), (lt._has(v, lt._any(*lt.NOT_COMPANY_TEXT)), plain["not_company"]),
+        (lt._has(v, lt._any(*lt.NOT_IN_NAME)), plain["not_name"]), (lt.looks_like_location(v), plain["place"]),
+        (lt.tidy(v), spaced)]
+    rows = spark.createDataFrame([(x,) for x in lines], "v string").select(
+        "v", *[F.struct(a.alias("a"), b.alias("b")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).collect()
+    assert [(r.v, i) for r in rows for i in range(len(pairs)) if r[f"p{i}"].a != r[f"p{i}"].b] == []
+
+
+def test_element_texts_are_tidied_once_per_row(spark):
+    texts = spark.createDataFrame([(1, 0, "Acme  Works · Boston, MA"), (2, 0, "Promoted"), (3, 0, None)], "card_id long, ord int, text string")
+    out = listings.text_candidates(texts, listings.SELECTOR)
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert plan.count("regexp_replace(") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, listings.SELECTOR, 0, "Acme Works")]
