@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -129,7 +130,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "lang", "at", "n", "runs"])
 
 
-def train(examples: list[tuple[str, np.ndarray, np.ndarray, bytes]]) -> Model:
+def train(examples: list[tuple[str, np.ndarray, np.ndarray, pa.Buffer]]) -> Model:
     """Fit on (language, buckets, counts, runs); every fifth example of a language fits the calibration."""
     languages = tuple(sorted({e[0] for e in examples}))
     if not languages:
@@ -221,10 +222,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -
     """Train on a bounded sample of ``docs`` (doc_id, text, lang) with a language."""
     chosen = F.broadcast(sample_ids(docs, per_language, total))  # at most ``total`` ids
     texts = chosen.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", "lang", "text")
-    rows = texts.mapInArrow(_features, "doc_id long, lang string, at binary, n binary, runs binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["at"]), bytes(r["n"])))
-    return train([(r["lang"], np.frombuffer(r["at"], np.uint16).astype(np.int64),
-                   np.frombuffer(r["n"], np.uint32), bytes(r["runs"])) for r in rows if len(r["at"])])
+    rows = texts.mapInArrow(_features, "doc_id long, lang string, at binary, n binary, runs binary").toArrow()
+    order = pc.sort_indices(rows, [(c, "ascending") for c in ("lang", "doc_id", "at", "n")]).to_pylist()
+    lang, at, n, runs = (rows.column(c) for c in ("lang", "at", "n", "runs"))
+    # Views of the gathered columns, so the driver holds the sample once.
+    return train([(lang[i].as_py(), np.frombuffer(at[i].as_buffer(), np.uint16), np.frombuffer(n[i].as_buffer(), np.uint32),
+                   runs[i].as_buffer()) for i in order if at[i].as_buffer().size])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
