@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from filingmill.config import Embedding, Semantic
-from filingmill.operators import nearest, semantic
+from filingmill.operators import containment, nearest, semantic
 from filingmill.operators.containment import best_containing, piece_index, refreshed
 from filingmill.plans import embed
 from filingmill.plans.resolve import Memory, check, resolve
@@ -158,6 +158,19 @@ def test_containment_is_literal_on_request(spark):
     assert [(r.name, r.employer_name) for r in rows] == [("A_B", "A_B CO")]
 
 
+def test_patterns_are_cut_once(spark):
+    """Plain names are their own anchors; what is joined with the names reads columns that are written."""
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choices("Ab%_\\\ue000\ue002 é\n", k=rng.randint(0, 6))) for _ in range(400)})
+    rows = spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")
+    cut = containment._cut_columns(F.lower("name"))
+    both = rows.select(F.struct(*containment._anchor_columns(F.col("name"), False)).alias("a"), F.struct(*cut).alias("b"))
+    assert [r for r in both.collect() if tuple(r.a) != tuple(r.b)] == []
+    out = best_containing(rows.where("name like '%A%'"), employers(spark, ("ACME", 1)), 1)
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert "regexp_extract_all" not in plan and "/anchors-" in plan
+
+
 def test_search_scores_long_names(spark):
     long_name = "ZED " + " ".join(f"PART {i}" for i in range(60)) + " ACME"
     emp = employers(spark, ("ACME INC", 1), ("ACME LLC", 7), (long_name, 99), ("OTHER", 5))
