@@ -33,7 +33,7 @@ RUNS = (1, 2, 3, 4)
 DIM = 16
 # At most so many documents of each language are sampled; with many languages fewer of each, so that
 # all stay within TOTAL, but no fewer than FEWEST. Every language is a class. A sampled document
-# takes the driver at most 64 KB, a language takes tasks 48 KB.
+# takes the task that trains at most 64 KB, a language takes tasks 48 KB.
 PER_LANGUAGE, TOTAL, FEWEST = 500, 4_000, 10
 EPOCHS, RATE, BATCH = 30, 2.0, 32
 # Bits of a language's map of runs; deviations that a short text has to lie above the limit; the share
@@ -218,16 +218,39 @@ def _ones(bits: np.ndarray) -> int:
     return int(np.bitwise_count(bits).sum())
 
 
+def _trained(rows: pa.Table) -> pa.Table:
+    """The model of a sample's features as one row of plain values."""
+    order = pc.sort_indices(rows, [(c, "ascending") for c in ("lang", "doc_id", "at", "n")]).to_pylist()
+    lang, at, n, runs = (rows.column(c) for c in ("lang", "at", "n", "runs"))
+    # Views of the gathered columns, so the sample is held once.
+    model = train([(lang[i].as_py(), np.frombuffer(at[i].as_buffer(), np.uint16), np.frombuffer(n[i].as_buffer(), np.uint32),
+                    runs[i].as_buffer()) for i in order if at[i].as_buffer().size])
+    return pa.table({
+        "languages": pa.array([list(model.languages)], pa.list_(pa.string())),
+        "logits": pa.array([model.logits.astype(np.float32).tobytes()], pa.binary()),
+        "bias": pa.array([model.bias.astype(np.float64).tobytes()], pa.binary()),
+        "runs": pa.array([np.packbits(model.runs, axis=1).tobytes()], pa.binary()),
+        "limits": pa.array([model.limits.astype(np.float64).tobytes()], pa.binary())})
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> Model:
-    """Train on a bounded sample of ``docs`` (doc_id, text, lang) with a language."""
+    """Train on a bounded sample of ``docs`` (doc_id, text, lang) with a language.
+
+    One task trains, as the sample is bounded; the driver gets the model only.
+    """
     chosen = F.broadcast(sample_ids(docs, per_language, total))  # at most ``total`` ids
     texts = chosen.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", "lang", "text")
-    rows = texts.mapInArrow(_features, "doc_id long, lang string, at binary, n binary, runs binary").toArrow()
-    order = pc.sort_indices(rows, [(c, "ascending") for c in ("lang", "doc_id", "at", "n")]).to_pylist()
-    lang, at, n, runs = (rows.column(c) for c in ("lang", "at", "n", "runs"))
-    # Views of the gathered columns, so the driver holds the sample once.
-    return train([(lang[i].as_py(), np.frombuffer(at[i].as_buffer(), np.uint16), np.frombuffer(n[i].as_buffer(), np.uint32),
-                   runs[i].as_buffer()) for i in order if at[i].as_buffer().size])
+    rows = texts.mapInArrow(_features, "doc_id long, lang string, at binary, n binary, runs binary")
+    found = rows.groupBy().applyInArrow(
+        _trained, "languages array<string>, logits binary, bias binary, runs binary, limits binary").collect()
+    if not found or not found[0]["languages"]:
+        return train([])
+    languages = tuple(found[0]["languages"])
+    n = len(languages)
+    return Model(
+        languages, np.frombuffer(found[0]["logits"], np.float32).reshape(BUCKETS, n), np.frombuffer(found[0]["bias"]),
+        np.unpackbits(np.frombuffer(found[0]["runs"], np.uint8).reshape(n, -1), axis=1).astype(bool),
+        np.frombuffer(found[0]["limits"]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -301,7 +301,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     rows = materialize(found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n"), "sketches")
     first = materialize(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "copies")
     reps = rows.join(first.select(F.col("rep").alias("doc_id")), "doc_id")
-    placed = materialize(reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "buckets")
+    sketched = materialize(reps.select(F.col("doc_id").alias("id"), "keys"), "representatives")
+    placed = sketched.select("id", F.explode("keys").alias("key"))
 
     texts = _texts(docs, placed)
     links = _links(_star(placed).select("a", "b"), texts, threshold).select("a", "b")
@@ -312,22 +313,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
         return pairs.join(known, column, "left").withColumn(
             f"root_{column}", F.coalesce("_root", column)).drop("_root")
 
-    def mixed(buckets: DataFrame) -> DataFrame:
-        """Members, with their roots, of buckets that are not yet of one class."""
-        classed = rooted(buckets, "id")
+    def mixed(members: DataFrame) -> DataFrame:
+        """(key, id, root_id) of buckets that are not yet of one class, from (id, keys): a member's root is looked up once."""
+        classed = rooted(members, "id").select(F.explode("keys").alias("key"), "id", "root_id")
         keys = classed.groupBy("key").agg(
             F.min("root_id").alias("low"), F.max("root_id").alias("high")).where("low < high").select("key")
         return materialize(classed.join(keys, "key"), "mixed")
 
     # First in the finer keys of two such buckets, then whatever pair of classes is left in one.
-    left = mixed(placed)
+    left = mixed(sketched)
     own = left.select("key", "id")
     finer = own.join(own.withColumnRenamed("key", "other"), "id").where("key < other").select(
         "id", F.xxhash64("key", "other").alias("key"))
     fresh = rooted(rooted(_star(finer).select("a", "b").distinct(), "a"), "b").where("root_a <> root_b")
     links = links.union(_links(fresh.select("a", "b"), texts, threshold).select("a", "b"))
     roots = components(links)
-    links = links.union(_links(_undecided(mixed(own), texts, threshold, block), texts, threshold).select("a", "b"))
+    again = mixed(own.groupBy("id").agg(F.collect_list("key").alias("keys")))
+    links = links.union(_links(_undecided(again, texts, threshold, block), texts, threshold).select("a", "b"))
 
     roots = components(links)
     classes = first.join(roots, first["rep"] == roots["id"], "left").select(

@@ -112,6 +112,22 @@ def test_classes_around_a_shared_passage(spark):
     assert dict(map(tuple, got.collect())) == brute.near_classes(docs)[0]
 
 
+def test_a_root_is_looked_up_once_a_member(spark, monkeypatch):
+    """The roots meet one row per text, not one per text and key; keys are spread out after that."""
+    plans, write = [], order_minhash.materialize
+
+    def noted(rows, label):
+        if label == "mixed":
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return write(rows, label)
+
+    monkeypatch.setattr(order_minhash, "materialize", noted)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, text + " y z"), (4, "other words")], "doc_id long, text string")
+    assert dict(map(tuple, order_minhash.near_duplicates(docs).collect())) == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert len(plans) == 2 and all(-1 < p.find("Generate explode") < p.find("LeftOuter") for p in plans)
+
+
 @pytest.mark.parametrize("block", [order_minhash.BLOCK, 16])
 def test_classes_around_a_hub(spark, block):
     """Many variants are near copies of one text in the middle of the ids, but not of each other."""
@@ -318,6 +334,17 @@ def test_texts_of_an_unlearned_language_are_rejected(spark, left_out):
     assert share[True] >= 0.8 and share[False] <= 0.02
 
 
+def test_the_driver_gets_the_model_only(spark, monkeypatch, nothing):
+    """The sample meets in the task that trains; what comes back does not depend on its texts."""
+    docs = spark.createDataFrame(
+        [(i, text * 20, lang) for i in range(20) for lang, text in [("en", "the house "), ("de", "das Haus ")]],
+        "doc_id long, text string, lang string").withColumn("doc_id", F.monotonically_increasing_id())
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: pytest.fail("the sample reached the driver"))
+    model = language.fit(docs)
+    assert model.languages == ("de", "en") and model.logits.shape == (language.BUCKETS, 2) and model.runs.any(axis=1).all()
+    assert language.fit(nothing).languages == ()
+
+
 def test_too_many_languages_are_refused(spark):
     docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="30 languages"):
