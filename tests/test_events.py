@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from filingmill.checks import queries
 from filingmill.config import CHECK_LIMITS, Limits
 from filingmill.operators import attempts, listings, prefix, requests, running
 from filingmill.streaming import events as streams
@@ -291,3 +293,43 @@ def test_seen_keys_are_not_gathered_on_the_driver(spark, tmp_path, monkeypatch):
     assert sorted(Batches(spark, str(tmp_path / "out")).read().collect(), key=str) == sorted(
         spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (None, "a")], "k long, e string").collect(), key=str)
     assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
+def table_of_files(spark, folder, n, files=8):
+    """An events table of several files, each from the whole range of time."""
+    rng = random.Random(12)
+    rows = [(i, T0 + timedelta(seconds=rng.randrange(20 * 86400)), rng.randrange(20), rng.choice(["purchase", "error", "view"]))
+            for i in range(n)]
+    rows.append((n, None, 3, "error"))
+    every = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    for i in range(files):
+        every.where(F.col("event_id") % files == i).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return [r for r in rows if r[1] is not None]
+
+
+def run_in(folder, monkeypatch, name, spark):
+    """The rows of a stream query, and how many batches it took."""
+    monkeypatch.setattr(queries, "_run_dir", lambda *_: f"{folder}/run")
+    out = queries.QUERIES[name](spark, str(folder)).collect()
+    return out, len([p for p in (folder / "run/checkpoint/commits").iterdir() if p.suffix != ".crc"])
+
+
+def micros(t, span):
+    seconds = int((t - datetime(1970, 1, 1)).total_seconds())
+    return (seconds - seconds % span) * 1_000_000
+
+
+def test_batches_of_stats_do_not_follow_the_files(spark, tmp_path, monkeypatch):
+    rows = table_of_files(spark, tmp_path, 200)
+    got, batches = run_in(tmp_path, monkeypatch, "stream_stats", spark)
+    want = Counter((u % 5, micros(t, 3600)) for _, t, u, _ in rows)
+    bought = Counter((u % 5, micros(t, 3600)) for _, t, u, kind in rows if kind == "purchase")
+    assert sorted(map(tuple, got)) == sorted((*k, n, bought[k]) for k, n in want.items())
+    assert batches == 4
+
+
+def test_late_events_of_many_files_are_not_lost(spark, tmp_path, monkeypatch):
+    """A part is one batch, so its own files never make each other late."""
+    rows = table_of_files(spark, tmp_path, 400)
+    got, batches = run_in(tmp_path, monkeypatch, "stream_bursts", spark)
+    assert sum(r.events for r in got) == len(rows) and batches == 4
