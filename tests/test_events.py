@@ -333,3 +333,15 @@ def test_late_events_of_many_files_are_not_lost(spark, tmp_path, monkeypatch):
     rows = table_of_files(spark, tmp_path, 400)
     got, batches = run_in(tmp_path, monkeypatch, "stream_bursts", spark)
     assert sum(r.events for r in got) == len(rows) and batches == 4
+
+
+def test_batches_of_limits_do_not_follow_the_files(spark, tmp_path, monkeypatch):
+    rows = table_of_files(spark, tmp_path, 200)
+    got, batches = run_in(tmp_path, monkeypatch, "stream_limits", spark)
+    want = Counter(
+        (u % 10, no, micros(t, span), allowed) for _, t, u, _ in rows for no, span, allowed in ((1, 3600, 2), (2, 86400, 5)))
+    # The event without a time is counted on its own.
+    want.update([(3, 1, None, 2), (3, 2, None, 5)])
+    assert sorted(map(tuple, got), key=str) == sorted(
+        ((u, no, start, n, n > allowed) for (u, no, start, allowed), n in want.items()), key=str)
+    assert batches == 4
